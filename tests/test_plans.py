@@ -6,7 +6,6 @@ import random
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.plans.asof import asof_join
 from tidewatch.plans.fold import keyed_fold
@@ -122,18 +121,17 @@ def test_recurrence_survives_splitting(spark):
 
 
 def test_keyed_fold_equals_sequential(frame, data):
-    def fold(pdf, state):
+    def fold(cols, state):
         level = float(state)
         out = []
-        for x in pdf["x"]:
+        for x in cols["x"]:
             level = max(0.0, level + x)
             out.append(level)
             if level > 9:
                 level = 0.0
-        return pdf[["symbol", "tick_id"]].assign(level=out), repr(level)
+        return {"level": out}, repr(level)
 
-    schema = T.StructType.fromDDL("symbol string, tick_id long, level double")
-    got = {r.tick_id: r.level for r in keyed_fold(frame, LAYOUT, fold, "0.0", schema).collect()}
+    got = {r.tick_id: r.level for r in keyed_fold(frame, LAYOUT, fold, "0.0", ["x"], "level double").collect()}
     assert len(got) == len(data)
     for rows in by_key(data).values():
         level = 0.0

@@ -7,49 +7,68 @@ round or two. Only one row per chunk moves between rounds. The result equals the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import INDEX, index_rows
-from tidewatch.plans.store import materialise
+from tidewatch.plans.store import materialise, nullable
 
-Fold = Callable[[pd.DataFrame, str], tuple[pd.DataFrame, str]]
+Fold = Callable[[dict[str, list], str], tuple[dict[str, list], str]]
 
 
-def keyed_fold(df: DataFrame, layout: Layout, fold: Fold, initial: str, schema: T.StructType) -> DataFrame:
-    """Run ``fold(rows, state) -> (rows_out, state)`` over each key in order.
+def keyed_fold(
+    df: DataFrame, layout: Layout, fold: Fold, initial: str, needs: Sequence[str], adds: str
+) -> DataFrame:
+    """Add the columns ``adds`` (DDL) that ``fold(columns, state) -> (new columns, state)`` computes in key order.
 
-    The state is a string (JSON where it has parts), so it can be compared and stored. ``fold`` sees at most
-    ``layout.chunk_rows`` rows at a time.
+    ``fold`` sees the columns ``needs`` of at most ``layout.chunk_rows`` consecutive rows; its state is a string (JSON
+    where it has parts), so it can be compared and stored.
     """
     indexed = df if INDEX in df.columns else index_rows(df, layout)
     base = materialise(
         indexed.withColumn("_chunk", F.floor((F.col(INDEX) - 1) / F.lit(layout.chunk_rows)).cast("long"))
     )
     group = [*layout.keys, "_chunk"]
-    key_fields = [f for f in base.schema.fields if f.name in group]
-    summary = T.StructType([*key_fields, T.StructField("_from", T.StringType()), T.StructField("_to", T.StringType())])
+    kept = indexed.columns
+    added = T.StructType.fromDDL(adds)
+    arrow_types = to_arrow_schema(added)
+    schema = nullable(T.StructType([*indexed.schema.fields, *added.fields]))
+    target = to_arrow_schema(schema)
+    summary = T.StructType(
+        [*[f for f in base.schema.fields if f.name in group], T.StructField("_from", T.StringType()), T.StructField("_to", T.StringType())]
+    )
+    summary_names = summary.names
     by_chunk = Window.partitionBy(*layout.keys).orderBy("_chunk")
 
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["_from"].iloc[0]
-        _, end = fold(pdf.sort_values(INDEX, kind="stable"), start)
-        return pdf.iloc[[0]][group].assign(_from=start, _to=end)
+    def columns(rows: pa.Table) -> dict[str, list]:
+        return {n: rows[n].to_pylist() for n in needs}
+
+    def end_state(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(INDEX)
+        _, end = fold(columns(rows), rows["_from"][0].as_py())
+        return rows.slice(0, 1).append_column("_to", pa.array([end], pa.string())).select(summary_names)
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf.sort_values(INDEX, kind="stable"), pdf["_from"].iloc[0])[0]
+    def emit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(INDEX)
+        new, _ = fold(columns(rows), rows["_from"][0].as_py())
+        rows = rows.select(kept)
+        for field in arrow_types:
+            rows = rows.append_column(field.name, pa.array(new[field.name], field.type))
+        return rows.cast(target)
 
     chunks = base.agg(F.max("_chunk")).first()[0] or 0
     if chunks == 0:
-        return base.withColumn("_from", F.lit(initial)).groupBy(*group).applyInPandas(emit, schema)
+        return base.withColumn("_from", F.lit(initial)).groupBy(*group).applyInArrow(emit, schema)
 
+    narrow = base.select(*dict.fromkeys([*group, INDEX, *needs]))
     starts = base.select(*group).distinct().withColumn("_from", F.lit(initial))
-    runs = materialise(base.join(starts, group).groupBy(*group).applyInPandas(end_state, summary))
+    runs = materialise(narrow.join(starts, group).groupBy(*group).applyInArrow(end_state, summary))
     while True:
         wanted = runs.withColumn("_want", F.coalesce(F.lag("_to").over(by_chunk), F.lit(initial)))
         stale = materialise(
@@ -57,6 +76,6 @@ def keyed_fold(df: DataFrame, layout: Layout, fold: Fold, initial: str, schema:
         )
         if stale.isEmpty():
             break
-        again = base.join(stale, group).groupBy(*group).applyInPandas(end_state, summary)
+        again = narrow.join(stale, group).groupBy(*group).applyInArrow(end_state, summary)
         runs = materialise(runs.join(stale.select(*group), group, "left_anti").unionByName(again))
-    return base.join(runs.select(*group, "_from"), group).groupBy(*group).applyInPandas(emit, schema)
+    return base.join(runs.select(*group, "_from"), group).groupBy(*group).applyInArrow(emit, schema)

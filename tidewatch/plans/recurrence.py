@@ -14,9 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import INDEX, index_rows, split_rows
+from tidewatch.plans.store import nullable
 
 _FADED = 1e-300
 
@@ -51,12 +53,14 @@ def recur(df: DataFrame, layout: Layout, **specs: Recurrence) -> DataFrame:
     # it, which is off by a fading amount only, gone when the halo ends.
     split, _ = split_rows(indexed, layout, max(horizon(s.a) for s in specs.values()))
     names = indexed.columns
-    schema = T.StructType([*indexed.schema.fields, *[T.StructField(n, T.DoubleType()) for n in specs]])
+    schema = nullable(T.StructType([*indexed.schema.fields, *[T.StructField(n, T.DoubleType()) for n in specs]]))
+
+    target = to_arrow_schema(schema)
 
     def scan(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(INDEX)
         for name, spec in specs.items():
             rows = rows.append_column(name, pa.array(_scan(rows[spec.value].to_pylist(), spec.a), pa.float64()))
-        return rows.filter(pc.invert(rows["_halo"])).select([*names, *specs])
+        return rows.filter(pc.invert(rows["_halo"])).select([*names, *specs]).cast(target)
 
     return split.groupBy(*layout.keys, "_chunk").applyInArrow(scan, schema)
