@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.asof import asof_join
 from tidewatch.plans.fold import keyed_fold
+from tidewatch.plans.frames import moments
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.recurrence import Recurrence, horizon, recur
@@ -81,6 +82,26 @@ def test_over_rows_matches_one_window(frame, data):
             assert got[r[2]] == (pytest.approx(want) if part else None)
 
 
+@pytest.mark.parametrize("lagged", [False, True])
+def test_moments(frame, data, lagged):
+    steps = frame.withColumn("x", F.when(F.col("ts_ms") < 1500, F.lit(4.25)).otherwise(F.col("x")))
+    out = over_rows(steps, LAYOUT, 7, lambda df, w: moments(df, w, 6, lagged=lagged, m="x")).collect()
+    got = {r.tick_id: r.m for r in out}
+    assert len(got) == len(data)
+    for rows in by_key(data).values():
+        xs = [4.25 if r[1] < 1500 else r[3] for r in rows]
+        for i, r in enumerate(rows):
+            part = xs[max(0, i - 6):i] if lagged else xs[max(0, i - 5):i + 1]
+            m = got[r[2]]
+            if not part:
+                assert m is None
+                continue
+            assert m.n == len(part) and m.mean == pytest.approx(sum(part) / len(part))
+            if len(part) > 1:
+                assert m.sd == pytest.approx(pd.Series(part).std(), abs=1e-9)
+                assert (m.sd == 0) == (len(set(part)) == 1)
+
+
 def test_over_range(frame, data):
     out = over_range(
         frame, LAYOUT, 120, lambda df, w: df.withColumn("s", F.sum("x").over(w.rangeBetween(-120, 0)))

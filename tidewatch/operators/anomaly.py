@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import log_return, price_jump_bps, spread_bps
 from tidewatch.plans.fold import keyed_fold
-from tidewatch.plans.frames import deviation, earlier, moments
+from tidewatch.plans.frames import moments
 from tidewatch.plans.layout import TICKS, Layout
 from tidewatch.plans.recurrence import Recurrence, recur
-from tidewatch.plans.scans import INDEX, Scan, over_range, over_rows, running
+from tidewatch.plans.scans import INDEX, Scan, following, over_range, over_rows, running
 from tidewatch.plans.store import materialise
 
 WARMUP = 30
@@ -153,7 +153,7 @@ def volume_ratio(features: DataFrame, layout: Layout = TICKS, *, window: int = 3
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         mean = F.coalesce(F.col("_vol.mean"), F.lit(1.0))
         ratio = F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0))
-        return earlier(moments(df, w, "volume", window, "_vol"), w, "_vol").withColumn("volume_ratio", ratio).drop("_vol")
+        return moments(df, w, window, lagged=True, _vol="volume").withColumn("volume_ratio", ratio).drop("_vol")
 
     return over_rows(features, layout, window, build)
 
@@ -165,7 +165,7 @@ def volume_ratio(features: DataFrame, layout: Layout = TICKS, *, window: int = 3
 def absolute_columns(df: DataFrame, w: WindowSpec, cfg: AbsoluteConfig = AbsoluteConfig()) -> DataFrame:
     jump = F.abs("jump_bps") / F.lit(cfg.price_jump_bps)
     wide = F.col("spread_bps") / F.lit(cfg.spread_bps)
-    df = earlier(moments(df, w, "volume", cfg.volume_window, "_vol"), w, "_vol")
+    df = moments(df, w, cfg.volume_window, lagged=True, _vol="volume")
     mean = F.coalesce(F.col("_vol.mean"), F.lit(1.0))
     spike = F.when(mean > 0, F.col("volume") / mean / F.lit(cfg.volume_spike_x)).otherwise(F.lit(0.0))
     closest = F.greatest(jump, wide, spike)
@@ -206,10 +206,13 @@ def mad_columns(df: DataFrame, w: WindowSpec, cfg: MadConfig = MadConfig()) -> D
 
 def vol_ratio_columns(df: DataFrame, w: WindowSpec, cfg: VolRatioConfig = VolRatioConfig()) -> DataFrame:
     df = df.withColumn("_square", F.col("ret") * F.col("ret"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_all", F.struct(F.sum("_square").over(upto).alias("s"), F.count("_square").over(upto).alias("n")))
     for name, n in (("_short", cfg.short_window), ("_long", cfg.long_window)):
-        df = moments(df, w, "_square", n, "_m")
-        size = F.lit(1.0) if cfg.normalize else F.col("_m.n")
-        df = df.withColumn(name, F.sqrt(F.col("_m.mean") * size))
+        old = F.lag("_all", n).over(w)
+        total = F.greatest(F.lit(0.0), F.col("_all.s") - F.coalesce(old["s"], F.lit(0.0)))
+        size = F.col("_all.n") - F.coalesce(old["n"], F.lit(0)) if cfg.normalize else F.lit(1.0)
+        df = df.withColumn(name, F.sqrt(total / size))
     ratio = F.col("_short") / F.col("_long")
     spike, extreme = cfg.spike_ratio, cfg.extreme_ratio
     return df.withColumn(
@@ -223,12 +226,12 @@ def vol_ratio_columns(df: DataFrame, w: WindowSpec, cfg: VolRatioConfig = VolRat
         )
         .when(ratio >= spike, verdict(0.45 + 0.25 * ((ratio - spike) / (extreme - spike)), True, "vol_spike"))
         .otherwise(verdict(F.least(F.lit(0.49), ratio / spike * 0.49), False, "normal")),
-    ).drop("_short", "_long", "_square", "_m")
+    ).drop("_short", "_long", "_square", "_all")
 
 
 def _z(value: str, m: str, flat: float) -> Column:
     """Sample z-score against a moments column; the deviation counts as ``flat`` where it vanishes (0: no score)."""
-    off, sd = F.col(value) - F.col(f"{m}.mean"), deviation(m)
+    off, sd = F.col(value) - F.col(f"{m}.mean"), F.col(f"{m}.sd")
     if flat:
         return off / F.when(sd < 1e-9, F.lit(flat)).otherwise(sd)
     return F.when(sd < 1e-9, F.lit(0.0)).otherwise(off / sd)
@@ -237,23 +240,22 @@ def _z(value: str, m: str, flat: float) -> Column:
 def cusum_input(df: DataFrame, w: WindowSpec, cfg: CusumConfig = CusumConfig()) -> DataFrame:
     """Add the weighted z-score against earlier rows that the accumulators consume."""
     warm = F.col(INDEX) - 1 >= WARMUP
-    z = F.lit(0.0)
-    for weight, value in ((cfg.w_price, "jump_bps"), (cfg.w_spread, "spread_bps"), (cfg.w_volume, "volume")):
-        df = earlier(moments(df, w, value, cfg.history, f"_m_{value}"), w, f"_m_{value}")
-        z = z + F.lit(weight) * F.when(warm, _z(value, f"_m_{value}", 0.0)).otherwise(F.lit(0.0))
-    return df.withColumn("cusum_z", z).drop("_m_jump_bps", "_m_spread_bps", "_m_volume")
+    df = moments(df, w, cfg.history, lagged=True, _mj="jump_bps", _ms="spread_bps", _mv="volume")
+    parts = ((cfg.w_price, "jump_bps", "_mj"), (cfg.w_spread, "spread_bps", "_ms"), (cfg.w_volume, "volume", "_mv"))
+    z = sum((F.lit(k) * F.when(warm, _z(v, m, 0.0)).otherwise(F.lit(0.0)) for k, v, m in parts), F.lit(0.0))
+    return df.withColumn("cusum_z", z).drop("_mj", "_ms", "_mv")
 
 
 def ewma_input(df: DataFrame, w: WindowSpec, cfg: EwmaConfig = EwmaConfig()) -> DataFrame:
     """Add the two driving terms of the control charts: the first z-score itself, then ``lam * z``."""
-    for name, value in (("price", "jump_bps"), ("spread", "spread_bps")):
-        df = moments(df, w, value, cfg.history, "_m")
-        z = _z(value, "_m", 1.0)
+    df = moments(df, w, cfg.history, _mj="jump_bps", _ms="spread_bps")
+    for name, value, m in (("price", "jump_bps", "_mj"), ("spread", "spread_bps", "_ms")):
+        z = _z(value, m, 1.0)
         df = df.withColumn(
             f"ewma_{name}_b",
             F.when(F.col(INDEX) == WARMUP, z).when(F.col(INDEX) > WARMUP, F.lit(cfg.lam) * z),
         )
-    return df.drop("_m")
+    return df.drop("_mj", "_ms")
 
 
 def ewma_columns(df: DataFrame, cfg: EwmaConfig = EwmaConfig()) -> DataFrame:
@@ -568,11 +570,7 @@ def coincidence_counts(scored: DataFrame, keys: tuple[str, ...] = ("symbol",)) -
 
 def silence_watchdog(ticks: DataFrame, layout: Layout = TICKS, *, silence_ms: int = 30_000, end_ms: int | None = None) -> DataFrame:
     """One forced HALT row per silent episode, stamped when the silence limit passed."""
-    after = running(
-        ticks.withColumn("_neg", -F.col(layout.ts)),
-        layout.with_(order=("_neg", *layout.order[1:])),
-        next_ts=Scan("last", F.col(layout.ts), exclusive=True),
-    )
+    after = following(ticks, layout, next_ts=layout.ts)
     limit = F.col(layout.ts) + F.lit(silence_ms)
     until = F.coalesce("next_ts", F.lit(end_ms).cast("long"))
     return after.where(until > limit).select(

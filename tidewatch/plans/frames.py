@@ -1,64 +1,62 @@
-"""Long row frames at a cost that does not grow with their length.
+"""Moments of long row frames at a cost that does not grow with their length.
 
-A frame of ``n`` rows is built from shorter ones: moments of the last few rows, then of the same structs one, two, ...
-strides earlier, and so on up. ``n`` = 1000 takes 10 + 10 + 10 steps per row instead of 1000. Moments are merged as
-(count, mean, squared deviations), which loses no precision where the mean is large against the spread.
+Each frame is the difference of two growing sums of the chunk. Values are centred on the chunk mean first, so the
+difference keeps its digits, and a growing count of changes tells an exactly constant frame apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_STEP = 16
 
-
-def _factors(n: int) -> list[int]:
-    """Split ``n`` into factors of at most 16, or leave it whole where it has a larger prime factor."""
-    out, rest = [], n
-    while rest > _STEP:
-        f = next((f for f in range(_STEP, 1, -1) if rest % f == 0), None)
-        if f is None:
-            return [n]
-        out.append(f)
-        rest //= f
-    return [*out, rest] if rest > 1 or not out else out
-
-
-def moments(df: DataFrame, w: WindowSpec, value: str, n: int, out: str) -> DataFrame:
-    """Add struct ``out(n, mean, m2)`` over the last ``n`` rows including the current one."""
-    first, *more = _factors(n)
-    frame = w.rowsBetween(-(first - 1), 0)
-    count = F.count(value).over(frame)
-    df = df.withColumn(
-        out,
-        F.struct(count.alias("n"), F.avg(value).over(frame).alias("mean"), (F.var_pop(value).over(frame) * count).alias("m2")),
+def moments(df: DataFrame, w: WindowSpec, n: int, *, lagged: bool = False, **values: str) -> DataFrame:
+    """Add a struct ``(n, mean, sd)`` per ``out=value`` over the last ``n`` rows, current one included.
+
+    ``lagged`` shifts the frame to the rows before the current one. ``sd`` is the sample deviation, null below two rows
+    and exactly 0 where all values are equal.
+    """
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    names = list(values)
+    df = df.select(
+        "*",
+        *[F.avg(values[o]).over(whole).alias(f"_mid_{o}") for o in names],
+        *[F.coalesce((F.lag(values[o]).over(w) != F.col(values[o])).cast("int"), F.lit(0)).alias(f"_new_{o}") for o in names],
+        F.row_number().over(w).alias("_pos"),
+    )
+    df = df.select(
+        "*",
+        *[
+            F.struct(
+                F.sum(F.col(values[o]) - F.col(f"_mid_{o}")).over(upto).alias("s1"),
+                F.sum(F.pow(F.col(values[o]) - F.col(f"_mid_{o}"), 2)).over(upto).alias("s2"),
+                F.sum(f"_new_{o}").over(upto).alias("c"),
+            ).alias(f"_sum_{o}")
+            for o in names
+        ],
+    )
+    df = df.select(
+        "*",
+        *[F.lag(f"_sum_{o}", n).over(w).alias(f"_old_{o}") for o in names],
+        *[F.coalesce(F.lag(f"_sum_{o}", n - 1).over(w)["c"], F.lit(0)).alias(f"_was_{o}") for o in names],
     )
-    stride = first
-    for factor in more:
-        names = [f"_{out}_{j}" for j in range(factor)]
-        df = df.select("*", *[F.lag(out, stride * j).over(w).alias(p) if j else F.col(out).alias(p) for j, p in enumerate(names)])
-        total = sum((F.coalesce(F.col(f"{p}.n"), F.lit(0)) for p in names), F.lit(0))
-        weighted = sum((F.coalesce(F.col(f"{p}.n") * F.col(f"{p}.mean"), F.lit(0.0)) for p in names), F.lit(0.0))
-        df = df.withColumn("_total", total).withColumn("_mean", weighted / F.col("_total"))
-        m2 = sum(
-            (
-                F.coalesce(F.col(f"{p}.m2") + F.col(f"{p}.n") * F.pow(F.col(f"{p}.mean") - F.col("_mean"), 2), F.lit(0.0))
-                for p in names
-            ),
-            F.lit(0.0),
-        )
-        df = df.withColumn(out, F.struct(F.col("_total").alias("n"), F.col("_mean").alias("mean"), m2.alias("m2")))
-        df = df.drop(*names, "_total", "_mean")
-        stride *= factor
+    size = F.least(F.col("_pos"), F.lit(n))
+
+    def result(o: str) -> Column:
+        s1 = F.col(f"_sum_{o}.s1") - F.coalesce(F.col(f"_old_{o}.s1"), F.lit(0.0))
+        s2 = F.col(f"_sum_{o}.s2") - F.coalesce(F.col(f"_old_{o}.s2"), F.lit(0.0))
+        flat = F.col(f"_sum_{o}.c") == F.col(f"_was_{o}")
+        spread = F.sqrt(F.greatest(F.lit(0.0), s2 - s1 * s1 / size) / (size - 1))
+        return F.struct(
+            size.alias("n"),
+            (F.col(f"_mid_{o}") + s1 / size).alias("mean"),
+            F.when(size > 1, F.when(flat, F.lit(0.0)).otherwise(spread)).alias("sd"),
+        ).alias(o)
+
+    work = [f"_{part}_{o}" for part in ("mid", "new", "sum", "old", "was") for o in names]
+    df = df.select("*", *[result(o) for o in names]).drop("_pos", *work)
+    if lagged:
+        for o in names:
+            df = df.withColumn(o, F.lag(o).over(w))
     return df
-
-
-def earlier(df: DataFrame, w: WindowSpec, out: str) -> DataFrame:
-    """Shift a moments column by one row, so that it covers the rows before the current one."""
-    return df.withColumn(out, F.lag(out).over(w))
-
-
-def deviation(out: str) -> Column:
-    """Sample standard deviation of a moments column; null below two rows."""
-    return F.when(F.col(f"{out}.n") > 1, F.sqrt(F.col(f"{out}.m2") / (F.col(f"{out}.n") - 1)))

@@ -199,3 +199,10 @@ def over_range(
     w = Window.partitionBy(*layout.keys, "_chunk").orderBy(layout.ts)
     out = build(split, w)
     return out.where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def following(df: DataFrame, layout: Layout, **columns: str) -> DataFrame:
+    """Add the next row's value of each column (``out=source``), null in the last row of a key. Orders must be numeric."""
+    back = [f"_back_{i}" for i in range(len(layout.order))]
+    turned = df.select("*", *[(-F.col(c)).alias(b) for c, b in zip(layout.order, back)])
+    return previous(turned, layout.with_(order=tuple(back)), **columns).drop(*back)
