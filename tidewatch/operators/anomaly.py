@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.functions.arrays import array_median
 from tidewatch.functions.scalar import log_return, price_jump_bps, spread_bps
 from tidewatch.plans.fold import keyed_fold
 from tidewatch.plans.frames import moments
@@ -179,19 +180,12 @@ def absolute_columns(df: DataFrame, w: WindowSpec, cfg: AbsoluteConfig = Absolut
     ).drop("_vol")
 
 
-def _array_median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    low = F.element_at(s, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(s, F.floor((n + 2) / 2).cast("int"))
-    return (low + high) / 2.0
-
-
 def mad_columns(df: DataFrame, w: WindowSpec, cfg: MadConfig = MadConfig()) -> DataFrame:
     frame = w.rowsBetween(-(cfg.window - 1), 0)
     df = (
         df.withColumn("_rets", F.collect_list("ret").over(frame))
-        .withColumn("_med", _array_median(F.col("_rets")))
-        .withColumn("_mad", _array_median(F.transform("_rets", lambda x: F.abs(x - F.col("_med")))))
+        .withColumn("_med", array_median(F.col("_rets")))
+        .withColumn("_mad", array_median(F.transform("_rets", lambda x: F.abs(x - F.col("_med")))))
     )
     z = F.abs(F.col("ret") - F.col("_med")) / (F.lit(1.4826) * F.col("_mad"))
     k = F.when(F.col("regime") == 1, F.lit(cfg.k_high_vol)).otherwise(F.lit(cfg.k_low_vol))
