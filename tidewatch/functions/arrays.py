@@ -8,12 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_median(a: Column) -> Column:
     """Mean of the middle two values; null for an empty array."""
-    s, n = F.array_sort(a), F.size(a)
-    low = F.try_element_at(s, F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int")))
-    high = F.try_element_at(s, F.greatest(F.lit(1), F.floor((n + 2) / 2).cast("int")))
-    return F.when(n > 0, (low + high) / 2.0)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2.0)
+
+    return bind(F.sort_array(a), middle)
 
 
 def total(a: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
@@ -22,7 +29,7 @@ def total(a: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
 
 def weighted_median(quotes: Column, mid: str = "mid", weight: str = "volume_24h") -> Column:
     """First value, by size, whose cumulative weight reaches half; the plain median where no weight is positive."""
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.transform(
             quotes,
             lambda q: F.struct(
@@ -30,12 +37,15 @@ def weighted_median(quotes: Column, mid: str = "mid", weight: str = "volume_24h"
             ),
         )
     )
-    half = total(pairs, lambda p: p["w"]) / 2.0
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("pick"))
 
-    def step(acc: Column, p: Column) -> Column:
-        cum = acc["cum"] + p["w"]
-        return F.struct(cum.alias("cum"), F.coalesce(acc["pick"], F.when(cum >= half, p["m"])).alias("pick"))
+    def pick(p: Column, half: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            cum = acc["cum"] + x["w"]
+            return F.struct(cum.alias("cum"), F.coalesce(acc["pick"], F.when(cum >= half, x["m"])).alias("pick"))
+
+        return F.when(half > 0, F.aggregate(p, start, step, lambda acc: acc["pick"])).otherwise(
+            array_median(F.transform(p, lambda x: x["m"]))
+        )
 
-    picked = F.aggregate(pairs, start, step, lambda acc: acc["pick"])
-    return F.when(half > 0, picked).otherwise(array_median(F.transform(pairs, lambda p: p["m"])))
+    return bind(pairs, lambda p: bind(total(p, lambda x: x["w"]) / 2.0, lambda half: pick(p, half)))

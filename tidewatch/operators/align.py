@@ -99,7 +99,7 @@ def active_sources(latest: DataFrame, *, liveness_ms: int = 30_000) -> DataFrame
     """Venues seen shortly before each window's end; one row per venue in a group."""
     seen = F.col("window_end_ms") - F.col("ts_ms") <= liveness_ms
     return latest.groupBy("symbol", "window_end_ms").agg(
-        F.array_sort(F.collect_set(F.when(seen, F.col("exchange_id")))).alias("active_sources")
+        F.sort_array(F.collect_set(F.when(seen, F.col("exchange_id")))).alias("active_sources")
     )
 
 

@@ -32,7 +32,7 @@ def windows(filled: DataFrame) -> DataFrame:
     """One row per window with its quotes in venue order."""
     cols = [c for c in filled.columns if c not in ("symbol", "window_start_ms", "window_end_ms", "exchange_id")]
     return filled.groupBy("symbol", "window_end_ms").agg(
-        F.array_sort(F.collect_list(F.struct("exchange_id", *cols))).alias("quotes")
+        F.sort_array(F.collect_list(F.struct("exchange_id", *cols))).alias("quotes")
     )
 
 

@@ -37,10 +37,16 @@ def age_weight(age_ms: Column, half_life_ms: float = 7500.0) -> Column:
 
 def t2_agreement(quotes: Column, centre: Column, tolerance: Column, *, half_life_ms: float = 7500.0) -> Column:
     """Share of the age-weighted quotes that lie within the tolerance of the consensus."""
-    weight = lambda q: age_weight(q["age_ms"], half_life_ms)
-    agree = total(quotes, lambda q: F.when(F.abs(q["mid"] - centre) <= tolerance, weight(q)).otherwise(F.lit(0.0)))
-    both = total(quotes, weight)
-    return F.when(both > 0, agree / both).otherwise(F.lit(0.0))
+    start = F.struct(F.lit(0.0).alias("agree"), F.lit(0.0).alias("all"))
+
+    def step(acc: Column, q: Column) -> Column:
+        near = F.when(F.abs(q["mid"] - centre) <= tolerance, 1.0).otherwise(0.0)
+        w = age_weight(q["age_ms"], half_life_ms)
+        return F.struct((acc["agree"] + w * near).alias("agree"), (acc["all"] + w).alias("all"))
+
+    return F.aggregate(
+        quotes, start, step, lambda acc: F.when(acc["all"] > 0, acc["agree"] / acc["all"]).otherwise(F.lit(0.0))
+    )
 
 
 def t2_ratio(agreeing: Column, sources: Column) -> Column:

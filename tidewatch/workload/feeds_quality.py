@@ -204,7 +204,7 @@ ESC = C.ConsensusConfig(tolerance=0.0006)
 SELECT symbol, exchange_id, window_end_ms, 3 AS streak FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, exchange_id, island, divergent ORDER BY win) AS run
   FROM (SELECT *, sum(CAST(NOT divergent AS INTEGER)) OVER (PARTITION BY symbol, exchange_id ORDER BY win) AS island
-        FROM (SELECT *, abs(mid - centre) / abs(centre) > 0.0006 AS divergent FROM judged))) WHERE divergent AND run = 3""", *CONSENSUS))
+        FROM (SELECT * EXCLUDE (divergent), abs(mid - centre) / abs(centre) > 0.0006 AS divergent FROM judged))) WHERE divergent AND run = 3""", *CONSENSUS))
 def divergence_escalation(spark, sf):
     wins = C.consensus(C.windows(filled(spark, sf)), ESC)
     out = C.divergence_escalation(wins, ESC, slot_ms=10 * DAY_MS)
