@@ -119,11 +119,14 @@ def scan_kline_archive(spark, sf):
     return rows.select("open_time_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "close_time_ms")
 
 
-@query("kline_to_ticks", with_ticks("""SELECT o AS ts_ms, round((high + low) / 2 - (high - low) / 2 + 0.001, 1) AS bid, round((high + low) / 2 + (high - low) / 2 + 0.001, 1) AS ask FROM kl""", KL_SQL))
+@query("kline_to_ticks", with_ticks("""
+SELECT o AS ts_ms, ceil(low * 100 - 0.0001) / 100 AS bid, ceil(high * 100 - 0.0001) / 100 AS ask, ceil(close * 100 - 0.0001) / 100 AS last_price FROM kl""", KL_SQL))
 def kline_to_ticks(spark, sf):
-    # Prices moved off the rounding edge and compared at one place: both engines round halves their own way.
-    out = K.kline_to_ticks(klines(spark, sf).withColumn("high", F.col("high") + 0.001).withColumn("low", F.col("low") + 0.001))
-    return out.select("ts_ms", F.round("bid", 1).alias("bid"), F.round("ask", 1).alias("ask"))
+    # Archive prices have two decimals.
+    k = klines(spark, sf)
+    for c in ("high", "low", "close"):
+        k = k.withColumn(c, F.ceil(F.col(c) * 100 - 0.0001) / 100)
+    return K.kline_to_ticks(k).select("ts_ms", "bid", "ask", "last_price")
 
 
 @query("trade_to_ticks", "SELECT epoch_us(l_shipdate) // 1000 AS ts_ms, 'P' || l_partkey AS symbol, l_extendedprice AS bid, l_extendedprice AS ask, l_extendedprice AS last_price, l_quantity AS volume FROM lineitem")
