@@ -15,7 +15,7 @@ from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.recurrence import Recurrence, horizon, recur
 from tidewatch.plans.scans import Scan, index_rows, over_range, over_rows, previous, running
 
-LAYOUT = Layout(slot_ms=50, chunk_rows=16)
+LAYOUT = Layout(slot_ms=50, chunk_rows=16, fold_rows=16)
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,8 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -340,40 +342,47 @@ def cusum_lindley(prepared: DataFrame, layout: Layout = TICKS, *, cfg: CusumConf
 # ------------------------------------------------------------------------------------------------------ regime
 
 
-def regime_columns(df: DataFrame, w: WindowSpec, model: RegimeModel = RegimeModel(), value: str = "rv") -> DataFrame:
-    """Most likely path's last state and the filtered probability over the last ``model.window`` values.
+def _last_state(model: RegimeModel):
+    """Vectorised decoder: for every list of recent values, the best path's last state and its filtered probability.
 
-    Both passes fold the same bounded list: sums of probabilities for the filter, maxima for the path.
+    Runs over Arrow batches: one numpy step per position of the window, for all rows of a batch at once.
     """
-    ln = math.log
-
-    def density(x: Column, s: int) -> Column:
-        z = (x - model.means[s]) / model.sds[s]
-        return F.lit(-ln(model.sds[s]) - 0.5 * ln(2 * math.pi)) - z * z / 2.0
-
+    ln, n = math.log, model.window
     stay0, stay1 = model.stay
-    move = [[ln(stay0), ln(1 - stay0)], [ln(1 - stay1), ln(stay1)]]
-    empty = F.struct(*[F.lit(0.0).alias(n) for n in ("f0", "f1", "v0", "v1")], F.lit(True).alias("first"))
+    move = np.array([[ln(stay0), ln(1 - stay0)], [ln(1 - stay1), ln(stay1)]])
+
+    def decode(recent: pd.Series) -> pd.DataFrame:
+        sizes = recent.str.len().to_numpy()
+        x = np.full((len(recent), n), np.nan)
+        for i, values in enumerate(recent):
+            x[i, n - len(values):] = values
+        z = [(x - m) / s for m, s in zip(model.means, model.sds)]
+        emit = [-ln(s) - 0.5 * ln(2 * math.pi) - q * q / 2.0 for s, q in zip(model.sds, z)]
+        f = v = None
+        for t in range(n):
+            e = np.stack([emit[0][:, t], emit[1][:, t]])
+            begin = e + np.log(np.array(model.start))[:, None]
+            if f is None:
+                f, v = begin, begin
+                continue
+            starts = (sizes == n - t)[None, :]
+            steps = f[:, None, :] + move[:, :, None]
+            f = np.where(starts, begin, e + np.logaddexp(steps[0], steps[1]))
+            v = np.where(starts, begin, e + (v[:, None, :] + move[:, :, None]).max(axis=0))
+        high = 1.0 / (1.0 + np.exp(f[0] - f[1]))
+        return pd.DataFrame({"regime": (v[1] > v[0]).astype("int32"), "high": high})
+
+    return F.pandas_udf(decode, "regime int, high double")
 
-    def log_add(a: Column, b: Column) -> Column:
-        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-
-    def step(acc: Column, x: Column) -> Column:
-        cols = []
-        for s, (f, v) in enumerate((("f0", "v0"), ("f1", "v1"))):
-            e = density(x, s)
-            begin = F.lit(ln(model.start[s])) + e
-            cols.append(F.when(acc.first, begin).otherwise(e + log_add(acc.f0 + move[0][s], acc.f1 + move[1][s])).alias(f))
-            cols.append(F.when(acc.first, begin).otherwise(e + F.greatest(acc.v0 + move[0][s], acc.v1 + move[1][s])).alias(v))
-        return F.struct(cols[0], cols[2], cols[1], cols[3], F.lit(False).alias("first"))
 
+def regime_columns(df: DataFrame, w: WindowSpec, model: RegimeModel = RegimeModel(), value: str = "rv") -> DataFrame:
+    """Most likely path's last state and the filtered probability over the last ``model.window`` values."""
     recent = F.collect_list(value).over(w.rowsBetween(-(model.window - 1), 0))
-    out = df.withColumn("_hmm", F.aggregate(recent, empty, step))
-    p1 = 1.0 / (1.0 + F.exp(F.col("_hmm.f0") - F.col("_hmm.f1")))
+    out = df.withColumn("_recent", recent).withColumn("_hmm", _last_state(model)("_recent"))
     return (
-        out.withColumn("regime", F.when(F.col("_hmm.v1") > F.col("_hmm.v0"), 1).otherwise(0))
-        .withColumn("regime_posterior", F.array(1.0 - p1, p1))
-        .drop("_hmm")
+        out.withColumn("regime", F.col("_hmm.regime"))
+        .withColumn("regime_posterior", F.array(1.0 - F.col("_hmm.high"), F.col("_hmm.high")))
+        .drop("_hmm", "_recent")
     )
 
 

@@ -27,12 +27,12 @@ def keyed_fold(
 ) -> DataFrame:
     """Add the columns ``adds`` (DDL) that ``fold(columns, state) -> (new columns, state)`` computes in key order.
 
-    ``fold`` sees the columns ``needs`` of at most ``layout.chunk_rows`` consecutive rows; its state is a string (JSON
+    ``fold`` sees the columns ``needs`` of at most ``layout.fold_rows`` consecutive rows; its state is a string (JSON
     where it has parts), so it can be compared and stored.
     """
     indexed = df if INDEX in df.columns else index_rows(df, layout)
     base = materialise(
-        indexed.withColumn("_chunk", F.floor((F.col(INDEX) - 1) / F.lit(layout.chunk_rows)).cast("long"))
+        indexed.withColumn("_chunk", F.floor((F.col(INDEX) - 1) / F.lit(layout.fold_rows)).cast("long"))
     )
     group = [*layout.keys, "_chunk"]
     kept = indexed.columns

@@ -16,7 +16,9 @@ class Layout:
     order unique. One key may hold a large part of the table, so work is never partitioned by ``keys`` alone:
 
     * time slots ``floor(order[0] / slot_ms)`` bound the group of a running (unbounded) scan,
-    * chunks of ``chunk_rows`` consecutive rows bound the group of a bounded frame, a recurrence or a fold.
+    * chunks of ``chunk_rows`` consecutive rows bound the group of a bounded frame or a recurrence,
+    * chunks of ``fold_rows`` consecutive rows bound the group of a fold, which is cheap per row but costs a round per
+      chunk whose start was guessed wrong.
 
     Choose ``slot_ms`` so that the densest slot of the busiest key sorts comfortably in one task.
     """
@@ -24,7 +26,8 @@ class Layout:
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("ts_ms", "tick_id")
     slot_ms: int = 3_600_000
-    chunk_rows: int = 200_000
+    chunk_rows: int = 50_000
+    fold_rows: int = 500_000
 
     @property
     def ts(self) -> str:

@@ -19,6 +19,14 @@ def _json(path: str, source: Column | str = RAW) -> Column:
     return F.get_json_object(F.col(source) if isinstance(source, str) else source, path)
 
 
+def _parsed(df: DataFrame, schema: str) -> DataFrame:
+    """Parse each message once; fields of any JSON type arrive as text.
+
+    The one-element explode keeps the optimizer from pushing the checks below the parse, which would parse per check.
+    """
+    return df.withColumn("_m", F.explode(F.array(F.from_json(RAW, schema))))
+
+
 def _number(text: Column) -> Column:
     return text.try_cast("double")
 
@@ -32,7 +40,7 @@ def _tick(
     df: DataFrame, venue: str, keep: Column, symbol: Column, bid: Column, ask: Column, last: Column, volume: Column, ts: Column,
     *, source: str = "exchange", sequence: Column | None = None,
 ) -> DataFrame:
-    extra = [c for c in df.columns if c not in (RAW, RECEIVED)]
+    extra = [c for c in df.columns if c not in (RAW, RECEIVED, "_m", "_d")]
     return df.where(F.coalesce(keep, F.lit(False))).select(
         *extra, F.lit(venue).alias("exchange_id"), symbol.alias("symbol"), _number(bid).alias("bid"), _number(ask).alias("ask"),
         _number(last).alias("last_price"), _number(volume).alias("volume_24h"), ts.try_cast("long").alias("exchange_ts_ms"),
@@ -43,8 +51,10 @@ def _tick(
 
 def normalize_binance(df: DataFrame) -> DataFrame:
     """Single or combined stream; all six fields are required."""
-    body = F.coalesce(_json("$.data"), F.col(RAW))
-    f = {k: _json(f"$.{k}", body) for k in ("b", "a", "c", "v", "E", "s")}
+    fields = "b string, a string, c string, v string, E string, s string"
+    df = _parsed(df, f"{fields}, data struct<{fields.replace(' string', ': string')}>")
+    wrapped = F.col("_m.data").isNotNull()
+    f = {k: F.when(wrapped, F.col(f"_m.data.{k}")).otherwise(F.col(f"_m.{k}")) for k in ("b", "a", "c", "v", "E", "s")}
     keep = F.lit(True)
     for col in f.values():
         keep = keep & col.isNotNull()
@@ -54,12 +64,13 @@ def normalize_binance(df: DataFrame) -> DataFrame:
 def normalize_coinbase(df: DataFrame) -> DataFrame:
     """Ticker messages with ISO times; the only venue with a sequence."""
     names = ("product_id", "best_bid", "best_ask", "price", "volume_24h", "time")
-    f = {k: _json(f"$.{k}") for k in names}
-    keep = _json("$.type") == "ticker"
+    df = _parsed(df, ", ".join(f"{n} string" for n in (*names, "type", "sequence")))
+    f = {k: F.col(f"_m.{k}") for k in names}
+    keep = F.col("_m.type") == "ticker"
     for col in f.values():
         keep = keep & col.isNotNull()
     ts = F.unix_millis(F.try_to_timestamp(f["time"]))
-    return _tick(df, "coinbase", keep, F.upper(f["product_id"]), f["best_bid"], f["best_ask"], f["price"], f["volume_24h"], ts, sequence=_json("$.sequence"))
+    return _tick(df, "coinbase", keep, F.upper(f["product_id"]), f["best_bid"], f["best_ask"], f["price"], f["volume_24h"], ts, sequence=F.col("_m.sequence"))
 
 
 def normalize_kraken(df: DataFrame) -> DataFrame:
@@ -72,27 +83,33 @@ def normalize_kraken(df: DataFrame) -> DataFrame:
 
 def normalize_okx(df: DataFrame) -> DataFrame:
     """First row of a tickers push; control events drop out."""
-    d = "$.data[0]."
-    last, bid, ask, ts = (_filled(_json(d + k)) for k in ("last", "bidPx", "askPx", "ts"))
-    symbol = F.upper(F.coalesce(_filled(_json(d + "instId")), _filled(_json("$.arg.instId"))))
-    event = F.coalesce(_json("$.event"), F.lit(""))
-    keep = ~event.isin("subscribe", "pong") & (_json("$.arg.channel") == "tickers")
-    keep = keep & last.isNotNull() & bid.isNotNull() & ask.isNotNull() & ts.isNotNull() & symbol.isNotNull()
-    volume = F.coalesce(_filled(_json(d + "vol24h")), _filled(_json(d + "volCcy24h")), F.lit("0"))
-    return _tick(df, "okx", keep, symbol, bid, ask, last, volume, ts)
-
-
-def _bybit_field(name: str) -> Column:
-    """From the data object or, where data is a list, from its first element."""
-    return _filled(F.coalesce(_json(f"$.data.{name}"), _json(f"$.data[0].{name}")))
+    names = ("last", "bidPx", "askPx", "ts", "instId", "vol24h", "volCcy24h")
+    row = ", ".join(f"{n}: string" for n in names)
+    df = _parsed(df, f"event string, arg struct<channel: string, instId: string>, data array<struct<{row}>>")
+    first = F.get("_m.data", F.lit(0))
+    f = {n: _filled(first[n]) for n in names}
+    symbol = F.upper(F.coalesce(f["instId"], _filled(F.col("_m.arg.instId"))))
+    event = F.coalesce(F.col("_m.event"), F.lit(""))
+    keep = ~event.isin("subscribe", "pong") & (F.col("_m.arg.channel") == "tickers")
+    for col in (f["last"], f["bidPx"], f["askPx"], f["ts"], symbol):
+        keep = keep & col.isNotNull()
+    volume = F.coalesce(f["vol24h"], f["volCcy24h"], F.lit("0"))
+    return _tick(df, "okx", keep, symbol, f["bidPx"], f["askPx"], f["last"], volume, f["ts"])
 
 
 def normalize_bybit(df: DataFrame) -> DataFrame:
-    last, bid, ask, symbol = (_bybit_field(k) for k in ("lastPrice", "bid1Price", "ask1Price", "symbol"))
-    ts = _json("$.ts")
-    keep = F.startswith(_json("$.topic"), F.lit("tickers.")) & last.isNotNull() & bid.isNotNull() & ask.isNotNull() & ts.isNotNull() & symbol.isNotNull()
-    volume = F.coalesce(_bybit_field("turnover24h"), _bybit_field("volume24h"), F.lit("0"))
-    return _tick(df, "bybit", keep, dashed_symbol(symbol), bid, ask, last, volume, ts)
+    """Data is an object or a list whose first element counts."""
+    names = ("lastPrice", "bid1Price", "ask1Price", "symbol", "turnover24h", "volume24h")
+    row = "struct<" + ", ".join(f"{n}: string" for n in names) + ">"
+    df = _parsed(df, "topic string, ts string, data string")
+    body = F.col("_m.data")
+    df = df.withColumn("_d", F.when(F.startswith(body, F.lit("[")), F.get(F.from_json(body, f"array<{row}>"), F.lit(0))).otherwise(F.from_json(body, row)))
+    f = {n: _filled(F.col(f"_d.{n}")) for n in names}
+    keep = F.startswith(F.col("_m.topic"), F.lit("tickers."))
+    for col in (f["lastPrice"], f["bid1Price"], f["ask1Price"], F.col("_m.ts"), f["symbol"]):
+        keep = keep & col.isNotNull()
+    volume = F.coalesce(f["turnover24h"], f["volume24h"], F.lit("0"))
+    return _tick(df, "bybit", keep, dashed_symbol(f["symbol"]), f["bid1Price"], f["ask1Price"], f["lastPrice"], volume, F.col("_m.ts"))
 
 
 def merge_deltas(updates: DataFrame, layout: Layout, fields: tuple[str, ...] = ("last", "bid", "ask", "volume", "exchange_ts_ms"), required: tuple[str, ...] = ("last", "bid", "ask", "exchange_ts_ms")) -> DataFrame:

@@ -11,8 +11,8 @@ DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
 # The sample covers 30 days with minutes between ticks, so a slot is a day.
-LAYOUT = Layout(slot_ms=DAY_MS)
-VENUE_LAYOUT = Layout(keys=("symbol", "exchange_id"), slot_ms=DAY_MS)
+LAYOUT = Layout(slot_ms=DAY_MS, chunk_rows=6_000)
+VENUE_LAYOUT = LAYOUT.with_(keys=("symbol", "exchange_id"))
 
 # Which venue each event type stands for.
 VENUE_OF_EVENT = {"click": "binance", "view": "bybit", "purchase": "coinbase", "signup": "kraken", "error": "okx"}
@@ -27,25 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_ticks(events: DataFrame) -> DataFrame:
     """Project events (batch or stream) onto the tick schema."""
     venue = F.create_map(*[F.lit(x) for pair in VENUE_OF_EVENT.items() for x in pair])
-    k = F.get_json_object("props", "$.k").cast("int")
-    ts = F.unix_millis(F.col("ts").cast("timestamp"))
-    mid = F.lit(100.0) + F.col("value") / F.lit(500.0)
-    half = (F.lit(0.01) + k / F.lit(10000.0)) / F.lit(2.0)
-    receive = F.col("event_type") == "signup"
-    return events.select(
+    # Two steps, so that the JSON field is parsed once per row and not once per use.
+    base = events.select(
         F.col("event_id").alias("tick_id"),
         F.try_element_at(venue, F.col("event_type")).alias("exchange_id"),
         F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("symbol"),
-        ts.alias("ts_ms"),
-        k.alias("k"),
-        mid.alias("mid"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        (F.lit(100.0) + F.col("value") / F.lit(500.0)).alias("mid"),
+    )
+    k, mid, ts = F.col("k"), F.col("mid"), F.col("ts_ms")
+    half = (F.lit(0.01) + k / F.lit(10000.0)) / F.lit(2.0)
+    receive = F.col("exchange_id") == "kraken"
+    return base.select(
+        *base.columns,
         (mid - half).alias("bid"),
         (mid + half).alias("ask"),
         mid.alias("last_price"),
         (F.lit(1.0) + k).alias("volume_24h"),
         F.when(receive, ts).otherwise(ts - 10 * k).alias("exchange_ts_ms"),
         F.when(receive, "receive").otherwise("exchange").alias("timestamp_source"),
-        F.when(F.col("event_type") == "purchase", F.floor(F.col("event_id") / 5)).cast("long").alias("sequence_id"),
+        F.when(F.col("exchange_id") == "coinbase", F.floor(F.col("tick_id") / 5)).cast("long").alias("sequence_id"),
         (k % 20 != 0).alias("tls_ok"),
     )
 
