@@ -71,8 +71,10 @@ def anchored_windows(marked: DataFrame) -> DataFrame:
 def latest_by_venue(aligned: DataFrame, venues: list[str], layout: Layout = VENUE, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """For every window and configured venue, the venue's last tick before the window's end, and its age.
 
-    An as-of join on already reduced rows: windows times venues against one tick per venue and window.
+    An as-of join on already reduced rows: windows times venues against one tick per venue and window. Those rows feed
+    the spine and both levels of the join, so they are stored once instead of being reduced from the ticks each time.
     """
+    aligned = materialise(aligned)
     spine = (
         aligned.select("symbol", "window_start_ms", "window_end_ms").distinct()
         .withColumn("exchange_id", F.explode(F.array(*[F.lit(v) for v in venues])))

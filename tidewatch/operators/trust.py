@@ -13,6 +13,7 @@ from tidewatch.functions.scalar import clip01
 from tidewatch.operators.consensus import WINDOWS, ConsensusConfig
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import Scan, following, running
+from tidewatch.plans.store import materialise
 
 
 @dataclass(frozen=True)
@@ -203,7 +204,11 @@ def stale_sources(ticks: DataFrame, configured: DataFrame, *, end_ms: Column | i
 def quality_events(
     gaps: DataFrame, validated: DataFrame, silences: DataFrame, breaker: DataFrame, escalations: DataFrame, layout: Layout = WINDOWS,
 ) -> DataFrame:
-    """One event table ``(event, symbol, ts_ms, payload)`` out of the quality operators' results."""
+    """One event table ``(event, symbol, ts_ms, payload)`` out of the quality operators' results.
+
+    Tables that feed more than one kind of event are stored once.
+    """
+    validated, breaker = materialise(validated), materialise(breaker)
     def event(df: DataFrame, name: Column | str, ts: str, *payload: str) -> DataFrame:
         label = name if isinstance(name, Column) else F.lit(name)
         symbol = F.col("symbol") if "symbol" in df.columns else F.lit(None).cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import types as T
 _SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidewatch-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by the session's ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set(_SETTING, folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get(_SETTING, None)
+    return (folder or _test_folder()).rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from tidewatch.operators import align as L
 from tidewatch.operators import consensus as C
 from tidewatch.operators import trust as T
 from tidewatch.plans.layout import Layout
+from tidewatch.plans.store import materialise
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
 from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, VENUE_LAYOUT, VENUES, VENUES_SQL, table, ticks, with_ticks
@@ -53,12 +54,12 @@ def filled(spark, sf):
     return L.lkv_fill(latest(spark, sf), staleness_ms=STALE_MS)
 
 
-def decided(spark, sf):
-    return C.consensus(C.windows(filled(spark, sf)))
+def decided(spark, sf, wins=None):
+    return C.consensus(C.windows(filled(spark, sf)) if wins is None else wins)
 
 
-def validated(spark, sf):
-    return T.validated_tick(decided(spark, sf), VENUES, liveness_ms=SILENT_MS, cfg=TRUST)
+def validated(spark, sf, wins=None):
+    return T.validated_tick(decided(spark, sf, wins), VENUES, liveness_ms=SILENT_MS, cfg=TRUST)
 
 
 TRUST = T.TrustConfig(agreement_half_life_ms=3 * HOUR_MS, latency_half_life_ms=HOUR_MS / 2)
@@ -206,7 +207,7 @@ SELECT symbol, exchange_id, window_end_ms, 3 AS streak FROM (
   FROM (SELECT *, sum(CAST(NOT divergent AS INTEGER)) OVER (PARTITION BY symbol, exchange_id ORDER BY win) AS island
         FROM (SELECT * EXCLUDE (divergent), abs(mid - centre) / abs(centre) > 0.0006 AS divergent FROM judged))) WHERE divergent AND run = 3""", *CONSENSUS))
 def divergence_escalation(spark, sf):
-    wins = C.consensus(C.windows(filled(spark, sf)), ESC)
+    wins = C.consensus(materialise(C.windows(filled(spark, sf))), ESC)
     out = C.divergence_escalation(wins, ESC, slot_ms=10 * DAY_MS)
     return out.withColumn("streak", F.col("streak").cast("int"))
 
@@ -216,9 +217,10 @@ BREAKER_SQL = """breaker AS MATERIALIZED (
   FROM (SELECT *, sum(CAST(NOT failed AS INTEGER)) OVER (PARTITION BY symbol ORDER BY win) AS island FROM (SELECT *, used_n < 5 AS failed FROM cons)))"""
 
 
-def broken(spark, sf):
+def broken(spark, sf, wins=None):
     cfg = C.ConsensusConfig(breaker_after=3)
-    return C.consensus_breaker(decided(spark, sf), F.size("used_sources") < 5, WIN_LAYOUT, cfg)
+    wins = materialise(C.windows(filled(spark, sf))) if wins is None else wins
+    return C.consensus_breaker(decided(spark, sf, wins), F.size("used_sources") < 5, WIN_LAYOUT, cfg)
 
 
 @query("consensus_breaker", with_ticks("SELECT symbol, window_end_ms, failures, failures >= 3 AS breaker_open FROM breaker", *CONSENSUS, BREAKER_SQL))
@@ -321,7 +323,7 @@ DEGRADE_SQL = """degraded AS MATERIALIZED (
 SELECT symbol, window_end_ms, round(prev, 7) AS previous_trust, round(trust_score, 7) AS trust_score, round(fall, 7) AS trust_drop, cause AS primary_cause FROM degraded""",
     *VALID, DEGRADE_SQL))
 def trust_degradation(spark, sf):
-    out = T.trust_degradation(validated(spark, sf), WIN_LAYOUT)
+    out = T.trust_degradation(materialise(validated(spark, sf)), WIN_LAYOUT)
     return out.select("symbol", "window_end_ms", *[r(F.col(c), 7).alias(c) for c in ("previous_trust", "trust_score", "trust_drop")], "primary_cause")
 
 
@@ -392,7 +394,7 @@ SELECT event, symbol, ts_ms, payload FROM (
           FROM (SELECT *, abs(mid - centre) / abs(centre) > 0.0006 AS d FROM judged))) WHERE divergent AND run = 3)""",
     *VALID, GAP_SQL, DEGRADE_SQL, LIVE_SQL, BREAKER_SQL))
 def quality_events(spark, sf):
-    wins = C.consensus(C.windows(filled(spark, sf)), ESC)
+    wins = materialise(C.windows(filled(spark, sf)))
     return T.quality_events(
-        tick_gaps(spark, sf), validated(spark, sf), silences(spark, sf), broken(spark, sf),
-        C.divergence_escalation(wins, ESC, slot_ms=10 * DAY_MS), WIN_LAYOUT)
+        tick_gaps(spark, sf), validated(spark, sf, wins), silences(spark, sf), broken(spark, sf, wins),
+        C.divergence_escalation(C.consensus(wins, ESC), ESC, slot_ms=10 * DAY_MS), WIN_LAYOUT)

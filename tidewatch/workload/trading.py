@@ -219,10 +219,10 @@ def stop_levels(spark, sf):
 
 @query("risk_checks", with_risk("""
 SELECT l_orderkey, l_linenumber, reject IS NULL AS approved, coalesce(reject, CASE WHEN direction = 'CLOSE_ALL' THEN 'approved close all' WHEN notes = '' THEN 'approved' ELSE notes END) AS reason,
-  round(CASE WHEN reject IS NULL THEN CASE WHEN direction = 'CLOSE_ALL' THEN greatest(0.0, least(exposure, 0.60)) ELSE size END END, 6) AS approved_size,
+  round(CASE WHEN reject IS NULL THEN CASE WHEN direction = 'CLOSE_ALL' THEN greatest(0.0, least(exposure, 0.60)) ELSE size END END, 12) AS approved_size,
   CASE WHEN reject IS NULL THEN notes END AS adjustments FROM rdec"""))
 def risk_checks(spark, sf):
-    return decisions(spark, sf).select(*IDS, "approved", "reason", r(F.col("approved_size"), 6).alias("approved_size"),
+    return decisions(spark, sf).select(*IDS, "approved", "reason", r(F.col("approved_size"), 12).alias("approved_size"),
                                        F.when(F.col("approved"), F.concat_ws("; ", "adjustments")).alias("adjustments"))
 
 
