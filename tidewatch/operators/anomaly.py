@@ -367,7 +367,8 @@ def _last_state(model: RegimeModel):
                 continue
             starts = (sizes == n - t)[None, :]
             steps = f[:, None, :] + move[:, :, None]
-            f = np.where(starts, begin, e + np.logaddexp(steps[0], steps[1]))
+            with np.errstate(invalid="ignore"):  # positions before the window starts
+                f = np.where(starts, begin, e + np.logaddexp(steps[0], steps[1]))
             v = np.where(starts, begin, e + (v[:, None, :] + move[:, :, None]).max(axis=0))
         high = 1.0 / (1.0 + np.exp(f[0] - f[1]))
         return pd.DataFrame({"regime": (v[1] > v[0]).astype("int32"), "high": high})
