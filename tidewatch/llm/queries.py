@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.decontaminate import contamination
+from tidewatch.llm.jaccard import near_duplicates
 from tidewatch.llm.packing import pack
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
 from tidewatch.llm.tokens import token_counts
@@ -41,6 +42,23 @@ def op3(spark, sf_dir):
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)"""
+
+
+@query("op6_ngram_jaccard_join", OP6_SQL)
+def op6(spark, sf_dir):
+    classes, _ = near_duplicates(documents(spark, sf_dir))
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return pack(documents(spark, sf_dir), capacity=4096, end_id=1)
