@@ -6,15 +6,16 @@ classes. Two sets of sizes a and b link when their symmetric difference is at mo
 *Signatures.* Set sizes are cut into bands of ratio ``BAND``. In a band the domain of shingles is hashed into P parts; the
 signature of a part is a hash of what a set has there. Each of the k differing shingles spoils at most one part, so two
 linked sets agree in all but k of the parts that are not empty, and of any k + 1 of them in one order common to all sets
-they share one: a set gives the k + 1 first of its parts, the rarest first, then the largest. A set near the upper edge of
+they share one: a set gives the k + 1 first of its parts, those with the most rare shingles first. A set near the upper edge of
 its band also gives signatures of the next band. A set with fewer than k + 1 filled parts gives signatures of finer
-partitions too, down to single shingles, where it always has enough. So no link is lost. Which signatures are frequent is
-counted over all documents, and only steers the order.
+partitions too, down to single shingles, where it always has enough. So no link is lost. Which shingles are frequent is
+counted over all documents, and only steers the order: passages that many documents share do not fill buckets.
 
-*Candidates.* Sets that share a signature form a bucket. No bucket is paired out: all members are compared with one pivot,
-those joined by links need no comparison among each other, and the few others become the next pivots. The distance to the
-first pivot rules out pairs by the triangle inequality of the Jaccard distance. Rounds go on until no bucket holds two
-members that are neither in one component nor compared.
+*Candidates.* Sets that share a signature form a bucket. No bucket is paired out: the members are first compared with one
+pivot, the member that meets most others in all its buckets, and links join them into components. Members of a component need
+no comparison among each other. Buckets that still hold several components are merged into clusters, and each member
+outside the largest component of its cluster is counted against the others through an inverted index of shingles; a cluster
+of more than ``BLOCK`` shingles is cut into blocks, and every pair of blocks is a task of its own.
 
 Shingles are told apart by a 64-bit hash. Defined results: null, empty or white-space texts have no shingles and link with
 nothing; with fewer words than ``width`` the whole sequence is the one shingle; repeated rows and equal texts share a class;
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +46,12 @@ SIMILARITY = 80
 BAND = 2.5
 #: Shingles per part for the largest sets of a band.
 PART = 3.0
-#: Frequent signatures that are known by count; the bound of what is sent to tasks.
-FREQUENT = 100_000
-#: A signature is reported by a batch of documents from so many sets on.
+#: Frequent shingles that steer the order of signatures; the bound of what is sent to tasks.
+FREQUENT = 200_000
+#: A batch of documents reports a shingle from so many of its sets on.
 BATCH_SEEN = 4
-#: New pivots of a bucket in the first further round; each round takes twice as many.
-PIVOTS = 8
+#: Shingles in a block of a cluster.
+BLOCK = 1 << 18
 _FILTER_BITS = 24
 
 
@@ -91,29 +93,34 @@ def _band(n: int) -> int:
     return band
 
 
-def parts(shingles: np.ndarray, band: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the parts that are not empty, and how many shingles each holds. Level 2 has a part for each shingle."""
+def parts(shingles: np.ndarray, rare: np.ndarray, band: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the parts that are not empty, and how many rare shingles each holds. Level 2 has a part for each shingle."""
     seed = np.uint64(band * 3 + level + 1)
     if level == 2:
-        return W.mix(shingles + seed * np.uint64(0xD6E8FEB86659FD93)), np.ones(len(shingles), np.int64)
+        return W.mix(shingles + seed * np.uint64(0xD6E8FEB86659FD93)), rare
     count = np.uint64(max(1, int(_lowest(band + 1) / PART)) * (1, 8)[level])
     part = (W.mix(shingles ^ (seed << np.uint64(32))) >> np.uint64(16)) % count
     order = np.argsort(part, kind="stable")
     first = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
     sums = np.add.reduceat(W.mix(shingles[order] * np.uint64(2) + np.uint64(1)), first)
     filled = part[order][first]
-    return W.mix(sums + W.mix(filled + (seed << np.uint64(40)))), np.diff(np.append(first, len(order)))
+    return W.mix(sums + W.mix(filled + (seed << np.uint64(40)))), np.add.reduceat(rare[order], first)
 
 
-def all_parts(join: Join, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Signatures of every partition the set takes part in, with sizes and the number of them it has to give."""
+def chosen_parts(join: Join, shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The signatures that a set gives; ``frequent`` is sorted."""
+    rare = np.ones(len(shingles), np.int64)
+    if len(frequent):
+        rare -= frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    out = []
     need = join.most_differing(len(shingles)) + 1
     for band in join.bands(len(shingles)):
         for level in range(3):
-            signs, sizes = parts(shingles, band, level)
-            yield signs, sizes, need
+            signs, held = parts(shingles, rare, band, level)
+            out.append(signs[np.lexsort((signs, -held))[:need]])
             if len(signs) >= need:
                 break
+    return np.concatenate(out)
 
 
 def _key(shingles: np.ndarray) -> int:
@@ -129,80 +136,74 @@ def _sets(join: Join, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _described(docs: DataFrame, join: Join) -> DataFrame:
-    """Rows of two kinds: ``members`` (id, size of the set, class, hash of the text) and how often ``signs`` were seen."""
-    schema = pa.schema([("sign", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64())])
+    """Rows of two kinds: members (id, size of the set, class, hash of the text), and how often a shingle (``key``) was seen."""
+    schema = pa.schema([("seen", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, signs, met = [], [], [], set()
+            sizes, keys, sets = [], [], {}
             for _, s in _sets(join, text_bytes(batch.column("text"))):
                 sizes.append(len(s))
                 keys.append(_key(s) if len(s) else None)
-                if len(s) and keys[-1] not in met:
-                    met.add(keys[-1])
-                    signs += [x for x, _, _ in all_parts(join, s)]
+                if len(s):
+                    sets[keys[-1]] = s
             size = len(sizes)
             yield pa.record_batch([pa.array(np.zeros(size, bool)), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column("text_hash")], schema=schema)
-            if signs:
-                seen, counts = np.unique(np.concatenate(signs), return_counts=True)
+            if sets:
+                all_, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                 often = counts >= BATCH_SEEN
                 k = int(often.sum())
-                yield pa.record_batch([pa.array(np.ones(k, bool)), pa.nulls(k, pa.int64()), pa.array(counts[often], pa.int64()), pa.array(seen[often].view(np.int64)), pa.nulls(k, pa.int64())], schema=schema)
+                yield pa.record_batch([pa.array(np.ones(k, bool)), pa.nulls(k, pa.int64()), pa.array(counts[often], pa.int64()), pa.array(all_[often].view(np.int64)), pa.nulls(k, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "sign boolean, id long, n long, key long, text_hash long")
+    return docs.mapInArrow(run, "seen boolean, id long, n long, key long, text_hash long")
 
 
-def _signatures(docs: DataFrame, join: Join, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _signatures(docs: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
     """``(sign, key, n)``: the signatures each class gives; a task gives those of a class once."""
     schema = pa.schema([("sign", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = frequent
+        met = set()
         for batch in batches:
-            met, signs, keys, sizes, counts = set(), [], [], [], []
+            signs, keys, sizes = [], [], []
             for _, s in _sets(join, text_bytes(batch.column("text"))):
-                if not len(s) or (key := _key(s)) in met:
-                    continue
-                met.add(key)
-                for x, held, need in all_parts(join, s):
-                    if need < len(x):
-                        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-                        rank = np.where(known[at] == x, often[at], 0) if len(known) else np.zeros(len(x), np.int64)
-                        x = x[np.lexsort((x, -held, rank))[:need]]
-                    signs.append(x)
+                if len(s) and (key := _key(s)) not in met:
+                    met.add(key)
+                    signs.append(chosen_parts(join, s, frequent))
                     keys.append(key)
                     sizes.append(len(s))
-                    counts.append(len(x))
             if signs:
+                counts = [len(x) for x in signs]
                 yield pa.record_batch([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "sign long, key long, n int")
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """``(sign, pivot, pivot_n, key, n)`` of the members of buckets with two classes or more but for the pivot itself.
+    """``(sign, key, n)`` of the members of buckets with two classes or more.
 
-    Rows are sorted by signature and class, so the first of a bucket is its pivot and a bucket of any size streams through.
+    Rows are sorted by signature and class, so buckets of any size stream through; the first member is held back until a
+    second one shows that the bucket has several.
     """
-    schema = pa.schema([("sign", pa.int64()), ("pivot", pa.int64()), ("pivot_n", pa.int32()), ("key", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("sign", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # signature, pivot, size of pivot, class of the row before
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]  # the last bucket's first row, while it is alone
+        open_sign = None  # the last bucket's signature, once it has several
         for batch in batches:
-            sign, key, n = (batch.column(c).to_numpy() for c in ("sign", "key", "n"))
+            sign, key, n = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("sign", "key", "n")))
             if not len(sign):
                 continue
-            start = np.concatenate([[last is None or sign[0] != last[0]], sign[1:] != sign[:-1]])
-            fresh = np.concatenate([[last is None or key[0] != last[3] or start[0]], (key[1:] != key[:-1]) | start[1:]])
-            at = np.maximum.accumulate(np.where(start, np.arange(len(sign)), -1))
-            carried = (last[1], last[2]) if last else (0, 0)
-            pivot = np.where(at >= 0, key[at], carried[0])
-            pivot_n = np.where(at >= 0, n[at], carried[1])
-            last = (sign[-1], int(pivot[-1]), int(pivot_n[-1]), key[-1])
-            out = fresh & ~start
-            yield pa.record_batch([pa.array(sign[out]), pa.array(pivot[out], pa.int64()), pa.array(pivot_n[out], pa.int32()), pa.array(key[out]), pa.array(n[out])], schema=schema)
+            fresh = np.concatenate([[True], (sign[1:] != sign[:-1]) | (key[1:] != key[:-1])])
+            sign, key, n = sign[fresh], key[fresh], n[fresh]
+            same = sign[1:] == sign[:-1]
+            out = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (sign == open_sign if open_sign is not None else False)
+            alone = not out[-1]
+            open_sign = None if alone else sign[-1]
+            held = [x[-1:] if alone else x[:0] for x in (sign, key, n)]
+            yield pa.record_batch([pa.array(sign[out]), pa.array(key[out]), pa.array(n[out])], schema=schema)
 
-    return signatures.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(run, "sign long, pivot long, pivot_n int, key long, n int")
+    return signatures.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(run, "sign long, key long, n int")
 
 
 def _sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) -> DataFrame:
@@ -256,21 +257,39 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int, either int")
 
 
+def _links_in(join: Join, rows: pa.Table) -> list[tuple[int, int, int, int]]:
+    """Links of members outside the largest component to other components, one for each member and component."""
+    keys, roots, block = (rows[c].to_numpy() for c in ("key", "root", "block"))
+    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+    shingles = rows["shingles"].combine_chunks()
+    sizes = np.diff(shingles.offsets.to_numpy())
+    code, _ = pd.factorize(shingles.flatten().to_numpy())
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    order = np.argsort(code, kind="stable")
+    owners, count = owner[order], np.bincount(code)
+    first, at = np.cumsum(count) - count, np.append(0, np.cumsum(sizes))
+    values, times = np.unique(roots, return_counts=True)
+    out = []
+    for u in np.flatnonzero(roots != values[np.argmax(times)]):
+        own = code[at[u]:at[u + 1]]
+        place = np.arange(int(count[own].sum())) + np.repeat(first[own] - (np.cumsum(count[own]) - count[own]), count[own])
+        same = np.bincount(owners[place], minlength=len(keys))
+        either = sizes[u] + sizes - same
+        hit = (100 * same >= join.similarity * either) & (roots != roots[u]) & (low == high or block != block[u])
+        for x in pd.Series(np.flatnonzero(hit)).groupby(roots[hit]).first():
+            out.append((min(keys[u], keys[x]), max(keys[u], keys[x]), same[x], either[x]))
+    return out
+
+
 class _Search:
     """The rounds of comparison, with the links found so far and their components."""
 
-    def __init__(self, join: Join, sets: DataFrame, keys: DataFrame):
-        self.join, self.sets, self.keys, self.seen, self.roots = join, sets, keys, None, None
-
-    def close_sizes(self, a: str, b: str):
-        return F.expr(f"100L * least({a}, {b}) >= {self.join.similarity}L * greatest({a}, {b})")
+    def __init__(self, join: Join, sets: DataFrame):
+        self.join, self.sets, self.seen, self.roots = join, sets, None, None
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare pairs ``(a, b)`` that were not compared before, then renew the components."""
-        pairs = pairs.select("a", "b").distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        new = materialise(_compared(pairs, self.sets))
+    def add(self, compared: DataFrame) -> None:
+        """Keep what was compared, and renew the components."""
+        new = materialise(compared)
         self.seen = new if self.seen is None else self.seen.unionByName(new)
         self.roots = materialise(components(self.links()))
 
@@ -283,32 +302,42 @@ class _Search:
         return rows
 
     def run(self, buckets: DataFrame) -> None:
-        # first the pivot that a class meets most often, then its other pivots unless they are connected by now
-        met = buckets.where(self.close_sizes("n", "pivot_n")).groupBy("key", "pivot").agg(F.count("*").alias("times"))
+        self.stars(buckets)
+        self.clusters(buckets)
+
+    def stars(self, buckets: DataFrame) -> None:
+        """Members against the pivots of their buckets: first the pivot met most often, then the others unless connected by now."""
+        sized = buckets.join(buckets.groupBy("sign").agg(F.count("*").alias("size")), "sign")
+        weight = sized.groupBy("key").agg(F.sum("size").alias("weight"))
+        pivots = buckets.join(weight, "key").groupBy("sign").agg(F.max(F.struct("weight", "key", "n")).alias("p"))
+        met = buckets.join(pivots.select("sign", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "sign").where("key <> pivot")
+        met = met.where(F.expr(f"100L * least(n, pivot_n) >= {self.join.similarity}L * greatest(n, pivot_n)"))
         best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "pivot"))
-        ranked = materialise(met.withColumn("rank", best).select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"), "rank"))
-        self.compare(ranked.where("rank = 1"))
-        self.compare(self.with_roots(ranked.where("rank > 1"), "a", "b").where("a_root <> b_root"))
-        # what is left of buckets: members apart from the component of their first pivot, and those they could link to
-        far = self.seen.select("a", "b", (1 - F.col("same") / F.col("either")).alias("far"))
-        left = buckets.select("sign", "pivot", "key", "n", F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).join(far, ["a", "b"], "left").drop("a", "b")
-        pivots = PIVOTS
-        while True:
-            state = self.with_roots(left, "pivot", "key")
-            apart = F.col("pivot_root") != F.col("key_root")
-            open_ = state.where(apart).groupBy("sign").agg(F.count("*").alias("apart"))
-            left = materialise(state.join(open_, "sign").withColumn("out", apart).drop("pivot_root", "apart"))
-            if left.isEmpty():
-                return
-            turn = Window.partitionBy("sign").orderBy("key")
-            chosen = left.where("out").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
-            chosen = materialise(chosen.select("sign", F.col("key").alias("p"), F.col("n").alias("p_n"), F.col("far").alias("p_far"), F.col("key_root").alias("p_root")))
-            slack = 1 - self.join.similarity / 100 + 1e-9
-            pairs = left.join(chosen, "sign").where((F.col("key_root") != F.col("p_root")) & self.close_sizes("n", "p_n"))
-            pairs = pairs.where(F.coalesce(F.abs(F.col("far") - F.col("p_far")) <= slack, F.lit(True)))
-            self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")))
-            left = left.drop("out", "key_root").join(chosen.select("sign", F.col("p").alias("key")), ["sign", "key"], "left_anti")
-            pivots *= 2
+        ranked = met.groupBy("key", "pivot").agg(F.count("*").alias("times")).withColumn("rank", best)
+        ranked = materialise(ranked.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"), "rank"))
+        self.add(_compared(ranked.where("rank = 1").select("a", "b").distinct(), self.sets))
+        rest = ranked.where("rank > 1").select("a", "b").distinct().join(self.seen, ["a", "b"], "left_anti")
+        self.add(_compared(self.with_roots(rest, "a", "b").where("a_root <> b_root").select("a", "b"), self.sets))
+
+    def clusters(self, buckets: DataFrame) -> None:
+        """Buckets with several components, merged where they share members, and compared block by block."""
+        state = self.with_roots(buckets, "key")
+        span = state.groupBy("sign").agg(F.min("key_root").alias("low"), F.max("key_root").alias("high"), F.min("key").alias("first")).where("low <> high")
+        members = materialise(state.join(span.select("sign", "first"), "sign").select("sign", "key", "key_root", "n", "first"))
+        cluster = components(members.select(F.col("first").alias("a"), F.col("key").alias("b"))).withColumnsRenamed({"node": "key", "root": "cluster"})
+        rows = materialise(members.select("key", F.col("key_root").alias("root"), "n").distinct().join(cluster, "key"))
+        blocks = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+        rows = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(self.sets, "key")
+        join, schema = self.join, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int32()), ("either", pa.int32())])
+
+        def run(group: pa.Table) -> pa.Table:
+            found = _links_in(join, group)
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, schema.types)], schema=schema)
+
+        group = rows.select("cluster", "low", "high", "block", "key", "root", "shingles").groupBy("cluster", "low", "high")
+        self.add(group.applyInArrow(run, "a long, b long, same int, either int").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -321,13 +350,12 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     join = Join(width, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     described = materialise(_described(rows, join))
-    members = described.where("not sign").drop("sign")
-    top = described.where("sign").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    known, often = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(known)
-    buckets = materialise(_buckets(_signatures(rows, join, (known[order], often[order]))))
-    keys = materialise(buckets.select("key").unionByName(buckets.select(F.col("pivot").alias("key"))).distinct())
-    search = _Search(join, materialise(_sets_of(rows, join, members, keys)), keys)
+    members = described.where("not seen").drop("seen")
+    top = described.where("seen").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    frequent = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+    buckets = materialise(_buckets(_signatures(rows, join, frequent)))
+    keys = materialise(buckets.select("key").distinct())
+    search = _Search(join, materialise(_sets_of(rows, join, members, keys)))
     search.run(buckets)
     rooted = members.join(search.roots.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
