@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.decontaminate import contamination
+from tidewatch.llm.exact import exact_duplicates
 from tidewatch.llm.jaccard import near_duplicates
 from tidewatch.llm.packing import pack
+from tidewatch.llm.randomness import digest, find_secrets
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
 from tidewatch.llm.tokens import token_counts
 
@@ -42,6 +44,17 @@ def op3(spark, sf_dir):
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g"""
+
+
+@query("op5_exact_dedup", OP5_SQL)
+def op5(spark, sf_dir):
+    return exact_duplicates(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 OP6_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -64,6 +77,13 @@ def op7(spark, sf_dir):
     return pack(documents(spark, sf_dir), capacity=4096, end_id=1)
 
 
+@query("op8_secret_scans")
+def op8(spark, sf_dir):
+    found = find_secrets(documents(spark, sf_dir)).withColumn("base", F.expr("filter(spans, x -> x.kind <> 'random')"))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "random")]
+    return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest("spans")).alias("spans"))
+
+
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 2048)
