@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
@@ -150,63 +151,75 @@ def shingle_counts(docs: DataFrame, block: Block) -> np.ndarray:
     return out
 
 
-def _mark(docs: DataFrame, block: Block, counts: np.ndarray, keep_text: bool) -> DataFrame:
-    """Add what the block's windows hit to the state of every document; the last block drops the texts."""
-    # order the shingles of each window by rarity; the first is the prefix, and a window with a shingle that never occurs is out
-    order = np.lexsort((block.shingle, counts, block.owner))
-    first = np.flatnonzero(np.diff(block.owner[order], prepend=-1))
-    prefix = order[first]
-    prefix = prefix[counts[prefix] > 0]
-    tables = []
-    for w in np.unique(block.width[prefix]):
-        own = prefix[block.width[prefix] == w]
-        own = own[np.argsort(block.shingle[own], kind="stable")]
-        tables.append((int(w), block.shingle[own], block.owner[own], block.offset[own]))
-    words, sizes, items = block.words, block.sizes, block.items
-    schema = pa.schema([
-        ("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-    ])
+class Marker:
+    """Finds the windows of a block in texts: prefix lookup, bounds, then the words themselves."""
+
+    def __init__(self, block: Block, counts: np.ndarray):
+        # order the shingles of each window by rarity; the first is the prefix, and a window with a shingle that never occurs is out
+        order = np.lexsort((block.shingle, counts, block.owner))
+        prefix = order[np.flatnonzero(np.diff(block.owner[order], prepend=-1))]
+        prefix = prefix[counts[prefix] > 0]
+        self.tables = []
+        for w in np.unique(block.width[prefix]):
+            own = prefix[block.width[prefix] == w]
+            own = own[np.argsort(block.shingle[own], kind="stable")]
+            self.tables.append((int(w), block.shingle[own], block.owner[own], block.offset[own]))
+        self.words, self.sizes, self.items = block.words, block.sizes, block.items
+
+    def lookups(self) -> list[Lookup]:
+        return [Lookup(keys) for _, keys, _, _ in self.tables]
 
-    def occurrences(lookups, data, s, e, h, first, row) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def occurrences(self, lookups: list[Lookup], data, s, e, h, first, row) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Window starts and windows that are there word by word."""
-        for (w, lookup), (_, _, owner, offset) in zip(lookups, tables):
+        for lookup, (w, _, owner, offset) in zip(lookups, self.tables):
             keys, whole = _shingles(h, row, w)
             at, low, n = lookup.find(keys)
             low, n, at = low[whole[at]], n[whole[at]], at[whole[at]]
             entry = _ranges(low, n)
             place, which = np.repeat(at, n), owner[entry]
             begin = place - offset[entry]
-            inside = (begin >= first[row[place]]) & (begin + sizes[which] <= first[row[place] + 1])
+            inside = (begin >= first[row[place]]) & (begin + self.sizes[which] <= first[row[place] + 1])
             begin, which = begin[inside], which[inside]
             same = np.fromiter(
-                (b" ".join([data[s[k]:e[k]].tobytes() for k in range(b, b + sizes[x])]) == words[x].encode() for b, x in zip(begin, which)), bool, len(begin))
+                (b" ".join([data[s[k]:e[k]].tobytes() for k in range(b, b + self.sizes[x])]) == self.words[x].encode() for b, x in zip(begin, which)), bool, len(begin))
             yield begin[same], which[same]
 
+    def mark(self, lookups: list[Lookup], texts: list[bytes], found: list, runs: list) -> tuple[np.ndarray, np.ndarray]:
+        """Words and hit words of each text; adds to its items and replaces its runs of hit words."""
+        n_words, n_hit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for i, data, s, e, h, first, row in _blocks_of_docs(texts):
+            m = len(first) - 1
+            n_words[i:i + m] = np.diff(first)
+            edge = np.zeros(len(h) + 1, np.int64)
+            for begin, which in self.occurrences(lookups, data, s, e, h, first, row):
+                edge += np.bincount(begin, minlength=len(edge)) - np.bincount(begin + self.sizes[which], minlength=len(edge))
+                for d, x in np.unique(np.stack([row[begin], which]), axis=1).T:
+                    found[i + d] = [*(found[i + d] or []), *self.items[x]]
+            for d in range(i, i + m):  # what earlier blocks have marked
+                for r in runs[d] or []:
+                    edge[first[d - i] + r["first"]] += 1
+                    edge[first[d - i] + r["last"] + 1] -= 1
+            hit = np.cumsum(edge)[:-1] > 0
+            n_hit[i:i + m] = np.bincount(row[hit], minlength=m)
+            for d in np.flatnonzero(n_hit[i:i + m]):
+                own = np.concatenate([[False], hit[first[d]:first[d + 1]], [False]]).astype(np.int8)
+                turn = np.flatnonzero(np.diff(own))
+                runs[i + d] = [{"first": a, "last": b - 1} for a, b in zip(turn[::2].tolist(), turn[1::2].tolist())]
+        return n_words, n_hit
+
+
+def _marked(docs: DataFrame, marker: Marker, keep_text: bool) -> DataFrame:
+    """Add what the block's windows hit to the state of every document; the last block drops the texts."""
+    schema = pa.schema([
+        ("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
+        ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+    ])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = [(w, Lookup(keys)) for w, keys, _, _ in tables]
+        lookups = marker.lookups()
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            n_words, n_hit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            found, runs = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
-            for i, data, s, e, h, first, row in _blocks_of_docs(texts):
-                m = len(first) - 1
-                n_words[i:i + m] = np.diff(first)
-                edge = np.zeros(len(h) + 1, np.int64)
-                for begin, which in occurrences(lookups, data, s, e, h, first, row):
-                    edge += np.bincount(begin, minlength=len(edge)) - np.bincount(begin + sizes[which], minlength=len(edge))
-                    for d, x in np.unique(np.stack([row[begin], which]), axis=1).T:
-                        found[i + d] = [*(found[i + d] or []), *items[x]]
-                for d in range(i, i + m):  # what earlier blocks have marked
-                    for r in runs[d] or []:
-                        edge[first[d - i] + r["first"]] += 1
-                        edge[first[d - i] + r["last"] + 1] -= 1
-                hit = np.cumsum(edge)[:-1] > 0
-                n_hit[i:i + m] = np.bincount(row[hit], minlength=m)
-                for d in np.flatnonzero(n_hit[i:i + m]):
-                    own = np.concatenate([[False], hit[first[d]:first[d + 1]], [False]]).astype(np.int8)
-                    turn = np.flatnonzero(np.diff(own))
-                    runs[i + d] = [{"first": a, "last": b - 1} for a, b in zip(turn[::2].tolist(), turn[1::2].tolist())]
+            texts, found, runs = text_bytes(batch.column("text")), batch.column("items").to_pylist(), batch.column("spans").to_pylist()
+            n_words, n_hit = marker.mark(lookups, texts, found, runs)
             text = batch.column("text") if keep_text else pa.nulls(len(texts), pa.string())
             columns = [batch.column("id"), text, pa.array(n_words), pa.array(n_hit), pa.array([sorted(set(f or [])) for f in found], schema.types[4]), pa.array([r or [] for r in runs], schema.types[5])]
             yield pa.record_batch([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
@@ -214,17 +227,45 @@ def _mark(docs: DataFrame, block: Block, counts: np.ndarray, keep_text: bool) ->
     return docs.mapInArrow(run, _STATE)
 
 
+def markers(docs: DataFrame, items: DataFrame, *, window: int, width: int, block_windows: int, item_col: str, item_text_col: str) -> list[Marker]:
+    """One marker per block of windows; ``docs`` has a column ``text`` in which shingles are counted."""
+    found = windows(items, window, item_col, item_text_col)
+    blocks = max(1, -(-found.count() // block_windows))
+    parts = [Block.of(found.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect(), width) for k in range(blocks)]
+    return [Marker(block, shingle_counts(docs, block)) for block in parts]
+
+
+def hit_words(marker: Marker, text: Column) -> Column:
+    """How many words of a text the windows of one block hit."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        plain = [t.encode() if t is not None else b"" for t in texts]
+        return pd.Series(marker.mark(marker.lookups(), plain, [None] * len(plain), [None] * len(plain))[1])
+
+    return count(text)
+
+
+def without_items(
+    docs: DataFrame, items: DataFrame, *, window: int = WINDOW, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that no window of an item hits, with all their columns."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    for marker in markers(texts, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col):
+        docs = docs.where(hit_words(marker, F.col(text_col)) == 0)
+    return docs
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, *, window: int = WINDOW, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """``id_col, n_words, n_hit, items, spans`` of each document: hit words, items with occurring windows, runs of hit words."""
-    found = windows(items, window, item_col, item_text_col)
-    blocks = max(1, -(-found.count() // block_windows))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     empty = {"n_words": "0L", "n_hit": "0L", "items": "cast(array() as array<string>)", "spans": "cast(array() as array<struct<first:bigint,last:bigint>>)"}
     state = plain.withColumns({k: F.expr(v) for k, v in empty.items()})
-    for k in range(blocks):
-        block = Block.of(found.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect(), width)
-        state = _mark(state, block, shingle_counts(plain, block), k + 1 < blocks)
+    steps = markers(plain, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col)
+    for k, marker in enumerate(steps):
+        state = _marked(state, marker, k + 1 < len(steps))
     return state.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")

@@ -39,7 +39,7 @@ def normalised(text: Column) -> Column:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), normalised(text).alias("norm"), F.char_length(F.coalesce(text, F.lit(""))).alias("points")).withColumn("hash", F.xxhash64("norm"))
+    return docs.select(F.col(id_col).alias("id"), normalised(text).alias("norm"), F.char_length(F.coalesce(text, F.lit(""))).alias("points"), F.xxhash64(text).alias("text_hash")).withColumn("hash", F.xxhash64("norm"))
 
 
 def _entries(rows: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def build_index(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``id_col, keep_id, group_size, kept, text_sha256, bucket, chain`` of every row of ``docs``."""
+    """``id_col, keep_id, group_size, kept, text_sha256, text_hash, bucket, chain`` of every row; ``text_hash`` is xxhash64 of the text as it is."""
     rows = _rows(docs, id_col, text_col)
     index = build_index(rows, bucket_bytes)
-    probes = rows.select("id", "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("size"), "points")
+    probes = rows.select("id", "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("size"), "points", "text_hash")
     found = probes.join(index, ["hash", "sha", "size"])
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "chain")
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "text_hash", "bucket", "chain")

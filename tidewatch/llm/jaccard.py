@@ -343,8 +343,8 @@ class _Search:
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(classes, links)``.
 
-    ``classes`` has a row per document: ``id_col, n_shingles, key`` (name of its set), ``root`` (name of its component) and
-    ``component_id`` (smallest id of the component). ``links`` are the compared pairs of classes that link: ``a, b, same, either``;
+    ``classes`` has a row per document: ``id_col, n_shingles, key`` (name of its set), ``root`` (name of its component),
+    ``component_id`` (smallest id of the component) and ``text_hash`` (xxhash64 of the text). ``links`` are the compared pairs of classes that link: ``a, b, same, either``;
     with the members of the classes they span every component.
     """
     join = Join(width, similarity)
@@ -360,4 +360,4 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     rooted = members.join(search.roots.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     classes = rooted.join(named, "root", "left").withColumn("component_id", F.coalesce(F.when(F.col("root").isNotNull(), F.col("component_id")), F.col("id")))
-    return classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "key", "root", "component_id"), search.links()
+    return classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "key", "root", "component_id", "text_hash"), search.links()

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import quality as quality_model
+from tidewatch.llm import toxicity as toxicity_model
 from tidewatch.llm.decontaminate import contamination
 from tidewatch.llm.exact import exact_duplicates
 from tidewatch.llm.jaccard import near_duplicates
+from tidewatch.llm.labelled import held_out
+from tidewatch.llm.layout import visible_text
 from tidewatch.llm.packing import pack
 from tidewatch.llm.randomness import digest, find_secrets
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
 from tidewatch.llm.tokens import token_counts
+from tidewatch.llm.warc import capture_index
 
 __all__ = ["QUERIES", "ORACLES"]
 
@@ -20,6 +25,24 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM d"""
+
+
+@query("op1_warc_index_merge", OP1_SQL)
+def op1(spark, sf_dir):
+    index = capture_index(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_html_layout_text")
+def op2(spark, sf_dir):
+    return visible_text(table(spark, sf_dir, "pages", "page_id", "html")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP3_SQL = f"""
@@ -44,6 +67,16 @@ def op3(spark, sf_dir):
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def scored(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    model = quality_model.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return scored(quality_model.quality(documents(spark, sf_dir), model))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
@@ -84,6 +117,12 @@ def op8(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(F.expr(digest("base")), 256).alias("base_sha256"), F.expr(digest("spans")).alias("spans"))
 
 
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    model = toxicity_model.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored(toxicity_model.toxicity(documents(spark, sf_dir), model))
+
+
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 2048)
