@@ -48,7 +48,8 @@ def write_archives(pages: DataFrame, *, id_col: str, url_col: str, payload_col:
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     repeated = rows.where((F.col("size") >= revisit_bytes) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(repeated.select("digest", "first"), "digest", "left")
+    # stored first, so the planner knows its size: it is broadcast if small, and payloads need no shuffle then
+    rows = rows.join(materialise(repeated.select("digest", "first")), "digest", "left")
     rows = rows.select("id", "url", "payload", "digest", "size", "first", F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.coalesce("id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     schema = pa.schema([("value", pa.string()), ("archive", pa.string())])
 
