@@ -133,7 +133,9 @@ class Bins:
                     changed = True
                 if not self.fill[a] or left <= 0:
                     break
-            if not changed:
+            if changed:
+                done.clear()  # other bins may have new partners now
+            else:
                 done.add(a)
 
 
