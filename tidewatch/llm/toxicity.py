@@ -147,7 +147,7 @@ def train(texts: list[bytes], toxic: np.ndarray, shares: tuple[int, int]) -> Mod
     n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
     for text, label in zip(texts, toxic):
         counts[int(label)].update(strings(plain(text)))
-    least = 2 * math.log(max(2, len(counts[1])))  # a bound for the largest of that many chance values
+    least = 3 * math.log(max(2, len(counts[1])))  # well above the largest of that many chance values
     ranked = []
     for s, a in counts[1].items():
         b = counts[0].get(s, 0)
