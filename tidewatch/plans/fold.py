@@ -62,10 +62,6 @@ def keyed_fold(
             rows = rows.append_column(field.name, pa.array(new[field.name], field.type))
         return rows.cast(target)
 
-    chunks = base.agg(F.max("_chunk")).first()[0] or 0
-    if chunks == 0:
-        return base.withColumn("_from", F.lit(initial)).groupBy(*group).applyInArrow(emit, schema)
-
     narrow = base.select(*dict.fromkeys([*group, INDEX, *needs]))
     starts = base.select(*group).distinct().withColumn("_from", F.lit(initial))
     runs = materialise(narrow.join(starts, group).groupBy(*group).applyInArrow(end_state, summary))

@@ -82,25 +82,60 @@ KLINE = "open_time_ms long, open double, high double, low double, close double,
 KLINE_NAMES = [field.split()[0] for field in KLINE.split(", ")]
 
 
+REJECT = "path string, line long, reason string"
+
+
+def _kline(row: list[str]) -> list:
+    """Volume and close time may be missing; a row needs a time and four prices."""
+    return [int(row[0]), *map(float, row[1:5]), float(row[5]) if len(row) > 5 else None, int(row[6]) if len(row) > 6 else None]
+
+
+def _lines(path: str, content: bytes):
+    """``(line, row, reason)`` of each line of an archive; a header has neither row nor reason."""
+    line = 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for member in archive.namelist():
+                for row in csv.reader(io.TextIOWrapper(archive.open(member), "utf-8")):
+                    line += 1
+                    if len(row) < 5:
+                        yield line, None, "fewer than 5 fields"
+                    elif row[0].lstrip("-").isdigit():
+                        try:
+                            yield line, _kline(row), None
+                        except ValueError as error:
+                            yield line, None, str(error)
+                    elif line > 1:
+                        yield line, None, "no time"
+    except (zipfile.BadZipFile, UnicodeDecodeError) as error:
+        yield line + 1, None, f"unreadable: {error}"
+
+
 def _unzip(batches):
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        for row in csv.reader(io.TextIOWrapper(archive.open(member), "utf-8")):
-                            if len(row) >= 7 and row[0].lstrip("-").isdigit():
-                                rows.append([int(row[0]), *map(float, row[1:6]), int(row[6])])
-            except (zipfile.BadZipFile, UnicodeDecodeError, ValueError):
-                continue  # a bad file is skipped whole
-            yield pd.DataFrame(rows, columns=KLINE_NAMES)
+            rows = pd.DataFrame([row for _, row, _ in _lines(path, content) if row is not None], columns=KLINE_NAMES)
+            yield rows.astype({"close_time_ms": "Int64"})
+
+
+def _rejects(batches):
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            yield pd.DataFrame([(path, line, reason) for line, row, reason in _lines(path, content) if reason], columns=["path", "line", "reason"])
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+
+
+def scan_kline_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``scan_kline_archive`` leaves out, with file, line and reason."""
+    return _archives(spark, path).mapInPandas(_rejects, REJECT)
 
 
 def scan_kline_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped daily kline files: each archive is one task-local unzip, a few megabytes at most."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    rows = files.mapInPandas(_unzip, KLINE)
+    """Zipped daily kline files: each archive is one task-local unzip, a few megabytes at most. Bad lines are in ``scan_kline_rejects``."""
+    rows = _archives(spark, path).mapInPandas(_unzip, KLINE)
     return rows.withColumn("open_time_ms", epoch_ms("open_time_ms")).withColumn("close_time_ms", epoch_ms("close_time_ms"))
 
 

@@ -216,11 +216,11 @@ def permutation_test(spark, sf):
     from tidewatch.plans.scans import previous
 
     steps = previous(equity(spark, sf), PORTFOLIO, before="equity").select("portfolio", "event_id", (F.col("equity") - F.col("before")).alias("step"))
-    out = B.permutation_test(steps, ("portfolio",), shuffles=200, row_id="event_id")
+    out = B.permutation_test(steps, ("portfolio",), shuffles=1_000, row_id="event_id")
     return out.select("portfolio", "steps", r(F.col("sharpe_ratio"), 7).alias("sharpe_ratio"), "p_value")
 
 
-START, END = 1_704_067_200_000, 1_704_067_200_000 + 29 * DAY_MS
+START, END = 1_704_067_200_000, 1_704_067_200_000 + 30 * DAY_MS
 
 
 @query("walk_forward_windows", with_ticks(f"""

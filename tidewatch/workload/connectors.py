@@ -71,12 +71,12 @@ def scan_cached_ticks(spark, sf):
     return hist(K.scan_cached_ticks(spark, cache(spark, sf), start_ms=LO, end_ms=HI, symbol="S1"))
 
 
-@query("union_exchange_files", with_ticks(f"SELECT {HIST} FROM ticks WHERE ts_ms BETWEEN {LO} AND {HI} AND symbol = 'S1' AND exchange_id IN ('binance', 'okx')"))
+@query("union_exchange_files", with_ticks(f"SELECT {HIST} FROM ticks WHERE ts_ms BETWEEN {LO} AND {HI} AND symbol = 'S1'"))
 def union_exchange_files(spark, sf):
     base = scratch(spark)
-    paths = [f"{base}/{v}_ticks.csv" for v in ("binance", "okx")]
+    paths = [f"{base}/{v}_ticks.csv" for v in VENUES]
     rows = history(spark, sf)
-    for v, path in zip(("binance", "okx"), paths):
+    for v, path in zip(VENUES, paths):
         rows.where(F.col("source") == v).write.option("header", True).csv(path)
     return hist(K.union_exchange_files(spark, paths, symbol="S1", start_ms=LO, end_ms=HI))
 

@@ -35,10 +35,10 @@ def rv_buckets(spark, sf):
     return rv_series(spark, sf).withColumn("rv", r(F.col("rv"), 9))
 
 
-@query("concat_symbols", with_ticks("SELECT symbol, bucket_ms, round(rv, 9) AS rv FROM rvb WHERE symbol IN ('S0', 'S2')", RVB_SQL))
+@query("concat_symbols", with_ticks("SELECT symbol, bucket_ms, round(rv, 9) AS rv FROM rvb", RVB_SQL))
 def concat_symbols(spark, sf):
-    series = rv_series(spark, sf).select("symbol", "bucket_ms", r(F.col("rv"), 9).alias("rv"))
-    return G.concat_symbols([series.where(F.col("symbol") == s) for s in ("S0", "S2")])
+    # the series of all symbols are one table already, so nothing is split by symbol on the driver
+    return G.concat_symbols([rv_series(spark, sf).select("symbol", "bucket_ms", r(F.col("rv"), 9).alias("rv"))])
 
 
 @query("fit_regimes")

@@ -10,8 +10,8 @@ from tidewatch.plans.layout import Layout
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
-# The sample covers 30 days with minutes between ticks, so a slot is a day.
-LAYOUT = Layout(slot_ms=DAY_MS, chunk_rows=6_000)
+# The sample covers 30 days with minutes between ticks, so a slot is a day; folds and chunks are small enough to be split.
+LAYOUT = Layout(slot_ms=DAY_MS, chunk_rows=6_000, fold_rows=2_000)
 VENUE_LAYOUT = LAYOUT.with_(keys=("symbol", "exchange_id"))
 
 # Which venue each event type stands for.
