@@ -293,3 +293,18 @@ def test_walk_forward(spark):
     assert [(r.start_ms, r.end_ms) for r in rows] == [(0, day), (day, 2 * day), (2 * day, 3 * day)]
     with pytest.raises(ValueError):
         backtest.walk_forward_windows(0, 2 * day, spark, fold_days=1)
+
+
+def test_kline_archive_keeps_good_lines_and_names_bad_ones(spark, tmp_path):
+    import zipfile
+
+    from tidewatch.sources.ticks import scan_kline_archive, scan_kline_rejects
+
+    lines = "open_time,o,h,l,c,v,t\n1704067200000,1,2,0.5,1.5,9,1704070799999\n1704070800000,1,2,0.5,1.5\n1704074400000,1,2\n1704078000000,1,x,0.5,1.5,9,1\n"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("k.csv", lines)
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    good = {r["open_time_ms"]: (r["close"], r["volume"]) for r in scan_kline_archive(spark, str(tmp_path)).collect()}
+    assert good == {1_704_067_200_000: (1.5, 9.0), 1_704_070_800_000: (1.5, None)}
+    bad = sorted((r["path"][-5:], r["line"]) for r in scan_kline_rejects(spark, str(tmp_path)).collect())
+    assert bad == [("a.zip", 4), ("a.zip", 5), ("b.zip", 1)]
