@@ -1,6 +1,6 @@
 """Toxicity by compression distance: windows of a text compress to fewer bytes with the dictionary of the class they resemble.
 
-*Training.* Two zstandard dictionaries are trained on a bounded sample of labelled texts (``PER_CLASS`` ids of each class). Both
+*Training.* Two zstandard dictionaries are trained on the whole texts of a bounded sample of labelled rows (``PER_CLASS`` ids of each class). Both
 hold the words that most ordinary texts share, so these cost the same with either; the rest of the toxic dictionary are
 the strings (words, and beginnings of words) that stand in significantly more toxic texts than their share, by a likelihood
 ratio test over all strings tried, counted without near copies; the rest of the ordinary one are further words of ordinary texts up to the same size.
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm import labelled as L
 from tidewatch.llm import words as W
 from tidewatch.llm.tokens import text_bytes
+from tidewatch.plans.store import materialise
 
 #: Labelled rows of each class that a model is trained on, at most.
 PER_CLASS = 2_000
-#: Bytes of a training text that are looked at (whole windows are scored; this bounds the sample that the driver holds).
-SAMPLE_BYTES = 1 << 15
 #: Window sizes in bytes with the least match of the compressor.
 WINDOWS = ((160, 4), (400, 5))
 COMMON_WORDS = 300
@@ -72,16 +71,21 @@ def strings(text: bytes) -> set[bytes]:
     return found
 
 
-def distinct(texts: list[bytes]) -> list[int]:
-    """Texts but for copies and near copies of earlier ones, which would make their own rare words look like a mark of the class.
+def signature(text: bytes) -> list[int]:
+    """Four minimum hashes of the five-word runs of a text; empty for a text without words."""
+    _, _, _, h = W.text_words(text, W.NON_SPACE)
+    runs = W.shingles(h, min(5, len(h))) if len(h) else h
+    return [int(W.mix(runs ^ np.uint64(k + 1) << np.uint64(56)).min().view(np.int64)) for k in range(4)] if len(runs) else []
 
-    A copy shares three of four minimum hashes of five-word runs with a text that is kept.
+
+def distinct(signatures: list[list[int]]) -> list[int]:
+    """Places of texts but for copies and near copies of earlier ones, which would make their own rare words look like a mark of the class.
+
+    A copy shares three of four minimum hashes with a text that is kept; of texts without words the first is kept.
     """
     kept, by = [], {}
-    for i, text in enumerate(texts):
-        _, _, _, h = W.text_words(text, W.NON_SPACE)
-        runs = W.shingles(h, min(5, len(h))) if len(h) else h
-        least = [(k, int(W.mix(runs ^ np.uint64(k + 1) << np.uint64(56)).min())) for k in range(4)] if len(runs) else [(4, 0)] * 3
+    for i, own in enumerate(signatures):
+        least = list(enumerate(own)) or [(4, 0)] * 3
         met = Counter(j for m in least for j in by.get(m, ()))
         if not met or max(met.values()) < 3:
             kept.append(i)
@@ -90,10 +94,11 @@ def distinct(texts: list[bytes]) -> list[int]:
     return kept
 
 
-def _ratio(a: int, b: int, na: int, nb: int) -> float:
+def _ratio(a: Column, b: Column, na: int, nb: int) -> Column:
     """Likelihood ratio statistic of a of na against b of nb."""
-    p = (a + b) / (na + nb)
-    return 2 * sum(o * math.log(o / e) for o, e in ((a, na * p), (na - a, na * (1 - p)), (b, nb * p), (nb - b, nb * (1 - p))) if o)
+    p = (a + b) / F.lit(float(na + nb))
+    cells = ((a, p * na), (F.lit(na) - a, (1 - p) * na), (b, p * nb), (F.lit(nb) - b, (1 - p) * nb))
+    return 2 * sum((F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0)) for o, e in cells), F.lit(0.0))
 
 
 @dataclass
@@ -135,52 +140,79 @@ class Model:
         return L.sigmoid(self.weights[0] + x @ self.weights[1:])
 
 
-def train(texts: list[bytes], toxic: np.ndarray, shares: tuple[int, int]) -> Model:
-    """Dictionaries and calibration from a sample; ``shares`` are the numbers of ordinary and toxic labels in all."""
-    model = Model(shares[1] / max(1, sum(shares)))
-    counts = (Counter(), Counter())
-    n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
-    if not all(n):
-        return model
-    own = distinct(texts)
-    texts, toxic = [texts[i] for i in own], toxic[own]
-    n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
-    for text, label in zip(texts, toxic):
-        counts[int(label)].update(strings(plain(text)))
-    least = 3 * math.log(max(2, len(counts[1])))  # well above the largest of that many chance values
-    ranked = []
-    for s, a in counts[1].items():
-        b = counts[0].get(s, 0)
-        if a >= 3 and a * n[0] > 3 * (b + 0.5) * n[1] and (g := _ratio(a, b, n[1], n[0])) > least:
-            ranked.append((-g, -len(s), s))
+def dictionaries(counts: DataFrame, n: tuple[int, int]) -> tuple[bytes, bytes]:
+    """``(toxic, ordinary)`` from rows ``(s, a, b)``: how many of the ``n[1]`` toxic and ``n[0]`` ordinary texts hold string ``s``."""
+    a, b = F.col("a"), F.col("b")
+    tried = counts.where(a > 0).count()
+    least = 3 * math.log(max(2, tried))  # well above the largest of that many chance values
+    marks = counts.where((a >= 3) & (a * n[0] > 3 * (b + 0.5) * n[1])).withColumn("g", _ratio(a, b, n[1], n[0])).where(F.col("g") > least)
+    held = {bytes(r["s"]): (r["g"], r["a"]) for r in marks.select("s", "a", "g").collect()}
     marked: list[bytes] = []
-    for _, _, s in sorted(ranked):
+    for s in sorted(held, key=lambda s: (-held[s][0], -len(s), s)):
         # the longest string that stands in nearly all the same texts gains most when it is matched
-        s = max((t for _, _, t in ranked if t.startswith(s) and counts[1][t] >= 0.85 * counts[1][s]), key=len)
+        s = max((t for t in held if t.startswith(s) and held[t][1] >= 0.85 * held[s][1]), key=lambda t: (len(t), -held[t][0], t))
         if not any(s.rstrip() in m or m.rstrip() in s for m in marked) and sum(map(len, marked)) + len(s) <= DICTIONARY_BYTES:
             marked.append(s)
-    common = [s for s, _ in sorted(counts[0].items(), key=lambda x: (-x[1], x[0])) if s.endswith(b" ")]
-    base = b"".join(reversed(common[:COMMON_WORDS]))
+    words = counts.where((b > 0) & (F.substring("s", -1, 1) == F.lit(b" ")))
+    common = [bytes(r["s"]) for r in words.orderBy(F.desc("b"), "s").limit(COMMON_WORDS).select("s").collect()]
+    rare = [bytes(r["s"]) for r in words.orderBy("b", F.desc("s")).limit(DICTIONARY_BYTES).select("s").collect()]
+    base = b"".join(reversed(common))
     own = b"".join(reversed(marked)) + b" "
-    rest = b"".join(common[COMMON_WORDS:][-len(own):])
-    model.toxic, model.ordinary = base + own, base + rest[-len(own):]
+    rest = b"".join(s for s in reversed(rare) if s not in set(common))
+    return base + own, base + rest[-len(own):]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on the whole texts of at most ``per_class`` labelled rows of each class outside the held-out part.
+
+    Texts stay with the tasks: signatures, counts of strings that pass the test, and features travel to the driver.
+    """
+    shares = L.class_shares(labels, label)
+    model = Model(shares[1] / max(1, sum(shares)))
+    if not all(shares):
+        return model
+    texts = L.labelled_texts(docs, labels, label, per_class, id_col, text_col)
+    sample = materialise(texts.select("id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([signature(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("id").cast(pa.int64()), batch.column("h"), batch.column("label").cast(pa.int32()), found], names=["id", "h", "label", "signature"])
+
+    rows = sorted(sample.mapInArrow(sign, "id long, h long, label int, signature array<long>").collect(), key=lambda r: (r["id"], r["h"]))
+    rows = [rows[i] for i in distinct([r["signature"] for r in rows])]
+    n = (sum(r["label"] == 0 for r in rows), sum(r["label"] == 1 for r in rows))
+    if not all(n):
+        return model
+    own = docs.sparkSession.createDataFrame([(r["id"], r["h"]) for r in rows], "id long, h long")
+    sample = sample.join(F.broadcast(own), ["id", "h"])  # no more rows than the sample has
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                found = pa.array(list(strings(plain(text))), pa.binary())
+                yield pa.record_batch([found, pa.array(np.full(len(found), toxic, np.int32))], names=["s", "label"])
+
+    told = sample.mapInArrow(tell, "s binary, label int")
+    counts = materialise(told.groupBy("s").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")))
+    model.toxic, model.ordinary = dictionaries(counts, n)
     if len(model.toxic) < 16:
         return model
-    x = model.features(model.compressors(), texts)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = model.compressors()
+        for batch in batches:
+            x = model.features(made, batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("id").cast(pa.int64()), batch.column("h"), batch.column("label").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "h", "label", "x"])
+
+    rows = sorted(sample.mapInArrow(measure, "id long, h long, label int, x array<double>").collect(), key=lambda r: (r["id"], r["h"]))
+    x, toxic = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weight = np.where(toxic == 1, shares[1] / n[1], shares[0] / n[0])
     model.weights = L.fit_logistic((x - model.centre) / model.scale, toxic.astype(float), weight / weight.mean())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most ``per_class`` labelled rows of each class outside the held-out part."""
-    sample = L.labelled_texts(docs, labels, label, per_class, id_col, text_col)
-    rows = sample.select("label", F.expr(f"substring(encode(coalesce(text, ''), 'UTF-8'), 1, {SAMPLE_BYTES})").alias("text"), "id").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["text"])))
-    return train([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.int64), L.class_shares(labels, label))
-
-
 def score(model: Model, text: Column) -> Column:
     """The probability that a text is toxic."""
 
