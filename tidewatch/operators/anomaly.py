@@ -166,10 +166,15 @@ def volume_ratio(features: DataFrame, layout: Layout = TICKS, *, window: int = 3
 
 
 def absolute_columns(df: DataFrame, w: WindowSpec, cfg: AbsoluteConfig = AbsoluteConfig()) -> DataFrame:
+    df = moments(df, w, cfg.volume_window, lagged=True, _vol="volume")
+    return absolute_verdict(df.withColumn("_vol", F.col("_vol.mean")), cfg)
+
+
+def absolute_verdict(df: DataFrame, cfg: AbsoluteConfig = AbsoluteConfig()) -> DataFrame:
+    """The detector's struct from ``_vol``, the mean volume of the rows before."""
     jump = F.abs("jump_bps") / F.lit(cfg.price_jump_bps)
     wide = F.col("spread_bps") / F.lit(cfg.spread_bps)
-    df = moments(df, w, cfg.volume_window, lagged=True, _vol="volume")
-    mean = F.coalesce(F.col("_vol.mean"), F.lit(1.0))
+    mean = F.coalesce(F.col("_vol"), F.lit(1.0))
     spike = F.when(mean > 0, F.col("volume") / mean / F.lit(cfg.volume_spike_x)).otherwise(F.lit(0.0))
     closest = F.greatest(jump, wide, spike)
     limit = F.lit(0.95)
@@ -188,12 +193,18 @@ def mad_columns(df: DataFrame, w: WindowSpec, cfg: MadConfig = MadConfig()) -> D
         df.withColumn("_rets", F.collect_list("ret").over(frame))
         .withColumn("_med", array_median(F.col("_rets")))
         .withColumn("_mad", array_median(F.transform("_rets", lambda x: F.abs(x - F.col("_med")))))
+        .withColumn("_rets", F.size("_rets"))
     )
+    return mad_verdict(df, cfg)
+
+
+def mad_verdict(df: DataFrame, cfg: MadConfig = MadConfig()) -> DataFrame:
+    """The detector's struct from the number, median and median deviation of the window's returns."""
     z = F.abs(F.col("ret") - F.col("_med")) / (F.lit(1.4826) * F.col("_mad"))
     k = F.when(F.col("regime") == 1, F.lit(cfg.k_high_vol)).otherwise(F.lit(cfg.k_low_vol))
     return df.withColumn(
         "mad",
-        F.when(F.size("_rets") < WARMUP, verdict(F.lit(0.25), False, "warming_up"))
+        F.when(F.col("_rets") < WARMUP, verdict(F.lit(0.25), False, "warming_up"))
         .when(F.col("_mad") < 1e-12, verdict(F.lit(0.3), False, "flat_market"))
         .when(z > k, verdict(F.least(F.lit(0.95), 0.50 + 0.35 * ((z - k) / k)), True, "mad_outlier"))
         .otherwise(verdict(F.least(F.lit(0.49), z / k * 0.49), False, "normal")),
@@ -209,6 +220,11 @@ def vol_ratio_columns(df: DataFrame, w: WindowSpec, cfg: VolRatioConfig = VolRat
         total = F.greatest(F.lit(0.0), F.col("_all.s") - F.coalesce(old["s"], F.lit(0.0)))
         size = F.col("_all.n") - F.coalesce(old["n"], F.lit(0)) if cfg.normalize else F.lit(1.0)
         df = df.withColumn(name, F.sqrt(total / size))
+    return vol_ratio_verdict(df.drop("_square", "_all"), cfg)
+
+
+def vol_ratio_verdict(df: DataFrame, cfg: VolRatioConfig = VolRatioConfig()) -> DataFrame:
+    """The detector's struct from the volatilities ``_short`` and ``_long``."""
     ratio = F.col("_short") / F.col("_long")
     spike, extreme = cfg.spike_ratio, cfg.extreme_ratio
     return df.withColumn(
@@ -222,7 +238,7 @@ def vol_ratio_columns(df: DataFrame, w: WindowSpec, cfg: VolRatioConfig = VolRat
         )
         .when(ratio >= spike, verdict(0.45 + 0.25 * ((ratio - spike) / (extreme - spike)), True, "vol_spike"))
         .otherwise(verdict(F.least(F.lit(0.49), ratio / spike * 0.49), False, "normal")),
-    ).drop("_short", "_long", "_square", "_all")
+    ).drop("_short", "_long")
 
 
 def _z(value: str, m: str, flat: float) -> Column:
@@ -378,8 +394,12 @@ def _last_state(model: RegimeModel):
 
 def regime_columns(df: DataFrame, w: WindowSpec, model: RegimeModel = RegimeModel(), value: str = "rv") -> DataFrame:
     """Most likely path's last state and the filtered probability over the last ``model.window`` values."""
-    recent = F.collect_list(value).over(w.rowsBetween(-(model.window - 1), 0))
-    out = df.withColumn("_recent", recent).withColumn("_hmm", _last_state(model)("_recent"))
+    return regime_verdict(df.withColumn("_recent", F.collect_list(value).over(w.rowsBetween(-(model.window - 1), 0))), model)
+
+
+def regime_verdict(df: DataFrame, model: RegimeModel = RegimeModel()) -> DataFrame:
+    """The same from ``_recent``, the list of those values."""
+    out = df.withColumn("_hmm", _last_state(model)("_recent"))
     return (
         out.withColumn("regime", F.col("_hmm.regime"))
         .withColumn("regime_posterior", F.array(1.0 - F.col("_hmm.high"), F.col("_hmm.high")))

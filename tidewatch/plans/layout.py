@@ -20,7 +20,9 @@ class Layout:
     * chunks of ``fold_rows`` consecutive rows bound the group of a fold, which is cheap per row but costs a round per
       chunk whose start was guessed wrong.
 
-    Choose ``slot_ms`` so that the densest slot of the busiest key sorts comfortably in one task.
+    Choose ``slot_ms`` so that the densest slot of the busiest key sorts comfortably in one task. A slot with few rows costs
+    one summary row, so it is safe to choose it for the largest volume expected. Frames over a time range are cut at the longer
+    of a slot and the range.
     """
 
     keys: tuple[str, ...] = ("symbol",)

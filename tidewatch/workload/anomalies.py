@@ -14,10 +14,14 @@ SCORING = A.ScoringConfig(absolute=ABSOLUTE, regime=REGIME, rv_window_ms=DAY_MS)
 
 
 def validated(spark, sf):
+    return as_validated(ticks(spark, sf))
+
+
+def as_validated(rows):
     """Ticks seen as validated ticks: a spread in price units and a trust score that dips for hours at a time."""
     low = F.pmod(F.floor(F.col("ts_ms") / 21_600_000), F.lit(5)) == 0
     trust = F.when(low, 0.5).otherwise(0.9) + (F.col("k") % 10) / 200.0
-    return ticks(spark, sf).select(
+    return rows.select(
         "symbol", "ts_ms", "tick_id", "exchange_id", "k", "mid", "volume_24h", (F.col("ask") - F.col("bid")).alias("spread"),
         trust.alias("trust_score"),
     )

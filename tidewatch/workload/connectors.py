@@ -15,7 +15,7 @@ from tidewatch.sources import ticks as K
 from tidewatch.sources import topics as P
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
-from tidewatch.workload.ticks import DAY_MS, HOUR_MS, VENUES, table, ticks, with_ticks
+from tidewatch.workload.ticks import DAY_MS, HOUR_MS, SLOT_MS, VENUES, table, ticks, with_ticks
 from tidewatch.workload.trading import EQUITY_SQL, equity
 
 
@@ -316,7 +316,7 @@ def merge_deltas(spark, sf):
     updates = ticks(spark, sf).where("exchange_id = 'bybit'").select(
         "symbol", "ts_ms", "tick_id", F.when(k % 2 == 0, r(F.col("last_price"), 6)).alias("last"), F.when(k % 3 == 0, r(F.col("bid"), 6)).alias("bid"),
         F.when(k % 5 == 0, r(F.col("ask"), 6)).alias("ask"), F.when(k % 4 == 0, F.col("volume_24h")).alias("volume"), "exchange_ts_ms")
-    return M.merge_deltas(updates, Layout(slot_ms=DAY_MS)).select("tick_id", "last", "bid", "ask", "volume", "exchange_ts_ms")
+    return M.merge_deltas(updates, Layout(slot_ms=SLOT_MS)).select("tick_id", "last", "bid", "ask", "volume", "exchange_ts_ms")
 
 
 @query("stamp_tls_health", with_ticks("""
@@ -325,4 +325,4 @@ SELECT t.tick_id, coalesce(v.healthy, false) AS tls_ok FROM ticks t ASOF LEFT JO
 def stamp_tls_health(spark, sf):
     t = ticks(spark, sf)
     verdicts = t.where("tick_id % 25 = 3 AND exchange_id <> 'okx'").select("exchange_id", "ts_ms", (F.col("k") % 5 != 0).alias("healthy"))
-    return M.stamp_tls_health(t, verdicts, Layout(keys=("exchange_id",), slot_ms=DAY_MS)).select("tick_id", "tls_ok")
+    return M.stamp_tls_health(t, verdicts, Layout(keys=("exchange_id",), slot_ms=SLOT_MS)).select("tick_id", "tls_ok")

@@ -9,7 +9,7 @@ from tidewatch.plans.layout import Layout
 from tidewatch.plans.store import materialise
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
-from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, VENUE_LAYOUT, VENUES, VENUES_SQL, table, ticks, with_ticks
+from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, SLOT_MS, VENUE_LAYOUT, VENUES, VENUES_SQL, table, ticks, with_ticks
 
 STALE_MS, LIVE_MS, SILENT_MS = 6 * HOUR_MS, 12 * HOUR_MS, 4 * HOUR_MS
 WIN_LAYOUT = Layout(keys=("symbol",), order=("window_end_ms",), slot_ms=10 * DAY_MS)
@@ -360,7 +360,7 @@ LIVE_SQL = """silences AS MATERIALIZED (
 
 
 def silences(spark, sf):
-    layout = Layout(keys=("exchange_id",), slot_ms=DAY_MS)
+    layout = Layout(keys=("exchange_id",), slot_ms=SLOT_MS)
     return T.liveness(ticks(spark, sf), layout, expected_ms=EXPECTED, default_ms=1_000_000)
 
 

@@ -13,10 +13,10 @@ from tidewatch.workload.anomalies import FEAT_SQL, SIMPLE_SQL, simple, validated
 from tidewatch.workload.feeds_quality import ALIGNED, CONSENSUS, VALID, decided, filled, validated
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
-from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, table, ticks, with_ticks
+from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, SLOT_MS, table, ticks, with_ticks
 
 BUCKET = 3 * HOUR_MS
-VENUE = Layout(keys=("exchange_id",), slot_ms=DAY_MS)
+VENUE = Layout(keys=("exchange_id",), slot_ms=SLOT_MS)
 
 # ---------------------------------------------------------------------------------------------------- regimes
 
@@ -285,7 +285,7 @@ def audit_enrich(spark, sf):
 SAMPLE_SQL = """samples AS MATERIALIZED (
   SELECT exchange_id || '_total' AS metric, 'symbol=' || symbol AS series, symbol, ts_ms, CAST(row_number() OVER (PARTITION BY exchange_id, symbol ORDER BY ts_ms, tick_id) % 60 AS DOUBLE) AS value FROM ticks),
 growth AS MATERIALIZED (SELECT *, CASE WHEN value < was THEN value ELSE value - was END AS step FROM (SELECT *, lag(value) OVER (PARTITION BY metric, series ORDER BY ts_ms) AS was FROM samples))"""
-SERIES = Layout(keys=("metric", "series"), order=("ts_ms",), slot_ms=DAY_MS)
+SERIES = Layout(keys=("metric", "series"), order=("ts_ms",), slot_ms=SLOT_MS)
 RANGE = 12 * HOUR_MS
 
 
