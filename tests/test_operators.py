@@ -308,3 +308,31 @@ def test_kline_archive_keeps_good_lines_and_names_bad_ones(spark, tmp_path):
     assert good == {1_704_067_200_000: (1.5, 9.0), 1_704_070_800_000: (1.5, None)}
     bad = sorted((r["path"][-5:], r["line"]) for r in scan_kline_rejects(spark, str(tmp_path)).collect())
     assert bad == [("a.zip", 4), ("a.zip", 5), ("b.zip", 1)]
+
+
+def test_stream_features_do_not_depend_on_how_rows_arrive():
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    from tidewatch.operators.anomaly import ScoringConfig
+    from tidewatch.streaming.scoring import FeatureProcessor
+
+    rnd, n = np.random.default_rng(3), 1700
+    rows = pd.DataFrame({"ts_ms": np.arange(n) // 2 * 2_000, "tick_id": np.arange(n), "mid": 100 + rnd.normal(size=n), "trust_score": 0.9, "volume_24h": rnd.uniform(1, 9, n), "spread": 0.01})
+
+    def run(size):
+        memory, out = {"n": 0, "mid": None, "rows": [], "times": [], "squares": [], "rv": [], "up": 0.0, "down": 0.0, "price": None, "spread": None}, []
+        for i in range(0, n, size):
+            out.append(FeatureProcessor(ScoringConfig()).features(rows.iloc[i:i + size].reset_index(drop=True), memory))
+            memory = json.loads(json.dumps(memory))
+        return pd.concat(out, ignore_index=True), memory
+
+    (whole, _), (parts, memory) = run(n), run(250)
+    numbers = [c for c in whole.columns if c != "_recent"]
+    np.testing.assert_allclose(whole[numbers].to_numpy(float), parts[numbers].to_numpy(float), atol=1e-9)
+    assert whole["_rn"].tolist() == list(range(1, n + 1)) and len(memory["rows"]) == 1000 and len(memory["times"]) <= 1802
+    square = whole["ret"] ** 2
+    assert whole["rv"].iloc[-1] == pytest.approx(np.sqrt(square[rows["ts_ms"] >= rows["ts_ms"].iloc[-1] - 1_800_000].sum()))
+    assert whole["_med"].iloc[-1] == pytest.approx(whole["ret"].iloc[-100:].median())

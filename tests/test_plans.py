@@ -171,3 +171,12 @@ def test_exact_quantiles(frame, data):
         for name, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95)):
             assert out[key][name] == pytest.approx(s.quantile(p))
         assert near[key].p50 == sorted(s)[round((len(s) - 1) * 0.5)]
+
+
+def test_one_symbol_and_day_spreads(spark):
+    from tidewatch.workload.ticks import LAYOUT as WORK
+
+    rows = spark.range(20_000).select(F.lit("hot").alias("symbol"), (F.col("id") * 4_000).alias("ts_ms"), F.col("id").alias("tick_id"))
+    out = rows.groupBy("symbol", WORK.slot()).count().collect()
+    assert len(out) >= 8_000 and max(r["count"] for r in out) <= 3
+    assert index_rows(rows, WORK).where(F.col("_rn") != F.col("tick_id") + 1).isEmpty()
