@@ -180,3 +180,39 @@ def test_one_symbol_and_day_spreads(spark):
     out = rows.groupBy("symbol", WORK.slot()).count().collect()
     assert len(out) >= 8_000 and max(r["count"] for r in out) <= 3
     assert index_rows(rows, WORK).where(F.col("_rn") != F.col("tick_id") + 1).isEmpty()
+
+
+@pytest.mark.parametrize("sigma", [3.0, 5.0])
+def test_no_quantile_bin_holds_much_of_a_heavy_tail(spark, sigma, monkeypatch):
+    from tidewatch.plans import quantiles
+
+    rnd = random.Random(3)
+    values = [rnd.lognormvariate(0.0, sigma) for _ in range(40_000)]
+    held = {}
+
+    def spy(df, layout, slot=None, **scans):
+        held["most"] = df.groupBy(slot).count().agg(F.max("count")).first()[0]
+        return running(df, layout, slot, **scans)
+
+    monkeypatch.setattr(quantiles, "running", spy)
+    got = exact_quantiles(spark.createDataFrame([(x,) for x in values], "x double"), [], "x", {"p50": 0.5, "p99": 0.99}).first()
+    assert (got.p50, got.p99) == (pytest.approx(pd.Series(values).quantile(0.5)), pytest.approx(pd.Series(values).quantile(0.99)))
+    assert held["most"] <= 400  # 1 %
+
+
+def test_stored_tables_go_with_the_run(spark, tmp_path, monkeypatch):
+    from tidewatch.plans import store
+
+    monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
+    assert store.materialise(spark.range(5)).count() == 5 and len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1
+    store.clear(spark)
+    assert not [p for p in tmp_path.iterdir() if p.is_dir()]
+
+
+def test_only_small_tables_are_broadcast(spark):
+    from tidewatch.plans.store import broadcast_if_small
+
+    def hinted(n):
+        return "ResolvedHint" in broadcast_if_small(spark.range(n), 10)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(10) and not hinted(11)

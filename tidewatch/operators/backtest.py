@@ -15,7 +15,7 @@ from tidewatch.plans.fold import keyed_fold
 from tidewatch.plans.layout import TICKS, Layout
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.scans import Scan, index_rows, previous, running
-from tidewatch.plans.store import materialise
+from tidewatch.plans.store import broadcast_if_small, materialise
 
 TINY = 1e-8
 
@@ -83,8 +83,8 @@ def inject(windowed: DataFrame, scenario: Column | str) -> DataFrame:
 
 
 def scenario_sweep(windowed: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every scenario (and parameter set) of ``grid`` over the same ticks; the grid is configuration and small."""
-    return inject(windowed.crossJoin(F.broadcast(grid)), F.col("scenario"))
+    """Every scenario (and parameter set) of ``grid`` over the same ticks; the grid is configuration."""
+    return inject(windowed.crossJoin(broadcast_if_small(grid)), F.col("scenario"))
 
 
 def inject_validated(shapes: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def synthesize_sources(ticks: DataFrame, venues: DataFrame) -> DataFrame:
     def around(purpose: str) -> Column:
         return unit(purpose) * 2.0 - 1.0
 
-    rows = ticks.crossJoin(F.broadcast(venues)).where(unit("outage") >= F.col("outage"))
+    rows = ticks.crossJoin(broadcast_if_small(venues)).where(unit("outage") >= F.col("outage"))
     mid = F.col("mid") * (1.0 + around("price") * F.col("jitter_bps") / 10_000.0)
     half = (F.col("ask") - F.col("bid")) / 2.0 * (1.0 + around("spread") * 0.10)
     return rows.select(

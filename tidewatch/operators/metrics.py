@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import Scan, over_range, previous, running
+from tidewatch.plans.store import broadcast_if_small
 
 SERIES = Layout(keys=("metric", "series"), order=("ts_ms",))
 
@@ -137,7 +138,7 @@ def rule_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
 def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES, *, label: str | None = None, matches: str | None = None) -> DataFrame:
     """Evaluate every rule on every sample of its metric; a rule fires once its condition has held for its hold time.
 
-    ``rules`` is configuration and small. The start of the current run of true samples is a running value, so one busy
+    ``rules`` is configuration. The start of the current run of true samples is a running value, so one busy
     series spreads over time slots.
     """
     if label and matches:
@@ -145,7 +146,7 @@ def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES, *
     v, t = F.col("value"), F.col("threshold")
     held = F.when(F.col("op") == ">", v > t).when(F.col("op") == "<", v < t).otherwise(v == t)
     per_rule = layout.with_(keys=("alert", *layout.keys))
-    rows = previous(samples.join(F.broadcast(rules), "metric").withColumn("holds", held), per_rule, _held="holds")
+    rows = previous(samples.join(broadcast_if_small(rules), "metric").withColumn("holds", held), per_rule, _held="holds")
     begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
     rows = running(rows, per_rule, active_since_ms=Scan("last", F.when(begins, F.col(layout.ts))))
     since = F.when(F.col("holds"), F.col("active_since_ms"))

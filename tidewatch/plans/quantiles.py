@@ -1,7 +1,8 @@
 """Exact quantiles of large groups.
 
-Values are counted, cut into equal-width bins of their own range (twice, so that outliers cannot crowd everything into one
-bin), and a running count over the bins finds the value at each rank. No group is collected or sorted in one task.
+Values are counted and stored, cut into bins of equal width on a signed logarithmic scale, so that a heavy tail spreads over
+many bins, and these into bins of equal width of their own range, so that close values part. A running count over the bins
+finds the value at each rank. No group is collected or sorted in one task.
 """
 
 from __future__ import annotations
@@ -11,8 +12,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import Scan, running
+from tidewatch.plans.store import materialise
 
 _BINS = 1024
+#: Values nearer to zero than this share the bins around it.
+_SMALL = 1e-9
+
+
+def _log(v: Column) -> Column:
+    """Never falls where ``v`` rises."""
+    return F.signum(v) * F.log1p(F.abs(v) / F.lit(_SMALL))
 
 
 def _bin(v: Column, lo: Column, hi: Column) -> Column:
@@ -31,14 +40,14 @@ def exact_quantiles(
     group = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
     v = F.col("_v")
-    counts = (
+    counts = materialise(
         source.select(*group, F.col(value).cast("double").alias("_v"))
         .where(v.isNotNull())
         .groupBy(*group, "_v")
         .agg(F.count(F.lit(1)).alias("_k"))
     )
     totals = counts.groupBy(*group).agg(F.sum("_k").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    coarse = counts.join(totals, group).withColumn("_b1", _bin(v, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    coarse = counts.join(totals, group).withColumn("_b1", _bin(_log(v), _log(F.col("_lo")), _log(F.col("_hi")))).drop("_lo", "_hi")
     ranges = coarse.groupBy(*group, "_b1").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     fine = coarse.join(ranges, [*group, "_b1"])
     slot = F.col("_b1") * F.lit(_BINS) + _bin(v, F.col("_lo"), F.col("_hi"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
@@ -23,12 +24,28 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _test_folder()).rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of the tables that this application stores, inside the shared one."""
+    return f"{shared_folder(spark)}/tidewatch-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables stored by this application. Call it when no result that was built on them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is, left to the planner."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a parquet table in the shared folder and return a scan of that table.
+    """Write ``df`` once as a parquet table in the run's folder and return a scan of that table.
 
     The table outlives lost executors, so later branches and rounds never recompute what came before it.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
