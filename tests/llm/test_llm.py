@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.oracle import connect, difference
-from tidewatch.llm import decontaminate, exact, jaccard, layout, packing, quality, queries, randomness, tokens, toxicity, warc
+from tidewatch.llm import decontaminate, exact, jaccard, labelled, layout, packing, quality, queries, randomness, tokens, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, id string, hash string, norm string, key string, sign string, group string, n string, score string"
@@ -271,3 +271,12 @@ def test_pipeline_keeps_clean_documents(spark):
     rejected = {r["doc_id"] for r in queries.QUERIES["op9_toxicity"](spark, SF).where("predicted = 1").collect()}
     every = {r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()}
     assert not kept & leaked and not kept & rejected and every - leaked - copies - near - rejected <= kept
+
+
+def test_a_repeated_id_adds_one_text_to_a_training_sample(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(500)] + [(i, None) for i in ids[1:]], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = labelled.labelled_texts(docs, marks, "toxic", 100, "doc_id", "text").collect()
+    assert sorted(r["id"] for r in got) == ids and sum(r["text"] is not None for r in got) == 1
+    assert {r["id"]: r["label"] for r in got} == {i: k % 2 for k, i in enumerate(ids)}

@@ -25,9 +25,14 @@ def training_ids(labels: DataFrame, label: str, per_class: int, id_col: str = "d
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, label)`` of the sample; its ids are at most ``2 * per_class`` rows, so they are broadcast."""
+    """``(id, text, label)`` of the sample: at most ``2 * per_class`` rows, so the ids are broadcast.
+
+    Of rows that repeat an id one text is taken, that with the smallest hash; an id of any number of rows adds no more.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(training_ids(labels, label, per_class)), "id")
+    rows = texts.join(F.broadcast(training_ids(labels, label, per_class)), "id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("first")
+    return rows.groupBy("id").agg(first).select("id", "first.text", "first.label")
 
 
 def class_shares(labels: DataFrame, label: str, id_col: str = "doc_id") -> tuple[int, int]:

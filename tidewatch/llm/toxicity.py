@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     if not all(shares):
         return model
     texts = L.labelled_texts(docs, labels, label, per_class, id_col, text_col)
-    sample = materialise(texts.select("id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]))
+    sample = materialise(texts.select("id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("h", F.xxhash64("text")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
