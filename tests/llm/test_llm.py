@@ -190,6 +190,26 @@ def test_secret_spans(spark, odd, none):
     assert randomness.find_secrets(odd).count() == odd.count() and randomness.find_secrets(none).count() == 0
 
 
+def test_random_strings_are_found_in_bands_of_any_count(spark):
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for count, least in ((1, 0.85), (10, 0.9), (100, 0.9), (1000, 0.93)):
+        shares = []
+        for _ in range(200):
+            cells = [0] * randomness.CELLS
+            for _ in range(count):
+                cells[rng.randrange(randomness.CELLS)] += 1
+            shares.append(sum(cells[randomness.least_cell(cells) or 0:]) / count)
+        assert sum(shares) / len(shares) > least, count
+    # words are rejected where they are many
+    assert randomness.least_cell([400, 200, 100, 50] + [20] * (randomness.CELLS - 4)) >= 2
+    # a few keys in each of many bands, as in a small table
+    keys = ["".join(rng.choices(alphabet, k=n)) for n in (24, 40, 100, 200, 400, 800) for _ in range(3)]
+    texts = [f"x {k} y user_profile_settings_page_2_of_3_more_words" for k in keys]
+    found = [s["value"] for r in randomness.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r["spans"] if s["kind"] == "random"]
+    assert len(set(found) & set(keys)) >= 15 and not any(v.startswith("user_") for v in found)
+
+
 def test_archives_round_trip(spark):
     same = "x" * 150
     pages = [(3, "http://a.example/1", same), (1, "http://www.b.example/?q=1", same), (2, None, "small"), (5, "u\r\nv", "small"), (4, "http://a.example/1", "é\r\n\r\nWARC/1.1\r\n" * 20), (None, "http://c.example", same), (1, "http://www.b.example/?q=1", same), (6, "http://a.example:bad", None)]
