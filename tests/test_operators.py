@@ -336,3 +336,15 @@ def test_stream_features_do_not_depend_on_how_rows_arrive():
     square = whole["ret"] ** 2
     assert whole["rv"].iloc[-1] == pytest.approx(np.sqrt(square[rows["ts_ms"] >= rows["ts_ms"].iloc[-1] - 1_800_000].sum()))
     assert whole["_med"].iloc[-1] == pytest.approx(whole["ret"].iloc[-100:].median())
+
+
+def test_klines_of_all_symbols_are_archived_read_and_converted(spark):
+    from tidewatch.workload import connectors
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, connectors.klines(spark, sf).select("symbol", "open_time_ms", "close", "volume").collect()))
+    assert len({w[0] for w in want}) == 4
+    assert sorted(map(tuple, connectors.archived_klines(spark, sf).select("symbol", "open_time_ms", "close", "volume").collect())) == want
+    assert sorted(map(tuple, connectors.all_kline_ticks(spark, sf).select("symbol", "ts_ms").collect())) == [w[:2] for w in want]
+    hours = [w[:2] for w in want if w[1] // 3_600_000 % 5]
+    assert sorted(map(tuple, connectors.all_kline_candles(spark, sf).select("symbol", "start_ms").collect())) == hours

@@ -133,16 +133,30 @@ def scan_kline_rejects(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInPandas(_rejects, REJECT)
 
 
-def scan_kline_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Zipped daily kline files: each archive is one task-local unzip, a few megabytes at most. Bad lines are in ``scan_kline_rejects``."""
-    rows = _archives(spark, path).mapInPandas(_unzip, KLINE)
+def _unzip_named(batches):
+    for pdf in batches:
+        for path, symbol, content in zip(pdf["path"], pdf["symbol"], pdf["content"]):
+            for rows in _unzip([pd.DataFrame({"path": [path], "content": [content]})]):
+                yield rows.assign(symbol=symbol)
+
+
+def scan_kline_archive(spark: SparkSession, path: str, *, symbol: str | None = None) -> DataFrame:
+    """Zipped daily kline files: each archive is one task-local unzip, a few megabytes at most. Bad lines are in ``scan_kline_rejects``.
+
+    ``symbol`` is a pattern whose first group finds the symbol in a file's path; with it the rows carry a ``symbol``.
+    """
+    archives = _archives(spark, path)
+    if symbol is None:
+        rows = archives.mapInPandas(_unzip, KLINE)
+    else:
+        rows = archives.withColumn("symbol", F.regexp_extract("path", symbol, 1)).mapInPandas(_unzip_named, f"{KLINE}, symbol string")
     return rows.withColumn("open_time_ms", epoch_ms("open_time_ms")).withColumn("close_time_ms", epoch_ms("close_time_ms"))
 
 
 def kline_to_ticks(klines: DataFrame) -> DataFrame:
     mid, wide = (F.col("high") + F.col("low")) / 2.0, F.col("high") - F.col("low")
     return klines.select(
-        F.col("open_time_ms").alias("ts_ms"), F.round(mid - wide / 2.0, 2).alias("bid"), F.round(mid + wide / 2.0, 2).alias("ask"),
+        *[c for c in ("symbol",) if c in klines.columns], F.col("open_time_ms").alias("ts_ms"), F.round(mid - wide / 2.0, 2).alias("bid"), F.round(mid + wide / 2.0, 2).alias("ask"),
         F.round("close", 2).alias("last_price"), F.col("volume"),
     )
 

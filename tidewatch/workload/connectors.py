@@ -84,7 +84,7 @@ def union_exchange_files(spark, sf):
 def klines(spark, sf):
     start = F.floor(F.col("ts_ms") / HOUR_MS) * HOUR_MS
     rank = F.struct("ts_ms", "tick_id")
-    return ticks(spark, sf).where("symbol = 'S0'").groupBy(start.cast("long").alias("open_time_ms")).agg(
+    return ticks(spark, sf).groupBy("symbol", start.cast("long").alias("open_time_ms")).agg(
         F.min_by("mid", rank).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", rank).alias("close"),
         F.sum("volume_24h").alias("volume")).withColumn("close_time_ms", F.col("open_time_ms") + HOUR_MS - 1)
 
@@ -94,7 +94,7 @@ KL_SQL = f"""kl AS (SELECT ts_ms // {HOUR_MS} * {HOUR_MS} AS o, arg_min(mid, (ts
 
 
 def _zip_day(rows):
-    """Write the klines of one day as a zipped file; run once per day group, returns the file's bytes."""
+    """The klines of one symbol and day as a zipped file; run once per group, returns the file's bytes."""
     import io
     import zipfile
 
@@ -105,28 +105,57 @@ def _zip_day(rows):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("klines.csv", lines)
-    return pd.DataFrame({"day": [rows["day"].iloc[0]], "content": [buffer.getvalue()]})
+    return pd.DataFrame({"symbol": [rows["symbol"].iloc[0]], "day": [rows["day"].iloc[0]], "content": [buffer.getvalue()]})
 
 
+def write_kline_archives(spark, sf):
+    """One archive per symbol and day in a new folder of the shared one; the session's file system writes them one at a time."""
+    path = scratch(spark)
+    days = klines(spark, sf).withColumn("day", F.floor(F.col("open_time_ms") / DAY_MS).cast("long"))
+    archives = days.groupBy("symbol", "day").applyInPandas(_zip_day, "symbol string, day long, content binary")
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in archives.toLocalIterator():
+        out = files.create(new(f"{path}/{row['symbol']}-1h-{row['day']}.zip"))
+        try:
+            out.write(bytes(row["content"]))
+        finally:
+            out.close()
+    return path
+
+
+def archived_klines(spark, sf):
+    """The klines of all symbols, read back from their archives."""
+    return K.scan_kline_archive(spark, write_kline_archives(spark, sf), symbol=r"([^/]+)-1h-[0-9]+\.zip$")
+
+
+def all_kline_ticks(spark, sf):
+    # Archive prices have two decimals.
+    k = klines(spark, sf)
+    for c in ("high", "low", "close"):
+        k = k.withColumn(c, F.ceil(F.col(c) * 100 - 0.0001) / 100)
+    return K.kline_to_ticks(k)
+
+
+def all_kline_candles(spark, sf):
+    k = klines(spark, sf)
+    hour = F.col("open_time_ms") / HOUR_MS
+    cells = [F.col(c).cast("string") for c in K.KLINE_NAMES]
+    row = F.when(hour % 5 == 0, F.array(*cells[:5])).when(hour % 2 == 0, F.array(*cells, F.lit("0"), F.lit("7"))).otherwise(F.array(*cells, F.lit("0")))
+    return K.kline_rows_to_candles(k.select("symbol", row.alias("row")), timeframe_ms=HOUR_MS)
+
+
+# The SQL of the three kline queries states symbol S0 and has no column for it, so each selects S0 from the rows of all symbols.
 @query("scan_kline_archive", with_ticks(f"SELECT o AS open_time_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume, o + {HOUR_MS - 1} AS close_time_ms FROM kl", KL_SQL))
 def scan_kline_archive(spark, sf):
-    import pandas as pd
-
-    days = klines(spark, sf).withColumn("day", F.floor(F.col("open_time_ms") / DAY_MS).cast("long"))
-    archives = days.groupBy("day").applyInPandas(_zip_day, "day long, content binary")
-    # The archive bytes stay in a table: the same unzip step that reads files reads them from there.
-    rows = archives.select(F.col("day").cast("string").alias("path"), "content").mapInPandas(K._unzip, K.KLINE)
+    rows = archived_klines(spark, sf).where("symbol = 'S0'")
     return rows.select("open_time_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "close_time_ms")
 
 
 @query("kline_to_ticks", with_ticks("""
 SELECT o AS ts_ms, ceil(low * 100 - 0.0001) / 100 AS bid, ceil(high * 100 - 0.0001) / 100 AS ask, ceil(close * 100 - 0.0001) / 100 AS last_price FROM kl""", KL_SQL))
 def kline_to_ticks(spark, sf):
-    # Archive prices have two decimals.
-    k = klines(spark, sf)
-    for c in ("high", "low", "close"):
-        k = k.withColumn(c, F.ceil(F.col(c) * 100 - 0.0001) / 100)
-    return K.kline_to_ticks(k).select("ts_ms", "bid", "ask", "last_price")
+    return all_kline_ticks(spark, sf).where("symbol = 'S0'").select("ts_ms", "bid", "ask", "last_price")
 
 
 @query("trade_to_ticks", "SELECT epoch_us(l_shipdate) // 1000 AS ts_ms, 'P' || l_partkey AS symbol, l_extendedprice AS bid, l_extendedprice AS ask, l_extendedprice AS last_price, l_quantity AS volume FROM lineitem")
@@ -140,11 +169,7 @@ def trade_to_ticks(spark, sf):
 @query("kline_rows_to_candles", with_ticks(f"""SELECT o AS start_ms, o + {HOUR_MS} AS end_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
   round(volume, 4) AS volume, CASE WHEN (o // {HOUR_MS}) % 2 = 0 THEN 7 ELSE 0 END AS trade_count FROM kl WHERE (o // {HOUR_MS}) % 5 <> 0""", KL_SQL))
 def kline_rows_to_candles(spark, sf):
-    k = klines(spark, sf)
-    hour = F.col("open_time_ms") / HOUR_MS
-    cells = [F.col(c).cast("string") for c in K.KLINE_NAMES]
-    row = F.when(hour % 5 == 0, F.array(*cells[:5])).when(hour % 2 == 0, F.array(*cells, F.lit("0"), F.lit("7"))).otherwise(F.array(*cells, F.lit("0")))
-    out = K.kline_rows_to_candles(k.select(row.alias("row")), timeframe_ms=HOUR_MS)
+    out = all_kline_candles(spark, sf).where("symbol = 'S0'")
     return out.select("start_ms", "end_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "trade_count")
 
 
