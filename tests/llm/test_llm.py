@@ -232,6 +232,18 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, lambda x: (x,))) == sorted(x for r in runs for x in r)
 
 
+def test_keys_in_runs_of_mixed_signs_are_tested(spark):
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(alphabet, k=40)) for _ in range(60)]
+    cut = [f"{k[:15]}+{k[15:30]}/{k[30:]}" for k in keys[40:50]] + [f"{k[:15]}-{k[15:30]}_{k[30:]}" for k in keys[50:]]
+    texts = [f"é https://x.com/my-team/{k}" for k in keys[:20]] + [f"com/my-team_{k}/end-of-path" for k in keys[20:40]] + [f"a/b-c-{k}" for k in cut[:10]] + [f"a/b+{k}" for k in cut[10:]]
+    got = {r["doc_id"]: r["spans"] for r in randomness.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(t[s["start"]:s["end"]] == s["value"] for k, t in enumerate(texts) for s in got[k])
+    values = [{s["value"] for s in got[k]} for k in range(len(texts))]
+    assert sum(key in values[k] for k, key in enumerate(keys[:40])) >= 34 and sum(key in values[40 + k] for k, key in enumerate(cut)) >= 16
+
+
 def test_layout(spark):
     page = "<title>no</title><p>Hello <b>big</b>\n world<p>Two<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul><table><tr><td>one<td>2<tr><td>three<td>44</table><div style='display: none'>no</div><pre>a\n  b</pre>x<br>y &amp; z<script>no()</script><p hidden>no"
     assert layout.render(page) == "Hello big world\n\nTwo\n\n- a\n- b\n  3. x\n  4. y\n\none    2\nthree  44\n\na\n  b\n\nx\ny & z"

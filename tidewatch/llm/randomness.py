@@ -4,7 +4,9 @@
 key names; long hexadecimal strings.
 
 *Battery.* A candidate is a run of at least ``MIN_LENGTH`` characters of the URL-safe or standard base64 alphabet with a
-letter and a digit, apart from the spans above. Its encoding is the first alphabet that holds all of its characters. Three
+letter and a digit, apart from the spans above. Its encoding is the first alphabet that holds all of its characters. A run that fits none
+(one of ``+ /`` and one of ``- _``) is cut at all four, and each letter and digit piece of at least ``MIN_LENGTH`` is a candidate; so are the pieces
+between ``+ /`` alone and between ``- _`` alone that hold no such piece, and these may overlap. Three
 tests ask whether it is a random string of that encoding: chi-squared of the symbol counts against equal counts
 (Wilson-Hilferty), the Wald-Wolfowitz runs test about the middle of the alphabet, and the correlation of neighbours. Fisher's method
 combines the three p-values. Random strings have evenly spread p-values, words and identifiers small ones.
@@ -36,6 +38,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 MIN_LENGTH = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
+#: A run that fits no alphabet, and the pieces into which it is cut: at all four signs, at the standard ones, at the URL-safe ones.
+MIXED = "(?=.*[+/])(?=.*[_-])"
+PIECES = {name: rf"(?<![{signs}])[{signs}]{{{MIN_LENGTH},}}={{0,2}}" for name, signs in (("inner", "A-Za-z0-9"), ("url_piece", "A-Za-z0-9_-"), ("standard_piece", "A-Za-z0-9+/"))}
 #: Alphabets in the order in which they are tried.
 ENCODINGS = {
     "hex_lower": "0123456789abcdef",
@@ -111,9 +116,16 @@ _CELL = f"concat(x.test.encoding, ':', cast(floor(log2(x.test.length)) AS int))"
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, base, candidates)``: spans of the patterns, and tested candidates that overlap none of them; texts are left behind."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", spans("assign", ASSIGN).alias("assign"), spans("access", ACCESS).alias("access"), spans("hex", HEX).alias("hex"), spans("random", CANDIDATE).alias("other"))
+    rows = rows.select("id", "text", spans("assign", ASSIGN).alias("assign"), spans("access", ACCESS).alias("access"), spans("hex", HEX).alias("hex"), spans("random", CANDIDATE).alias("other"))
     rows = rows.withColumn("assign", F.expr(f"filter(assign, x -> length(regexp_extract(x.value, {_quoted(ASSIGN_VALUE)}, 1)) >= 6)"))
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
+    within = "y.start <= x.start AND x.end <= y.end"
+    rows = rows.withColumn("mixed", F.expr(f"filter(other, x -> rlike(x.value, '{MIXED}'))"))
+    some = F.expr("size(mixed) > 0")  # few texts have such runs, the others are not searched again
+    rows = rows.select("*", *[F.when(some, spans("random", pattern)).otherwise(F.expr("slice(mixed, 1, 0)")).alias(name) for name, pattern in PIECES.items()])
+    rows = rows.withColumn("inner", F.expr(f"filter(inner, x -> exists(mixed, y -> {within}))"))
+    outer = f"filter(array_union(url_piece, standard_piece), x -> exists(mixed, y -> {within}) AND NOT exists(inner, y -> x.start <= y.start AND y.end <= x.end))"
+    rows = rows.withColumn("other", F.expr(f"CASE WHEN size(mixed) = 0 THEN other ELSE concat(array_except(other, mixed), inner, {outer}) END"))
     free = "filter(other, x -> rlike(x.value, '[0-9]') AND rlike(x.value, '[A-Za-z]') AND NOT exists(base, y -> y.start < x.end AND x.start < y.end))"
     tested = f"filter(transform({free}, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, 'test', {battery('x.value')})), x -> x.test IS NOT NULL)"
     return rows.select("id", "base", F.expr(tested).alias("candidates"))
