@@ -253,6 +253,17 @@ def test_layout(spark):
     assert layout.visible_text(df.limit(0)).count() == 0
 
 
+def test_layout_keeps_text_of_open_heads_drawings_formulas_and_inputs():
+    r = layout.render
+    assert r("<html><head><title>t</title><h1>Hi</h1><p>text") == "Hi\n\ntext" == r("<head><head><meta charset=x><h1>Hi</h1></head><p>text")
+    assert r("<head><title>t</title> \n text<p>more") == "text\n\nmore" and r("<head><style>a</style><noscript><p>n</noscript></head><body>x") == "x"
+    assert r("<p>a<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><text>one</text><text>two</text></svg>b") == "a one two b"
+    assert r("<svg><defs/><style/><path d='M0'/><text>x</text></svg> y") == "x y" and r("<svg><defs><g><p>out") == "out" and r("<desc>shown") == "shown"
+    assert r("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></semantics></math>") == "1 2"
+    assert r("<object data=x><param name=y>no plugin</object>") == "no plugin"
+    assert r("<input value=a> <input type=email value=b><input type=password value=c><input type=hidden value=d><input type=submit value=e>") == "a b e"
+
+
 @pytest.mark.parametrize("name", ["op4_quality_classifier", "op9_toxicity"])
 def test_classifiers_on_held_out_rows(spark, name):
     label = "quality" if name.startswith("op4") else "toxic"

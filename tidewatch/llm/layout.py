@@ -1,8 +1,11 @@
 """Layout-aware rendering of HTML: a tree builder with implied tags, and a renderer that emits all visible text.
 
 The builder follows the usual rules: void elements, raw text of scripts and styles, paragraphs closed by blocks, list items, cells,
-rows, sections, options and terms closed by their like, rows implied for cells, end tags without a start ignored. The renderer
-leaves out what a browser does not show (head, scripts, styles, templates, ``hidden``, ``display:none``, ``visibility:hidden``), collapses white space outside
+rows, sections, options and terms closed by their like, rows implied for cells, the end of the head and the body implied by the first content,
+self-closing tags of SVG and MathML, both left at an HTML block, end tags without a start ignored. The renderer
+leaves out what a browser does not show (head, scripts, styles, templates, noscript, frames, players, canvas, data lists, definitions and descriptions of
+SVG, annotations of MathML, values of inputs that are masked or no text, ``hidden``, ``display:none``, ``visibility:hidden``), shows the fallback of
+objects as nothing is loaded, collapses white space outside
 ``pre``, parts blocks by line breaks and paragraphs by blank lines, marks list items by ``-`` or their number with two spaces
 per level, and sets the cells of a table in columns.
 
@@ -22,7 +25,18 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist param source track col colgroup area".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes audio video canvas datalist param source track col colgroup area".split())
+#: Left out inside SVG or MathML only.
+HIDDEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+#: Inputs whose value is not shown as text.
+HIDDEN_INPUTS = frozenset("hidden password checkbox radio range color file image".split())
+#: Start tags that leave an open head open; any other ends it.
+METADATA = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Start tags that end SVG and MathML, unless one of the elements that hold HTML is open.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Elements of SVG and MathML that are set apart by a space.
+APART = frozenset("text mi mo mn ms mtext".split())
 #: Blocks with a blank line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
 BLOCKS = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav optgroup option section summary tr td th tbody thead tfoot caption".split())
@@ -52,7 +66,7 @@ class Node:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name or text, attributes)`` with kinds text, raw, start and end."""
-    at, n = 0, len(page)
+    at, n, foreign = 0, len(page), 0
     while at < n:
         mark = page.find("<", at)
         if mark < 0:
@@ -77,10 +91,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             attributes = page[tag.end():end]
             at = min(end + 1, n)
             if closing:
+                if name in ("svg", "math"):
+                    foreign = max(0, foreign - 1)
                 yield "end", name, ""
                 continue
             yield "start", name, attributes
-            if name in RAW:
+            if name in ("svg", "math") and not attributes.endswith("/"):
+                foreign += 1
+            if name in RAW and not (foreign and attributes.endswith("/")):
                 stop = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
                 upto = stop.start() if stop else n
                 if upto > at:
@@ -136,20 +154,43 @@ def build(page: str) -> Node:
             if stack[k].tag in stops:
                 return
 
+    def body() -> None:
+        pop_to(len(stack) - 1)
+        push("body", {})
+
     for kind, value, rest in tokens(page):
         if kind == "text":
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
+            text = html.unescape(value) if "&" in value else value
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                body()
+            stack[-1].children.append(text)
         elif kind == "raw":
             stack[-1].children.append(html.unescape(value) if stack[-1].tag in ("title", "textarea") else value)
         elif kind == "start":
+            if open_.get("head"):
+                if value == "head":
+                    continue
+                if stack[-1].tag == "head" and value not in METADATA and value != "body":
+                    body()
+            foreign = open_.get("svg") or open_.get("math")
+            if foreign and value in ENDS_FOREIGN and not any(open_.get(t) for t in HOLDS_HTML):
+                pop_to(next(k for k, node in enumerate(stack) if node.tag in ("svg", "math")))
+                foreign = False
             if value in ENDS_PARAGRAPH:
                 end_of({"p"}, {"td", "th", "table", "button", "object", "caption"})
             if value in ENDS:
                 end_of(*ENDS[value])
             if value in ("td", "th") and open_.get("table") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
-            push(value, _attributes(rest) if rest.strip(" /\t\n\r\f") else {})
+            attributes = _attributes(rest) if rest.strip(" /\t\n\r\f") else {}
+            if foreign and value in HIDDEN_FOREIGN:
+                attributes["hidden"] = ""
+            push(value, attributes)
+            if rest.endswith("/") and (foreign or value in ("svg", "math")) and value not in VOID:
+                pop_to(len(stack) - 1)
         elif value == "br":
+            if stack[-1].tag == "head":
+                body()
             push("br", {})
         elif open_.get(value):
             stops = {"table"} if value in ("p", "li", "div", "span", "a", "b", "i") else set()
@@ -159,7 +200,7 @@ def build(page: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or (a and "hidden" in a) or (node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset")):
+    if node.tag in HIDDEN or (a and "hidden" in a) or (node.tag == "input" and a.get("type", "").strip().lower() in HIDDEN_INPUTS):
         return True
     return bool(a and "style" in a and _UNSEEN.search(a["style"]))
 
@@ -258,7 +299,9 @@ def render(page: str) -> str:
         if tag == "input":
             out.write(f" {node.attributes.get('value', '')} ")
             continue
-        if tag == "table":
+        if tag in APART:
+            out.write(" ")
+        elif tag == "table":
             out.block(True)
             tables.append([])
         elif tag == "tr" and tables:
@@ -285,7 +328,9 @@ def render(page: str) -> str:
 
 def _close(node: Node, pages: list[Page], tables: list, lists: list) -> None:
     tag, out = node.tag, pages[-1]
-    if tag == "table":
+    if tag in APART:
+        out.write(" ")
+    elif tag == "table":
         for line in _column_set([r for r in tables.pop() if r]):
             if line:
                 out._open()
