@@ -323,3 +323,9 @@ def test_a_repeated_id_adds_one_text_to_a_training_sample(spark):
     got = labelled.labelled_texts(docs, marks, "toxic", 100, "doc_id", "text").collect()
     assert sorted(r["id"] for r in got) == ids and sum(r["text"] is not None for r in got) == 1
     assert {r["id"]: r["label"] for r in got} == {i: k % 2 for k, i in enumerate(ids)}
+
+
+def test_near_copies_whose_hash_has_only_zero_bits_are_compared(spark, odd, monkeypatch):
+    monkeypatch.setattr(jaccard, "_FILTER_BITS", 0)  # every text falls on bit 0
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(odd.where("doc_id IN (7, 8)"))[0].collect()}
+    assert got[7] == got[8] == 7

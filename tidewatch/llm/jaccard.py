@@ -217,7 +217,8 @@ def _sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) -
         own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
         at = (r["at"] - 1) * len(own)
         ids = np.flatnonzero(own) + at + 1
-        table[ids[ids <= size]] = True
+        table[ids[(ids > 0) & (ids <= size)]] = True
+        table[0] |= r["at"] == 0  # value 0 has a bucket of its own
     packed = np.packbits(table)
     schema = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
