@@ -123,12 +123,12 @@ def chosen_parts(join: Join, shingles: np.ndarray, frequent: np.ndarray) -> np.n
     return np.concatenate(out)
 
 
-def _key(shingles: np.ndarray) -> int:
+def set_key(shingles: np.ndarray) -> int:
     """Name of the class of sets equal to this one."""
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(join: Join, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(join: Join, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     """The shingle set of each text, in order."""
     for i, _, _, _, h, first in W.batch_words(texts, W.NON_SPACE):
         for d in range(len(first) - 1):
@@ -142,9 +142,9 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, sets = [], [], {}
-            for _, s in _sets(join, text_bytes(batch.column("text"))):
+            for _, s in shingle_sets(join, text_bytes(batch.column("text"))):
                 sizes.append(len(s))
-                keys.append(_key(s) if len(s) else None)
+                keys.append(set_key(s) if len(s) else None)
                 if len(s):
                     sets[keys[-1]] = s
             size = len(sizes)
@@ -166,8 +166,8 @@ def _signatures(docs: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
         met = set()
         for batch in batches:
             signs, keys, sizes = [], [], []
-            for _, s in _sets(join, text_bytes(batch.column("text"))):
-                if len(s) and (key := _key(s)) not in met:
+            for _, s in shingle_sets(join, text_bytes(batch.column("text"))):
+                if len(s) and (key := set_key(s)) not in met:
                     met.add(key)
                     signs.append(chosen_parts(join, s, frequent))
                     keys.append(key)
@@ -206,30 +206,29 @@ def _buckets(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(run, "sign long, key long, n int")
 
 
-def _sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) -> DataFrame:
     """``(key, shingles)`` of the given classes, read from one text of each; others are turned away by a bit table of fixed size."""
     texts = members.where("key is not null").groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(keys, "key")
     bit = F.col("text_hash").bitwiseAND((1 << _FILTER_BITS) - 1)
     rows = texts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    size = 1 << _FILTER_BITS
-    table = np.zeros(size + 1, bool)
-    for r in rows:  # bucket k holds the bits (k - 1) * 32768 + 0 .. 32767
-        own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        at = (r["at"] - 1) * len(own)
-        ids = np.flatnonzero(own) + at + 1
-        table[ids[(ids > 0) & (ids <= size)]] = True
-        table[0] |= r["at"] == 0  # value 0 has a bucket of its own
-    packed = np.packbits(table)
+    packed = np.zeros(((1 << _FILTER_BITS) >> 3) + 4096, np.uint8)
+    for r in rows:  # bucket k holds the bits for the values (k - 1) * 32768 + 1 to k * 32768
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        if r["at"] > 0:
+            packed[(r["at"] - 1) * len(own):r["at"] * len(own)] |= own
+    zero = any(r["at"] == 0 for r in rows)  # value 0 has a bucket of its own
+
     schema = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, met = np.unpackbits(packed).astype(bool), set()
+        met = set()
         for batch in batches:
-            h = batch.column("text_hash").to_numpy() & np.int64((1 << _FILTER_BITS) - 1)
-            mine = batch.filter(pa.array(wanted[h]))
+            bit = (batch.column("text_hash").to_numpy() & np.int64((1 << _FILTER_BITS) - 1)) - 1
+            wanted = np.where(bit < 0, zero, packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            mine = batch.filter(pa.array(wanted.astype(bool)))
             keys, sets = [], []
-            for _, s in _sets(join, text_bytes(mine.column("text"))):
-                if len(s) and (key := _key(s)) not in met:
+            for _, s in shingle_sets(join, text_bytes(mine.column("text"))):
+                if len(s) and (key := set_key(s)) not in met:
                     met.add(key)
                     keys.append(key)
                     sets.append(s.view(np.int64))
@@ -238,7 +237,7 @@ def _sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) -
     return docs.mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b, same, either)`` for distinct pairs: sizes of intersection and union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int32()), ("either", pa.int32())])
 
@@ -316,9 +315,9 @@ class _Search:
         best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "pivot"))
         ranked = met.groupBy("key", "pivot").agg(F.count("*").alias("times")).withColumn("rank", best)
         ranked = materialise(ranked.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"), "rank"))
-        self.add(_compared(ranked.where("rank = 1").select("a", "b").distinct(), self.sets))
+        self.add(compared(ranked.where("rank = 1").select("a", "b").distinct(), self.sets))
         rest = ranked.where("rank > 1").select("a", "b").distinct().join(self.seen, ["a", "b"], "left_anti")
-        self.add(_compared(self.with_roots(rest, "a", "b").where("a_root <> b_root").select("a", "b"), self.sets))
+        self.add(compared(self.with_roots(rest, "a", "b").where("a_root <> b_root").select("a", "b"), self.sets))
 
     def clusters(self, buckets: DataFrame) -> None:
         """Buckets with several components, merged where they share members, and compared block by block."""
@@ -356,7 +355,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     frequent = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
     buckets = materialise(_buckets(_signatures(rows, join, frequent)))
     keys = materialise(buckets.select("key").distinct())
-    search = _Search(join, materialise(_sets_of(rows, join, members, keys)))
+    search = _Search(join, materialise(sets_of(rows, join, members, keys)))
     search.run(buckets)
     rooted = members.join(search.roots.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import quality as quality_model
 from tidewatch.llm import toxicity as toxicity_model
+from tidewatch.llm.collisions import coordinate_duplicates
 from tidewatch.llm.decontaminate import contamination
 from tidewatch.llm.exact import exact_duplicates
+from tidewatch.llm.interaction import filter_audit
 from tidewatch.llm.jaccard import near_duplicates
 from tidewatch.llm.labelled import held_out
 from tidewatch.llm.layout import visible_text
+from tidewatch.llm.negatives import hard_negatives
 from tidewatch.llm.packing import pack
 from tidewatch.llm.randomness import digest, find_secrets
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
@@ -88,18 +91,20 @@ def op5(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OP6_SQL = f"""
+def similar_sql(width: int, more: str = "") -> str:
+    """Components of documents whose sets of ``width``-word shingles are similar by 80 % or more."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
 reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id{more}
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)"""
 
 
-@query("op6_ngram_jaccard_join", OP6_SQL)
+@query("op6_ngram_jaccard_join", similar_sql(5))
 def op6(spark, sf_dir):
     classes, _ = near_duplicates(documents(spark, sf_dir))
     return classes.select("doc_id", "n_shingles", "component_id")
@@ -126,3 +131,51 @@ def op9(spark, sf_dir):
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) AS INTEGER)
+        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS mask FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(name, bit)),
+orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+           FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS prior FROM orders, range(1, 6) AS r(step)),
+res AS (SELECT part, filter_order, step, bit, sum(n) FILTER ((mask & (bit | prior)) = 0) AS kept, sum(n) FILTER ((mask & bit) <> 0 AND (mask & prior) = 0) AS removed,
+        sum(n) FILTER ((mask & bit) <> 0 AND (mask & prior) <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+        sum(good) FILTER ((mask & bit) <> 0 AND (mask & prior) = 0) AS good_lost, sum(toxic) FILTER ((mask & bit) <> 0 AND (mask & prior) = 0) AS toxic_lost
+        FROM c, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM res"""
+
+
+@query("op11_filter_interaction_audit", OP11_SQL)
+def op11(spark, sf_dir):
+    return filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op12_minhash_near_dedup", similar_sql(4, ", d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept"))
+def op12(spark, sf_dir):
+    classes, _ = coordinate_duplicates(documents(spark, sf_dir))
+    return classes.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label AS other, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE own = other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER k AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND other <> p.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW k AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER k <= 10"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
