@@ -6,8 +6,8 @@ coordinates are candidates, and a link is confirmed on the full sets. With 64 co
 is missed with a chance of 4e-6.
 
 *Prefix.* Two signatures with MATCHES tokens in common share one of the first ``COORDINATES - MATCHES + 1`` tokens of each in any order common to
-all. Only these are posted, rare ones first, so tokens of passages that many documents share seldom are. Which tokens are frequent is counted
-over all documents and steers the order alone; results do not depend on it.
+all. Only these are posted, rare ones first: tokens are ordered by the number of classes that hold them, counted over all. Passages that
+many documents share come last, and a class with that many tokens of its own has no partner and posts none.
 
 *Stars.* The posting list of a token is not paired out. Its members are first compared with one pivot, the member that meets most others; links
 make components, and members of one component need no comparison among each other.
@@ -42,10 +42,8 @@ from tidewatch.plans.store import materialise
 WIDTH, SIMILARITY = 4, 80
 COORDINATES, MATCHES = 64, 36
 PREFIX = COORDINATES - MATCHES + 1
-#: Frequent tokens that steer the order of prefixes: the bound of what is sent to tasks.
-FREQUENT = 100_000
-#: A batch of documents reports a token from so many of its classes on.
-BATCH_SEEN = 4
+#: Shingles whose signatures are computed together.
+WAITING = 1 << 17
 #: Shingles in a block of a cluster, and members of a star that share one copy of the pivot.
 BLOCK, STAR = 1 << 18, 1_000
 _RANDOM = np.random.Generator(np.random.PCG64(20250811)).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,78 +64,64 @@ def tokens(signs: np.ndarray) -> np.ndarray:
     return W.mix((np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(32)) ^ signs.astype(np.uint64))
 
 
-def prefixes(signs: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first ``PREFIX`` tokens of each signature, those in ``frequent`` (sorted) last."""
-    names = tokens(signs)
-    common = np.zeros(names.shape, bool)
-    if len(frequent):
-        common = frequent[np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)] == names
-    return np.take_along_axis(names, np.lexsort((names, common), axis=1)[:, :PREFIX], axis=1)
-
-
 def _described(docs: DataFrame, join: Join) -> DataFrame:
-    """Rows of two kinds: documents (id, size, class, and the signature where the task meets the class first), and how often a token (``key``) was seen."""
-    schema = pa.schema([("seen", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("sign", pa.binary())])
+    """``(id, n, key, text_hash, sign)``: documents, with the signature where a task meets the class first."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("text_hash", pa.int64()), ("sign", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for batch in batches:
-            rows, fresh, at = [], [], 0
-            signs: list[bytes | None] = []
+            sizes, keys, signs, fresh, held = [], [], [], [], 0
 
             def flush() -> None:
-                """Signatures of the sets that wait, so that at most some million hashes are held."""
                 if fresh:
-                    made = signatures([s for _, s in fresh])
-                    for (place, _), sign in zip(fresh, made):
+                    for place, sign in zip([p for p, _ in fresh], signatures([s for _, s in fresh])):
                         signs[place] = sign.tobytes()
-                    names.append(tokens(made).ravel())
                     fresh.clear()
 
-            names: list[np.ndarray] = []
-            held = 0
             for _, s in shingle_sets(join, text_bytes(batch.column("text"))):
                 key = set_key(s) if len(s) else None
-                rows.append((len(s), key))
-                signs.append(None)
                 if key is not None and key not in met:
                     met.add(key)
-                    fresh.append((at, s))
+                    fresh.append((len(signs), s))
                     held += len(s)
-                at += 1
-                if held > 1 << 17:
+                sizes.append(len(s))
+                keys.append(key)
+                signs.append(None)
+                if held > WAITING:
                     flush()
                     held = 0
             flush()
-            sizes, keys = ([r[i] for r in rows] for i in (0, 1))
-            yield pa.record_batch(
-                [pa.array(np.zeros(at, bool)), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column("text_hash"), pa.array(signs, pa.binary())], schema=schema)
-            if names:
-                all_, counts = np.unique(np.concatenate(names), return_counts=True)
-                often = counts >= BATCH_SEEN
-                k = int(often.sum())
-                none = pa.nulls(k, pa.int64())
-                yield pa.record_batch([pa.array(np.ones(k, bool)), none, pa.array(counts[often], pa.int64()), pa.array(all_[often].view(np.int64)), none, pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column("text_hash"), pa.array(signs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "seen boolean, id long, n long, key long, text_hash long, sign binary")
+    return docs.mapInArrow(run, "id long, n long, key long, text_hash long, sign binary")
 
 
 def _matrix(signs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signs.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _posts(classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(token, key, n)`` for the prefix tokens of each class."""
+def _lists(classes: DataFrame) -> DataFrame:
+    """``(token, key, n)``: the posting lists of prefix tokens that several classes post.
+
+    The order of tokens is that of how many classes hold them, counted over all. A token of one class only comes first and makes no list, so
+    a class with ``PREFIX`` such tokens posts nothing.
+    """
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                names = prefixes(_matrix(batch.column("sign")), frequent)
-                columns = names.ravel().view(np.int64), np.repeat(batch.column("key").to_numpy(), PREFIX), np.repeat(batch.column("n").to_numpy().astype(np.int32), PREFIX)
-                yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
+                names = tokens(_matrix(batch.column("sign"))).ravel().view(np.int64)
+                yield pa.record_batch([pa.array(names), pa.array(np.repeat(batch.column("key").to_numpy(), COORDINATES)), pa.array(np.repeat(batch.column("n").to_numpy().astype(np.int32), COORDINATES))], schema=schema)
 
-    return classes.select("key", "n", "sign").mapInArrow(run, "token long, key long, n int")
+    posts = classes.select("key", "n", "sign").mapInArrow(run, "token long, key long, n int")
+    shared = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    own = posts.join(shared, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("held"))
+    prefix = F.slice("held", F.lit(1), F.lit(PREFIX - COORDINATES) + F.size("held"))
+    rows = own.where(F.size("held") > COORDINATES - PREFIX).select("key", "n", F.explode(prefix).alias("p")).select("p.token", "key", "n")
+    rows = materialise(rows)
+    return materialise(rows.join(rows.groupBy("token").count().where("count > 1").select("token"), "token"))
 
 
 def _collided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -244,13 +228,9 @@ def coordinate_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: in
     join = Join(width, similarity)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     described = materialise(_described(rows, join))
-    members = described.where("not seen").select("id", "n", "key", "text_hash")
-    top = described.where("seen").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+    members = described.select("id", "n", "key", "text_hash")
     classes = materialise(described.where("sign IS NOT NULL").select("key", "n", "sign").dropDuplicates(["key"]))
-    posts = materialise(_posts(classes, frequent))
-    shared = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    lists = materialise(posts.join(shared.select("token"), "token"))
+    lists = _lists(classes)
     sets = materialise(sets_of(rows, join, members, lists.select("key").distinct()))
 
     ranked = materialise(_star_pairs(lists))
