@@ -9,7 +9,7 @@ is missed with a chance of 4e-6.
 all. Only these are posted, rare ones first: tokens are ordered by the number of classes that hold them, counted over all. Passages that
 many documents share come last, and a class with that many tokens of its own has no partner and posts none.
 
-*Stars.* The posting list of a token is not paired out. Its members are first compared with one pivot, the member that meets most others; links
+*Stars.* The posting list of a token is not paired out. Its members are first compared with one pivot each, the member that meets most others; links
 make components, and members of one component need no comparison among each other.
 
 *Skip merging.* Lists that still hold several components are merged into clusters. There an inverted index holds the list of each token.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
@@ -194,20 +194,18 @@ def _similar(links: DataFrame, join: Join) -> DataFrame:
     return links.where(F.expr(f"100L * same >= {join.similarity}L * either"))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame, column: str = "key", name: str = "root") -> DataFrame:
-    found = rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left")
-    return found.withColumn(name, F.coalesce(name, column))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    """``(key, pivot, rank)``: the pivots a class meets, the one it meets most often first."""
+    """``(key, pivot)``: the pivots of the lists a class stands in."""
     sized = lists.join(lists.groupBy("token").agg(F.count("*").alias("size")), "token")
     weight = sized.groupBy("key").agg(F.sum("size").alias("weight"))
     pivots = lists.join(weight, "key").groupBy("token").agg(F.max(F.struct("weight", "key", "n")).alias("p"))
     met = lists.join(pivots.select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "token").where("key <> pivot")
     met = met.where(F.expr(f"100L * least(n, pivot_n) >= {SIMILARITY}L * greatest(n, pivot_n)"))
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "pivot"))
-    return met.groupBy("key", "pivot").agg(F.count("*").alias("times")).withColumn("rank", best).select("key", "pivot", "rank")
+    return materialise(met.select("key", "pivot").distinct())
 
 
 def _clusters(lists: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,12 +231,7 @@ def coordinate_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: in
     lists = _lists(classes)
     sets = materialise(sets_of(rows, join, members, lists.select("key").distinct()))
 
-    ranked = materialise(_star_pairs(lists))
-    links = materialise(_similar(compared(_collided(ranked.where("rank = 1"), classes), sets), join))
-    roots = materialise(components(links))
-    rest = _rooted(_rooted(ranked.where("rank > 1"), roots), roots, "pivot", "pivot_root").where("root <> pivot_root")
-    more = materialise(_similar(compared(_collided(rest.select("key", "pivot"), classes), sets), join))
-    links = links.unionByName(more)
+    links = materialise(_similar(compared(_collided(_star_pairs(lists), classes), sets), join))
     roots = materialise(components(links))
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int32()), ("either", pa.int32())])
