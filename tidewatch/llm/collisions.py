@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import words as W
 from tidewatch.llm.components import components
 from tidewatch.llm.jaccard import Join, compared, set_key, sets_of, shingle_sets
+from tidewatch.llm.memory import released
 from tidewatch.llm.tokens import text_bytes
 from tidewatch.plans.store import materialise
 
@@ -94,7 +94,7 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
             flush()
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), batch.column("text_hash"), pa.array(signs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, key long, text_hash long, sign binary")
+    return docs.mapInArrow(released(run), "id long, n long, key long, text_hash long, sign binary")
 
 
 def _matrix(signs: pa.Array) -> np.ndarray:
@@ -170,7 +170,7 @@ def _links_in(join: Join, rows: pa.Table) -> list[tuple[int, int, int, int]]:
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     shingles = rows["shingles"].combine_chunks()
     sets = [shingles[i].values.to_numpy() for i in range(len(keys))]
-    code, _ = pd.factorize(tokens(_matrix(rows["sign"].combine_chunks())).ravel())
+    code, _ = W.factorize(tokens(_matrix(rows["sign"].combine_chunks())).ravel())
     owner = np.repeat(np.arange(len(keys)), COORDINATES)
     members, starts = owner[np.argsort(code, kind="stable")], np.append(0, np.cumsum(np.bincount(code)))
     lists = code.reshape(len(keys), COORDINATES)

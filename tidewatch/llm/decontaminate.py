@@ -22,13 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
+from tidewatch.llm.memory import released
 from tidewatch.llm.tokens import text_bytes
+from tidewatch.plans.store import materialise
 
 WINDOW = 10
 WIDTH = 3
@@ -140,7 +141,7 @@ def shingle_counts(docs: DataFrame, block: Block) -> np.ndarray:
             there = np.flatnonzero(n)
             yield pa.record_batch([pa.array(np.full(len(there), w), pa.int32()), pa.array(there, pa.int64()), pa.array(n[there], pa.int64())], schema=schema)
 
-    counted = docs.select("text").mapInArrow(run, "width int, place long, n long").groupBy("width", "place").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(released(run), "width int, place long, n long").groupBy("width", "place").agg(F.sum("n").alias("n"))
     out = np.zeros(len(block.shingle), np.int64)
     by_width = {w: np.zeros(len(keys), np.int64) for w, keys in tables}
     for r in counted.collect():  # at most one row per shingle of the block
@@ -224,36 +225,37 @@ def _marked(docs: DataFrame, marker: Marker, keep_text: bool) -> DataFrame:
             columns = [batch.column("id"), text, pa.array(n_words), pa.array(n_hit), pa.array([sorted(set(f or [])) for f in found], schema.types[4]), pa.array([r or [] for r in runs], schema.types[5])]
             yield pa.record_batch([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return docs.mapInArrow(run, _STATE)
+    return docs.mapInArrow(released(run), _STATE)
 
 
-def markers(docs: DataFrame, items: DataFrame, *, window: int, width: int, block_windows: int, item_col: str, item_text_col: str) -> list[Marker]:
-    """One marker per block of windows; ``docs`` has a column ``text`` in which shingles are counted."""
-    found = windows(items, window, item_col, item_text_col)
-    blocks = max(1, -(-found.count() // block_windows))
-    parts = [Block.of(found.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect(), width) for k in range(blocks)]
-    return [Marker(block, shingle_counts(docs, block)) for block in parts]
-
-
-def hit_words(marker: Marker, text: Column) -> Column:
-    """How many words of a text the windows of one block hit."""
+def markers(docs: DataFrame, items: DataFrame, *, window: int, width: int, block_windows: int, item_col: str, item_text_col: str) -> Iterator[tuple[Marker, bool]]:
+    """One marker per block of windows, and whether it is the last; each is made when it is asked for, so the driver holds one block.
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        plain = [t.encode() if t is not None else b"" for t in texts]
-        return pd.Series(marker.mark(marker.lookups(), plain, [None] * len(plain), [None] * len(plain))[1])
-
-    return count(text)
+    ``docs`` has a column ``text`` in which shingles are counted.
+    """
+    found = materialise(windows(items, window, item_col, item_text_col))
+    blocks = max(1, -(-found.count() // block_windows))
+    for k in range(blocks):
+        block = Block.of(found.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == k).collect(), width)
+        yield Marker(block, shingle_counts(docs, block)), k + 1 == blocks
 
 
 def without_items(
     docs: DataFrame, items: DataFrame, *, window: int = WINDOW, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that no window of an item hits, with all their columns."""
+    """The rows of ``docs`` that no window of an item hits, with all their columns; what one block leaves is stored before the next."""
     texts = docs.select(F.col(text_col).alias("text"))
-    for marker in markers(texts, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col):
-        docs = docs.where(hit_words(marker, F.col(text_col)) == 0)
+    for marker, last in markers(texts, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col):
+        def run(batches: Iterator[pa.RecordBatch], marker: Marker = marker) -> Iterator[pa.RecordBatch]:
+            lookups = marker.lookups()
+            for batch in batches:
+                plain = text_bytes(batch.column(text_col))
+                _, hit = marker.mark(lookups, plain, [None] * len(plain), [None] * len(plain))
+                yield batch.filter(pa.array(np.asarray(hit) == 0))
+
+        docs = docs.mapInArrow(released(run), docs.schema)
+        docs = docs if last else materialise(docs)
     return docs
 
 
@@ -265,7 +267,7 @@ def contamination(
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     empty = {"n_words": "0L", "n_hit": "0L", "items": "cast(array() as array<string>)", "spans": "cast(array() as array<struct<first:bigint,last:bigint>>)"}
     state = plain.withColumns({k: F.expr(v) for k, v in empty.items()})
-    steps = markers(plain, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col)
-    for k, marker in enumerate(steps):
-        state = _marked(state, marker, k + 1 < len(steps))
+    for marker, last in markers(plain, items, window=window, width=width, block_windows=block_windows, item_col=item_col, item_text_col=item_text_col):
+        state = _marked(state, marker, not last)
+        state = state if last else materialise(state)
     return state.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")

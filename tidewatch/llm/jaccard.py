@@ -29,13 +29,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
 from tidewatch.llm.components import components
+from tidewatch.llm.memory import released
 from tidewatch.llm.tokens import text_bytes
 from tidewatch.plans.store import materialise
 
@@ -155,7 +155,7 @@ def _described(docs: DataFrame, join: Join) -> DataFrame:
                 k = int(often.sum())
                 yield pa.record_batch([pa.array(np.ones(k, bool)), pa.nulls(k, pa.int64()), pa.array(counts[often], pa.int64()), pa.array(all_[often].view(np.int64)), pa.nulls(k, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "seen boolean, id long, n long, key long, text_hash long")
+    return docs.mapInArrow(released(run), "seen boolean, id long, n long, key long, text_hash long")
 
 
 def _signatures(docs: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
@@ -176,7 +176,7 @@ def _signatures(docs: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
                 counts = [len(x) for x in signs]
                 yield pa.record_batch([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "sign long, key long, n int")
+    return docs.select("text").mapInArrow(released(run), "sign long, key long, n int")
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def sets_of(docs: DataFrame, join: Join, members: DataFrame, keys: DataFrame) ->
                     sets.append(s.view(np.int64))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return docs.mapInArrow(released(run), "key long, shingles array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int, either int")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long, same int, either int")
 
 
 def _links_in(join: Join, rows: pa.Table) -> list[tuple[int, int, int, int]]:
@@ -263,7 +263,7 @@ def _links_in(join: Join, rows: pa.Table) -> list[tuple[int, int, int, int]]:
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     shingles = rows["shingles"].combine_chunks()
     sizes = np.diff(shingles.offsets.to_numpy())
-    code, _ = pd.factorize(shingles.flatten().to_numpy())
+    code, _ = W.factorize(shingles.flatten().to_numpy())
     owner = np.repeat(np.arange(len(keys)), sizes)
     order = np.argsort(code, kind="stable")
     owners, count = owner[order], np.bincount(code)
@@ -276,7 +276,7 @@ def _links_in(join: Join, rows: pa.Table) -> list[tuple[int, int, int, int]]:
         same = np.bincount(owners[place], minlength=len(keys))
         either = sizes[u] + sizes - same
         hit = (100 * same >= join.similarity * either) & (roots != roots[u]) & (low == high or block != block[u])
-        for x in pd.Series(np.flatnonzero(hit)).groupby(roots[hit]).first():
+        for x in np.flatnonzero(hit)[np.unique(roots[hit], return_index=True)[1]]:
             out.append((min(keys[u], keys[x]), max(keys[u], keys[x]), same[x], either[x]))
     return out
 

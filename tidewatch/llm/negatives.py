@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.memory import released
 from tidewatch.plans.store import materialise
 
 #: Rows of a bundle, anchors of a block, and blocks a task keeps results of before it hands them on.
@@ -168,7 +169,7 @@ def _best(cells: DataFrame, k: int, slots: int) -> DataFrame:
                     held[anchor, j] = x, s
         yield emit(held)
 
-    found = cells.mapInArrow(run, "anchor_id long, slot int, id long, score long")
+    found = cells.mapInArrow(released(run), "anchor_id long, slot int, id long, score long")
     rank = F.row_number().over(Window.partitionBy("anchor_id", "slot").orderBy(F.desc("score"), "id"))
     return found.withColumn("place", rank).where(F.col("place") <= k)
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tokens import Units, text_bytes, token_ids, tokenizer_path, worker_table
+from tidewatch.llm.memory import released
+from tidewatch.llm.tokens import Units, text_bytes, token_ids, tokenizer_path
 from tidewatch.plans.store import materialise
 
 #: Rows of a packing group.
@@ -41,7 +42,7 @@ def pieces(docs: DataFrame, *, capacity: int, end_id: int, id_col: str, text_col
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(f"ids {path}", lambda: Units(path, True))
+        table = Units(path, True)
         for batch in batches:
             rows: list[tuple] = []
             for key, ids in zip(batch.column("id").to_pylist(), token_ids(table, text_bytes(batch.column("text")))):
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, *, capacity: int, end_id: int, id_col: str, text_col
                     rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, schema.types)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), _PIECE)
 
 
 class Bins:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import labelled as L
 from tidewatch.llm import words as W
+from tidewatch.llm.memory import released
 from tidewatch.llm.tokens import text_bytes
 
 PER_CLASS = 4_000
@@ -213,5 +214,5 @@ def quality(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.record_batch([batch.column("id").cast(pa.int64()), pa.array(model.scores(features(text_bytes(batch.column("text")))))], schema=schema)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, score double")
     return rows.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

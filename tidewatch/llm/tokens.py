@@ -3,7 +3,7 @@
 ``word_bpe_49k.json`` turns every run of white space into one space, drops it, and takes letters, single digits and other
 signs apart, so no token reaches across ASCII white space or across the border between an ASCII letter or digit and one of
 the ``MARKS``. Texts are cut at these safe boundaries into units, and the tokens of a text are those of its units in order.
-Rows are taken in blocks of about the same number of bytes; of each block, the units that the worker has not met go to the
+Rows are taken in blocks of about the same number of bytes; of each block, the units that the task has not met go to the
 library in one batch, and only lengths (or ids) are kept, in a table of bounded size keyed by a 64-bit hash of the unit.
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; a null id is returned as null; repeated rows are counted
@@ -13,23 +13,21 @@ one by one; a text without any safe boundary is one unit and goes to the library
 from __future__ import annotations
 
 import os
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import words as W
+from tidewatch.llm.memory import released
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
-#: Units a worker remembers (about 40 bytes each); beyond it the table starts anew.
-REMEMBERED = 2_000_000
+#: Units a task remembers (some 100 bytes each, ids included); beyond it the table starts anew.
+REMEMBERED = 400_000
 #: Signs that the tokenizer always parts from letters and digits: no apostrophe, and none of ``<|>``.
 MARKS = b".,!?;:#$%&*"
 
@@ -45,14 +43,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def worker_table(key: str, make):
-    """What a Python worker keeps from one task to the next."""
-    held = sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))
-    if key not in held.__dict__:
-        held.__dict__[key] = make()
-    return held.__dict__[key]
-
-
 def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units of a block."""
     kind = np.zeros(len(data) + 2, np.uint8)
@@ -65,7 +55,7 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Lengths, and where asked for ids, of the units that a worker has met."""
+    """Lengths, and where asked for ids, of the units that a task has met."""
 
     def __init__(self, path: str, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,7 +83,7 @@ class Units:
         if b"<|" not in raw:  # special strings are told by their case
             data = W.LOWER[data]
         starts, ends = units(data)
-        codes, keys = pd.factorize(W.hashes(data, starts, ends))
+        codes, keys = W.factorize(W.hashes(data, starts, ends))
         if len(self.keys) > REMEMBERED:
             self.forget()
         place = np.searchsorted(self.keys, keys)
@@ -172,10 +162,10 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(f"lengths {path}", lambda: Units(path, False))
+        table = Units(path, False)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.record_batch([batch.column("id").cast(pa.int64()), sizes, pa.array(count_tokens(table, texts), pa.int64())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

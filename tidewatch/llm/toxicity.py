@@ -23,13 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import labelled as L
 from tidewatch.llm import words as W
+from tidewatch.llm.memory import released
 from tidewatch.llm.tokens import text_bytes
 from tidewatch.plans.store import materialise
 
@@ -213,16 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     return model
 
 
-def score(model: Model, text: Column) -> Column:
-    """The probability that a text is toxic."""
-
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors() if len(model.weights) else []
-        for texts in parts:
-            yield pd.Series(model.scores(made, [t.encode() if t is not None else b"" for t in texts]), dtype="float64")
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(made, text_bytes(batch.column(text_col))) < threshold))
 
-    return run(text)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -234,5 +232,5 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.record_batch([batch.column("id").cast(pa.int64()), pa.array(model.scores(made, text_bytes(batch.column("text"))))], schema=schema)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, score double")
     return rows.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

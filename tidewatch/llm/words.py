@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of a word that the multilinear hash covers; longer words are hashed by blake2.
 LONG_WORD = 1 << 15
@@ -64,6 +65,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return h
 
 
+def factorize(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(codes, distinct values)`` in the order of first appearance."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy()
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the sequences of ``width`` words that start at each place."""
     n = len(words) - width + 1
