@@ -16,6 +16,7 @@ from tidewatch.llm import toxicity as tox
 from tidewatch.llm.decontaminate import without_items
 from tidewatch.llm.exact import exact_duplicates
 from tidewatch.llm.jaccard import near_duplicates
+from tidewatch.llm.memory import small_batches
 from tidewatch.llm.packing import pack
 from tidewatch.plans.store import materialise
 
@@ -40,7 +41,7 @@ def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model doesn't call toxic."""
     model = tox.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return docs.where(tox.score(model, F.col("text")) < 0.5)
+    return tox.without_toxic(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +74,7 @@ STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact dedup", exact
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written and read again."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
