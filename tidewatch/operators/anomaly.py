@@ -16,6 +16,7 @@ from tidewatch.functions.scalar import log_return, price_jump_bps, spread_bps
 from tidewatch.plans.fold import keyed_fold
 from tidewatch.plans.frames import moments
 from tidewatch.plans.layout import TICKS, Layout
+from tidewatch.plans.machine import Machine, machine_fold
 from tidewatch.plans.recurrence import Recurrence, recur
 from tidewatch.plans.scans import INDEX, Scan, following, over_range, over_rows, running
 from tidewatch.plans.store import materialise
@@ -489,17 +490,10 @@ def gate_step(state: int, target: int, streak: int, base: int, needed: int) -> t
 
 def decision_gate(df: DataFrame, layout: Layout = TICKS, *, cfg: GateConfig = GateConfig(), base: str = "base_state") -> DataFrame:
     """Add ``system_state``: the base state passed through the gate of each key."""
-    level = {s: i for i, s in enumerate(SEVERITY)}
-
-    def fold(cols: dict[str, list], memory: str) -> tuple[dict[str, list], str]:
-        now = tuple(json.loads(memory))
-        states = []
-        for wish in cols[base]:
-            now = gate_step(*now, level[wish], cfg.streak)
-            states.append(SEVERITY[now[0]])
-        return {"system_state": states}, json.dumps(now)
-
-    return keyed_fold(df, layout, fold, "[0, -1, 0]", [base], "system_state string")
+    levels = range(len(SEVERITY))
+    machine = Machine.of((0, -1, 0), levels, lambda now, wish: gate_step(*now, wish, cfg.streak), lambda now: SEVERITY[now[0]])
+    wish = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col(base)).cast("int") - 1
+    return machine_fold(df.withColumn("_wish", wish), layout, machine, "_wish", "system_state").drop("_wish")
 
 
 # --------------------------------------------------------------------------------------------------- composite
