@@ -96,11 +96,12 @@ def ratio_alert(steps: DataFrame, above: str, below: str, *, threshold: float, b
     return both.select("bucket_ms", ratio.alias("ratio")).where(F.col("ratio").isNotNull()).withColumn("firing", F.col("ratio") > threshold)
 
 
-def default_zero(values: DataFrame, spark: SparkSession, start_ms: int, end_ms: int, *, bucket_ms: int, value: str = "value") -> DataFrame:
-    """A value for every bucket of the period, 0 where nothing was measured."""
-    first = start_ms // bucket_ms
-    spine = spark.range(first, -(-end_ms // bucket_ms)).select((F.col("id") * bucket_ms).alias("bucket_ms"))
-    return spine.join(values, "bucket_ms", "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+def default_zero(values: DataFrame, spark: SparkSession, start_ms: int, end_ms: int, *, bucket_ms: int, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """A value for every bucket of the period, 0 where nothing was measured; with ``keys``, for every bucket of each key that was ever measured."""
+    first, last = start_ms // bucket_ms, -(-end_ms // bucket_ms) - 1
+    buckets = F.explode(F.sequence(F.lit(first * bucket_ms), F.lit(last * bucket_ms), F.lit(bucket_ms))).alias("bucket_ms")
+    known = values.select(*keys).distinct() if keys else spark.range(1).select()
+    return known.select(*keys, buckets).join(values, [*keys, "bucket_ms"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 
 
 # Alert name, metric, comparison, threshold, hold time in milliseconds, severity.

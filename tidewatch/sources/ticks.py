@@ -124,8 +124,8 @@ def _rejects(batches):
             yield pd.DataFrame([(path, line, reason) for line, row, reason in _lines(path, content) if reason], columns=["path", "line", "reason"])
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+def _archives(spark: SparkSession, path: str, files: str = "*.zip") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "content")
 
 
 def scan_kline_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -140,12 +140,12 @@ def _unzip_named(batches):
                 yield rows.assign(symbol=symbol)
 
 
-def scan_kline_archive(spark: SparkSession, path: str, *, symbol: str | None = None) -> DataFrame:
+def scan_kline_archive(spark: SparkSession, path: str, *, symbol: str | None = None, files: str = "*.zip") -> DataFrame:
     """Zipped daily kline files: each archive is one task-local unzip, a few megabytes at most. Bad lines are in ``scan_kline_rejects``.
 
-    ``symbol`` is a pattern whose first group finds the symbol in a file's path; with it the rows carry a ``symbol``.
+    ``symbol`` is a pattern whose first group finds the symbol in a file's path; with it the rows carry a ``symbol``. ``files`` is the pattern of file names.
     """
-    archives = _archives(spark, path)
+    archives = _archives(spark, path, files)
     if symbol is None:
         rows = archives.mapInPandas(_unzip, KLINE)
     else:

@@ -248,6 +248,7 @@ def walk_forward_summary(spark, sf):
 
 
 NAMES = ["net_pnl", "win_rate", "max_drawdown", "end_to_end_latency_ms"]
+ATTACKS = ["flash_crash", "volume_spike"]
 RUNS_SQL = """runs AS MATERIALIZED (
   SELECT c_nationkey AS nation, CASE o_orderstatus WHEN 'F' THEN 'baseline' WHEN 'O' THEN 'flash_crash' ELSE 'volume_spike' END AS scenario,
     sum((o_orderkey * 7919) % 8001 - 4000) / 1000000.0::DOUBLE AS net_pnl, avg(CASE WHEN (o_orderkey * 7919) % 8001 > 4000 THEN 1.0 ELSE 0 END) AS win_rate,
@@ -277,13 +278,16 @@ def compare_scenarios(spark, sf):
 
 
 @query("compare_runs", f"""WITH {RUNS_SQL},
-long AS (UNPIVOT runs ON net_pnl, win_rate, max_drawdown INTO NAME metric_name VALUE v)
-SELECT nation, metric_name, round(coalesce(a.v, 0), 7) AS baseline, round(coalesce(b.v, 0), 7) AS live, round(coalesce(b.v, 0) - coalesce(a.v, 0), 6) + 0.0 AS delta
-FROM (SELECT * FROM long WHERE scenario = 'baseline') a FULL JOIN (SELECT * FROM long WHERE scenario = 'flash_crash') b USING (nation, metric_name)""")
+long AS (UNPIVOT runs ON net_pnl, win_rate, max_drawdown, end_to_end_latency_ms INTO NAME metric_name VALUE v)
+SELECT nation, scenario, metric_name, round(coalesce(a.v, 0), 7) AS baseline, round(coalesce(b.v, 0), 7) AS live, round(coalesce(b.v, 0) - coalesce(a.v, 0), 6) + 0.0 AS delta
+FROM (SELECT l.nation, l.metric_name, l.v, s.scenario FROM long l, (SELECT DISTINCT scenario FROM runs WHERE scenario <> 'baseline') s WHERE l.scenario = 'baseline') a
+FULL JOIN (SELECT * FROM long WHERE scenario <> 'baseline') b USING (nation, scenario, metric_name)""")
 def compare_runs(spark, sf):
     both = runs(spark, sf)
-    out = B.compare_runs(both.where("scenario = 'baseline'"), both.where("scenario = 'flash_crash'"), NAMES[:3], ("nation",))
-    return out.select("nation", "metric_name", r(F.col("baseline"), 7).alias("baseline"), r(F.col("live"), 7).alias("live"), (F.col("delta") + 0.0).alias("delta"))
+    attacks = F.explode(F.array(*[F.lit(s) for s in ATTACKS])).alias("scenario")
+    base = both.where("scenario = 'baseline'").select("nation", attacks, *NAMES)
+    out = B.compare_runs(base, both.where("scenario <> 'baseline'"), NAMES, ("nation", "scenario"))
+    return out.select("nation", "scenario", "metric_name", r(F.col("baseline"), 7).alias("baseline"), r(F.col("live"), 7).alias("live"), (F.col("delta") + 0.0).alias("delta"))
 
 
 @query("run_verdict", f"""WITH {RUNS_SQL},

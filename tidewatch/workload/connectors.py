@@ -15,7 +15,7 @@ from tidewatch.sources import ticks as K
 from tidewatch.sources import topics as P
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
-from tidewatch.workload.ticks import DAY_MS, HOUR_MS, SLOT_MS, VENUES, table, ticks, with_ticks
+from tidewatch.workload.ticks import DAY_MS, HOUR_MS, SLOT_MS, VENUE_LAYOUT, VENUES, table, ticks, with_ticks
 from tidewatch.workload.trading import EQUITY_SQL, equity
 
 
@@ -89,8 +89,8 @@ def klines(spark, sf):
         F.sum("volume_24h").alias("volume")).withColumn("close_time_ms", F.col("open_time_ms") + HOUR_MS - 1)
 
 
-KL_SQL = f"""kl AS (SELECT ts_ms // {HOUR_MS} * {HOUR_MS} AS o, arg_min(mid, (ts_ms, tick_id)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (ts_ms, tick_id)) AS close, sum(volume_24h) AS volume
-  FROM ticks WHERE symbol = 'S0' GROUP BY ALL)"""
+KL_SQL = f"""kl AS (SELECT symbol, ts_ms // {HOUR_MS} * {HOUR_MS} AS o, arg_min(mid, (ts_ms, tick_id)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (ts_ms, tick_id)) AS close, sum(volume_24h) AS volume
+  FROM ticks GROUP BY ALL)"""
 
 
 def _zip_day(rows):
@@ -109,24 +109,21 @@ def _zip_day(rows):
 
 
 def write_kline_archives(spark, sf):
-    """One archive per symbol and day in a new folder of the shared one; the session's file system writes them one at a time."""
+    """One archive per symbol and day in a new folder of the shared one, written by the tasks that zip them.
+
+    The bytes go through the text writer as they are; the line end behind an archive is no part of it, and readers of archives pass over it.
+    """
     path = scratch(spark)
     days = klines(spark, sf).withColumn("day", F.floor(F.col("open_time_ms") / DAY_MS).cast("long"))
     archives = days.groupBy("symbol", "day").applyInPandas(_zip_day, "symbol string, day long, content binary")
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in archives.toLocalIterator():
-        out = files.create(new(f"{path}/{row['symbol']}-1h-{row['day']}.zip"))
-        try:
-            out.write(bytes(row["content"]))
-        finally:
-            out.close()
+    name = F.concat("symbol", F.lit("-1h-"), F.col("day").cast("string"), F.lit(".zip"))
+    archives.select(F.col("content").cast("string").alias("value"), name.alias("archive")).write.partitionBy("archive").text(path)
     return path
 
 
 def archived_klines(spark, sf):
     """The klines of all symbols, read back from their archives."""
-    return K.scan_kline_archive(spark, write_kline_archives(spark, sf), symbol=r"([^/]+)-1h-[0-9]+\.zip$")
+    return K.scan_kline_archive(spark, write_kline_archives(spark, sf), symbol=r"archive=([^/]+)-1h-[0-9]+\.zip/", files="part-*")
 
 
 def all_kline_ticks(spark, sf):
@@ -145,17 +142,16 @@ def all_kline_candles(spark, sf):
     return K.kline_rows_to_candles(k.select("symbol", row.alias("row")), timeframe_ms=HOUR_MS)
 
 
-# The SQL of the three kline queries states symbol S0 and has no column for it, so each selects S0 from the rows of all symbols.
-@query("scan_kline_archive", with_ticks(f"SELECT o AS open_time_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume, o + {HOUR_MS - 1} AS close_time_ms FROM kl", KL_SQL))
+@query("scan_kline_archive", with_ticks(f"SELECT symbol, o AS open_time_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume, o + {HOUR_MS - 1} AS close_time_ms FROM kl", KL_SQL))
 def scan_kline_archive(spark, sf):
-    rows = archived_klines(spark, sf).where("symbol = 'S0'")
-    return rows.select("open_time_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "close_time_ms")
+    rows = archived_klines(spark, sf)
+    return rows.select("symbol", "open_time_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "close_time_ms")
 
 
 @query("kline_to_ticks", with_ticks("""
-SELECT o AS ts_ms, ceil(low * 100 - 0.0001) / 100 AS bid, ceil(high * 100 - 0.0001) / 100 AS ask, ceil(close * 100 - 0.0001) / 100 AS last_price FROM kl""", KL_SQL))
+SELECT symbol, o AS ts_ms, ceil(low * 100 - 0.0001) / 100 AS bid, ceil(high * 100 - 0.0001) / 100 AS ask, ceil(close * 100 - 0.0001) / 100 AS last_price FROM kl""", KL_SQL))
 def kline_to_ticks(spark, sf):
-    return all_kline_ticks(spark, sf).where("symbol = 'S0'").select("ts_ms", "bid", "ask", "last_price")
+    return all_kline_ticks(spark, sf).select("symbol", "ts_ms", "bid", "ask", "last_price")
 
 
 @query("trade_to_ticks", "SELECT epoch_us(l_shipdate) // 1000 AS ts_ms, 'P' || l_partkey AS symbol, l_extendedprice AS bid, l_extendedprice AS ask, l_extendedprice AS last_price, l_quantity AS volume FROM lineitem")
@@ -166,11 +162,11 @@ def trade_to_ticks(spark, sf):
     return K.trade_to_ticks(rows)
 
 
-@query("kline_rows_to_candles", with_ticks(f"""SELECT o AS start_ms, o + {HOUR_MS} AS end_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
+@query("kline_rows_to_candles", with_ticks(f"""SELECT symbol, o AS start_ms, o + {HOUR_MS} AS end_ms, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close,
   round(volume, 4) AS volume, CASE WHEN (o // {HOUR_MS}) % 2 = 0 THEN 7 ELSE 0 END AS trade_count FROM kl WHERE (o // {HOUR_MS}) % 5 <> 0""", KL_SQL))
 def kline_rows_to_candles(spark, sf):
-    out = all_kline_candles(spark, sf).where("symbol = 'S0'")
-    return out.select("start_ms", "end_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "trade_count")
+    out = all_kline_candles(spark, sf)
+    return out.select("symbol", "start_ms", "end_ms", *[r(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], r(F.col("volume"), 4).alias("volume"), "trade_count")
 
 
 # ------------------------------------------------------------------------------------------ topics and checks
@@ -243,21 +239,42 @@ def list_runs(spark, sf):
     return R.list_runs(spark, run_store(spark, sf))
 
 
-@query("write_equity_curve", f"WITH {EQUITY_SQL} SELECT ts_ms, portfolio AS symbol, round(equity, 8) AS equity_net FROM eq")
+CURVE_SQL = {
+    "ts_ms": "ts_ms", "symbol": "portfolio", "state": "CASE WHEN equity >= 1.0 THEN 'NORMAL' ELSE 'CONSERVATIVE' END", "risk_state": "CASE WHEN equity < 0.9 THEN 'HALT' ELSE 'OPEN' END",
+    "signal_direction": "CASE WHEN ts_ms % 2 = 0 THEN 'LONG' ELSE 'SHORT' END", "signal_size_pct": "round((ts_ms % 21) / 1e2, 2)", "position": "CASE WHEN ts_ms % 3 = 0 THEN 'FLAT' ELSE 'OPEN' END",
+    "position_size_pct": "round((ts_ms % 11) / 1e2, 2)", "anomaly_score": "round((ts_ms % 101) / 1e2, 2)", "gross_pnl": "round(equity - 1e0, 8)", "net_pnl": "round(equity - 1.001e0, 8)",
+    "equity_gross": "round(equity + 0.001e0, 8)", "equity_net": "round(equity, 8)"}
+MS = "unix_millis(cast(l_shipdate AS timestamp))"
+LEDGER_SQL = {
+    "trade_id": "l_orderkey", "client_order_id": "concat('C', l_orderkey, '-', l_linenumber)", "signal_ts": MS, "submit_ts": f"{MS} + 5", "ack_ts": f"{MS} + 10 + l_linenumber", "first_fill_ts": f"{MS} + 20",
+    "last_fill_ts": f"{MS} + 20 + l_linenumber", "fill_price": "round(l_extendedprice, 2)", "fill_fraction": "round(l_quantity / 5e1, 2)", "side": "l_returnflag", "size_pct": "round(l_discount, 2)", "fee": "round(l_tax, 2)",
+    "slippage_pct": "round(l_discount / 1e1, 3)", "final_state": "l_linestatus", "exit_reason": "CASE WHEN l_linenumber % 2 = 0 THEN 'signal' ELSE 'stop' END", "net_pnl": "cast(floor(l_extendedprice * l_discount) AS bigint)"}
+
+
+def columns_sql(cells):
+    return ", ".join(f"{sql} AS {name}" for name, sql in cells.items())
+
+
+def read_back(spark, path, written):
+    """The rows of a written table in the types they had."""
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in written.schema.fields])
+
+
+@query("write_equity_curve", f"WITH {EQUITY_SQL} SELECT {columns_sql(CURVE_SQL)} FROM eq")
 def write_equity_curve(spark, sf):
     path = scratch(spark)
-    R.write_equity_curve(equity(spark, sf).select("ts_ms", F.col("portfolio").alias("symbol"), F.col("equity").alias("equity_net")), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.select(F.col("ts_ms").cast("long"), "symbol", r(F.col("equity_net").cast("double")).alias("equity_net"))
+    rows = equity(spark, sf).selectExpr(*[f"{sql} AS {name}" for name, sql in CURVE_SQL.items()])
+    R.write_equity_curve(rows, path)
+    return read_back(spark, path, rows)
 
 
-@query("write_trade_ledger", "SELECT l_orderkey AS trade_id, round(l_extendedprice, 2) AS fill_price, round(l_tax, 2) AS fee, l_returnflag AS side FROM lineitem")
+@query("write_trade_ledger", f"SELECT {columns_sql(LEDGER_SQL)} FROM lineitem".replace(MS, "epoch_us(l_shipdate) // 1000"))
 def write_trade_ledger(spark, sf):
     path = scratch(spark)
-    R.write_trade_ledger(table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("trade_id"), F.col("l_extendedprice").alias("fill_price"), F.col("l_tax").alias("fee"), F.col("l_returnflag").alias("side")), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.select(F.col("trade_id").cast("long"), F.round(F.col("fill_price").cast("double"), 2).alias("fill_price"), F.round(F.col("fee").cast("double"), 2).alias("fee"), "side")
+    rows = table(spark, sf, "lineitem").selectExpr(*[f"{sql} AS {name}" for name, sql in LEDGER_SQL.items()])
+    R.write_trade_ledger(rows, path)
+    return read_back(spark, path, rows)
 
 
 # ------------------------------------------------------------------------------------------------ venue feeds
@@ -333,15 +350,15 @@ def normalize_bybit(spark, sf):
 
 
 @query("merge_deltas", with_ticks("""
-SELECT * FROM (SELECT tick_id, last_value(CASE WHEN k % 2 = 0 THEN round(last_price, 6) END IGNORE NULLS) OVER w AS last, last_value(CASE WHEN k % 3 = 0 THEN round(bid, 6) END IGNORE NULLS) OVER w AS bid,
+SELECT * FROM (SELECT tick_id, exchange_id, last_value(CASE WHEN k % 2 = 0 THEN round(last_price, 6) END IGNORE NULLS) OVER w AS last, last_value(CASE WHEN k % 3 = 0 THEN round(bid, 6) END IGNORE NULLS) OVER w AS bid,
   last_value(CASE WHEN k % 5 = 0 THEN round(ask, 6) END IGNORE NULLS) OVER w AS ask, last_value(CASE WHEN k % 4 = 0 THEN volume_24h END IGNORE NULLS) OVER w AS volume, exchange_ts_ms
-  FROM ticks WHERE exchange_id = 'bybit' WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, tick_id)) WHERE last IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL"""))
+  FROM ticks WINDOW w AS (PARTITION BY symbol, exchange_id ORDER BY ts_ms, tick_id)) WHERE last IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL"""))
 def merge_deltas(spark, sf):
     k = F.col("k")
-    updates = ticks(spark, sf).where("exchange_id = 'bybit'").select(
-        "symbol", "ts_ms", "tick_id", F.when(k % 2 == 0, r(F.col("last_price"), 6)).alias("last"), F.when(k % 3 == 0, r(F.col("bid"), 6)).alias("bid"),
+    updates = ticks(spark, sf).select(
+        "symbol", "exchange_id", "ts_ms", "tick_id", F.when(k % 2 == 0, r(F.col("last_price"), 6)).alias("last"), F.when(k % 3 == 0, r(F.col("bid"), 6)).alias("bid"),
         F.when(k % 5 == 0, r(F.col("ask"), 6)).alias("ask"), F.when(k % 4 == 0, F.col("volume_24h")).alias("volume"), "exchange_ts_ms")
-    return M.merge_deltas(updates, Layout(slot_ms=SLOT_MS)).select("tick_id", "last", "bid", "ask", "volume", "exchange_ts_ms")
+    return M.merge_deltas(updates, VENUE_LAYOUT).select("tick_id", "exchange_id", "last", "bid", "ask", "volume", "exchange_ts_ms")
 
 
 @query("stamp_tls_health", with_ticks("""
