@@ -216,3 +216,25 @@ def test_only_small_tables_are_broadcast(spark):
         return "ResolvedHint" in broadcast_if_small(spark.range(n), 10)._jdf.queryExecution().analyzed().toString()
 
     assert hinted(10) and not hinted(11)
+
+
+@pytest.mark.parametrize("size, fan", [(1, 2), (3, 2), (7, 1000), (1000, 1000)])
+def test_machines_equal_a_plain_loop(spark, monkeypatch, size, fan):
+    """Chunks of any length and groups of any number of chunks give what one pass over each key gives."""
+    from tidewatch.plans import machine as P
+
+    monkeypatch.setattr(P, "FAN", fan)
+    step = lambda now, s: (now[0] + 1, s) if s == now[1] and now[0] < 4 else (0, s)
+    made = P.Machine.of((0, 0), range(3), step, lambda now: f"{now[0]}:{now[1]}")
+    rng = random.Random(size)
+    rows = [(k, t, rng.choice([0, 0, 1, 2])) for k, n in (("hot", 60), ("cold", 5), ("one", 1)) for t in range(n)]
+    want = {}
+    for key in ("hot", "cold", "one"):
+        now = (0, 0)
+        for _, t, s in (r for r in rows if r[0] == key):
+            now = step(now, s)
+            want[key, t] = f"{now[0]}:{now[1]}"
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "symbol string, ts_ms long, s int").withColumn("tick_id", F.col("ts_ms"))
+    out = P.machine_fold(frame, Layout(slot_ms=7, fold_rows=size), made, "s", "shown")
+    assert {(r["symbol"], r["ts_ms"]): r["shown"] for r in out.collect()} == want
+    assert P.machine_fold(frame.limit(0), Layout(slot_ms=7, fold_rows=size), made, "s", "shown").count() == 0
