@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.asof import asof_join
 from tidewatch.plans.fold import keyed_fold
-from tidewatch.plans.frames import moments
+from tidewatch.plans.frames import moments, range_moments
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.recurrence import Recurrence, horizon, recur
@@ -238,3 +238,27 @@ def test_machines_equal_a_plain_loop(spark, monkeypatch, size, fan):
     out = P.machine_fold(frame, Layout(slot_ms=7, fold_rows=size), made, "s", "shown")
     assert {(r["symbol"], r["ts_ms"]): r["shown"] for r in out.collect()} == want
     assert P.machine_fold(frame.limit(0), Layout(slot_ms=7, fold_rows=size), made, "s", "shown").count() == 0
+
+
+@pytest.mark.parametrize("reach", [1, 37, 400, 10_000])
+def test_range_moments_equal_brute_force(spark, data, reach):
+    rows = [(k, t if i % 50 else None, i, None if i % 11 == 0 else 1e6 + x) for k, t, i, x, _ in data]
+    df = spark.createDataFrame(rows, "symbol string, ts_ms long, tick_id long, x double").repartition(5)
+    out = range_moments(df, LAYOUT, reach, "x", "m")
+    assert out.columns == ["symbol", "ts_ms", "tick_id", "x", "m"]
+    got = {r.tick_id: r.m for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, t, i, _ in rows:
+        near = [x for k2, t2, _, x in rows if t is not None and t2 is not None and x is not None and k2 == k and t - reach < t2 <= t]
+        assert got[i].n == len(near)
+        if not near:
+            assert (got[i].total, got[i].mean, got[i].sd) == (None, None, None)
+            continue
+        mean = sum(near) / len(near)
+        sd = (sum((x - mean) ** 2 for x in near) / len(near)) ** 0.5
+        assert got[i].total == pytest.approx(sum(near), rel=1e-12) and got[i].mean == pytest.approx(mean, rel=1e-13) and got[i].sd == pytest.approx(sd, abs=1e-6)
+
+
+def test_range_moments_of_no_rows(spark):
+    empty = spark.createDataFrame([], "symbol string, ts_ms long, tick_id long, x double")
+    assert range_moments(empty, LAYOUT, 50, "x", "m").collect() == []

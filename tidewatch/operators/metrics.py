@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.plans.frames import range_moments
 from tidewatch.plans.layout import Layout
-from tidewatch.plans.scans import Scan, over_range, previous, running
+from tidewatch.plans.scans import Scan, previous, running
 from tidewatch.plans.store import broadcast_if_small
 
 SERIES = Layout(keys=("metric", "series"), order=("ts_ms",))
@@ -29,11 +30,9 @@ def counter_steps(samples: DataFrame, layout: Layout = SERIES) -> DataFrame:
 
 
 def counter_increase(samples: DataFrame, layout: Layout = SERIES, *, range_ms: int = 300_000) -> DataFrame:
-    """Growth over the time range that ends at each sample."""
-    return over_range(
-        counter_steps(samples, layout), layout, range_ms,
-        lambda df, w: df.withColumn("increase", F.coalesce(F.sum("step").over(w.rangeBetween(-range_ms + 1, 0)), F.lit(0.0))),
-    )
+    """Growth over the time range that ends at each sample, linear in samples whatever the range."""
+    rows = range_moments(counter_steps(samples, layout), layout, range_ms, "step", "_range")
+    return rows.withColumn("increase", F.coalesce("_range.total", F.lit(0.0))).drop("_range")
 
 
 def counter_rate(samples: DataFrame, layout: Layout = SERIES, *, range_ms: int = 300_000) -> DataFrame:
@@ -74,12 +73,9 @@ def histogram_quantile(buckets: DataFrame, keys: tuple[str, ...], q: float) -> D
 
 
 def range_stats(samples: DataFrame, layout: Layout = SERIES, *, range_ms: int = 300_000) -> DataFrame:
-    """Average and population deviation over the range that ends at each sample."""
-    def build(df: DataFrame, w) -> DataFrame:
-        frame = w.rangeBetween(-range_ms + 1, 0)
-        return df.withColumn("range_avg", F.avg("value").over(frame)).withColumn("range_stddev", F.stddev_pop("value").over(frame))
-
-    return over_range(samples, layout, range_ms, build)
+    """Average and population deviation over the range that ends at each sample, linear in samples whatever the range."""
+    rows = range_moments(samples, layout, range_ms, "value", "_range")
+    return rows.withColumn("range_avg", F.col("_range.mean")).withColumn("range_stddev", F.col("_range.sd")).drop("_range")
 
 
 def range_max_by(samples: DataFrame, label: str, *, bucket_ms: int = 300_000) -> DataFrame:

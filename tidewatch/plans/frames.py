@@ -1,7 +1,8 @@
-"""Moments of long row frames at a cost that does not grow with their length.
+"""Moments of long row frames and of time ranges at a cost that does not grow with their length.
 
-Each frame is the difference of two growing sums of the chunk. Values are centred on the chunk mean first, so the
-difference keeps its digits, and a growing count of changes tells an exactly constant frame apart.
+Each row frame is the difference of two growing sums of the chunk. Values are centred on the chunk mean first, so the
+difference keeps its digits, and a growing count of changes tells an exactly constant frame apart. A time range is two
+growing sums that meet, see :func:`range_moments`.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewatch.plans.layout import Layout
+
 
 def moments(df: DataFrame, w: WindowSpec, n: int, *, lagged: bool = False, **values: str) -> DataFrame:
     """Add a struct ``(n, mean, sd)`` per ``out=value`` over the last ``n`` rows, current one included.
@@ -60,3 +63,63 @@ def moments(df: DataFrame, w: WindowSpec, n: int, *, lagged: bool = False, **val
         for o in names:
             df = df.withColumn(o, F.lag(o).over(w))
     return df
+
+
+def range_moments(df: DataFrame, layout: Layout, range_ms: int, value: str, out: str) -> DataFrame:
+    """Add a struct ``(n, total, mean, sd)`` of ``value`` over the times ``(t - range_ms, t]`` of each row's key.
+
+    Time is cut into blocks as long as the range, so a range is the end of one block and the beginning of the next. A row
+    enters its own block at its time and leaves the next block one range later: what entered up to ``t`` and what has yet to
+    leave after ``t`` make up the range. Both sums only grow, so nothing cancels, and the work is linear in rows however many
+    a range holds. Slots split a block; one summary row per slot carries the sums across.
+
+    Rows of the same time see each other. Null values count as absent, and a row without a time sees nothing: ``n`` is 0 and
+    the rest null where nothing was seen. ``sd`` is the deviation of the population.
+    """
+    ts, x, keys = F.col(layout.ts), F.col(value).cast("double"), list(layout.keys)
+    rest = [c for c in df.columns if c not in keys]
+    row, none = F.struct(*rest), F.lit(None).cast("double")
+    block = F.floor(ts / F.lit(range_ms)).cast("long")
+
+    def event(home: Column, at: Column, side: int) -> Column:
+        return F.struct(
+            home.alias("_block"), at.cast("long").alias("_at"), F.lit(side).alias("_side"), (x if side == 1 else none).alias("_in"),
+            (x if side == 0 else none).alias("_off"), (row if side == 2 else F.when(F.lit(False), row)).alias("_row"))
+
+    read = event(block, ts, 2)
+    moves = F.array(event(block, ts, 1), event(block + 1, ts + range_ms, 0), read)
+    events = df.select(*keys, F.explode(F.when(x.isNotNull() & ts.isNotNull(), moves).otherwise(F.array(read))).alias("_e")).select(*keys, "_e.*")
+    events = events.withColumn("_slot", F.floor(F.pmod("_at", F.lit(range_ms)) / F.lit(layout.slot_ms)).cast("long"))
+
+    home = [*keys, "_block"]
+    totals = events.groupBy(*home, "_slot").agg(*[
+        f(c).alias(f"{name}{c}") for c in ("_in", "_off") for name, f in (("n", F.count), ("t", F.sum), ("m", F.avg), ("v", F.var_pop))])
+    whole = Window.partitionBy(*home)
+    sums, counts = F.coalesce("t_in", F.lit(0.0)) + F.coalesce("t_off", F.lit(0.0)), F.col("n_in") + F.col("n_off")
+    middle = F.try_divide(F.sum(sums).over(whole), F.sum(counts).over(whole))
+    totals = totals.withColumn("_mid", middle)
+    before = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*home, "_slot", "_mid", *[
+        F.sum(part).over(frame).alias(f"_{name}{c}")
+        for c, frame in (("_in", before), ("_off", after))
+        for name, part in (
+            ("n", F.col(f"n{c}")), ("t", F.col(f"t{c}")), ("s", F.col(f"n{c}") * (F.col(f"m{c}") - F.col("_mid"))),
+            ("q", F.col(f"n{c}") * (F.col(f"v{c}") + F.pow(F.col(f"m{c}") - F.col("_mid"), 2))))])
+
+    rows = events.join(carried, [*home, "_slot"], "left")
+    cell = Window.partitionBy(*home, "_slot")
+    upto = cell.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    later = cell.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+
+    def seen(name: str, part) -> Column:
+        return sum((F.coalesce(F.sum(part(F.col(c))).over(frame), F.lit(0)) + F.coalesce(f"_{name}{c}", F.lit(0)) for c, frame in (("_in", upto), ("_off", later))), F.lit(0))
+
+    rows = rows.select(
+        *keys, "_row", "_side", "_mid", seen("n", lambda v: v.isNotNull().cast("long")).alias("_n"), seen("t", lambda v: v).alias("_t"),
+        seen("s", lambda v: v - F.col("_mid")).alias("_s"), seen("q", lambda v: F.pow(v - F.col("_mid"), 2)).alias("_q"))
+    n, some = F.col("_n"), F.col("_n") > 0
+    result = F.struct(
+        n.alias("n"), F.when(some, F.col("_t")).alias("total"), F.when(some, F.col("_mid") + F.col("_s") / n).alias("mean"),
+        F.when(some, F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / n - F.pow(F.col("_s") / n, 2)))).alias("sd"))
+    return rows.where(F.col("_side") == 2).select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], result.alias(out))
