@@ -1,5 +1,6 @@
 """Hand-computed cases of single rules, on tables of a few rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -231,7 +232,7 @@ def test_chain_finds_the_changed_entry(spark):
     rows = [("X", i * 10, i, f"m{i}") for i in range(30)]
     df = spark.createDataFrame(rows, "symbol string, ts_ms long, tick_id long, body string")
     layout = Layout(slot_ms=70)
-    stored = chain.build_chain(df, layout, F.col("body"), segment_ms=10_000)
+    stored, _ = chain.build_chain(df, layout, F.col("body"), segment_ms=10_000)
     clean = chain.verify_chain(stored, layout, F.col("body")).first()
     assert clean.bad_entries == 0 and clean.entries == 30
     changed = stored.withColumn("body", F.when(F.col("tick_id") == 17, "x").otherwise(F.col("body")))
@@ -241,6 +242,40 @@ def test_chain_finds_the_changed_entry(spark):
     assert (cut.first_bad, cut.first_problem) == (10, "broken_link")
 
 
+def test_chain_of_two_levels(spark):
+    rows = [(k, t, t, f"{k}{t}") for k in "XY" for t in range(100)]
+    df = spark.createDataFrame(rows, "symbol string, ts_ms long, tick_id long, body string").repartition(5)
+    layout, body = Layout(slot_ms=7), F.col("body")
+    stored, segments = chain.build_chain(df, layout, body, segment_ms=40, segment_rows=15)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for k in "XY":
+        header = chain.GENESIS
+        for b, first, end in [(0, 0, 15), (0, 15, 30), (0, 30, 40), (1, 40, 55), (1, 55, 70), (1, 70, 80), (2, 80, 95), (2, 95, 100)]:
+            tip = header
+            for t in range(first, end):
+                want[k, t] = (tip, sha(f"{tip}|{k}{t}"))
+                tip = want[k, t][1]
+            header = sha(header + "|" + sha("".join(f"{k}{t}\n" for t in range(first, end))))
+    assert {(r.symbol, r.tick_id): (r.previous_hash, r.current_hash) for r in stored.collect()} == want
+    assert segments.count() == 16
+
+    def failed(kept, **kw):
+        return sorted((r.symbol, r.segment) for r in chain.verify_segments(kept, layout, body, **kw).where(~F.col("passed")).collect())
+
+    gone = lambda number: ~((F.col("symbol") == "X") & (F.col("segment") == number))
+    million = chain.PIECES
+    assert failed(stored) == []
+    assert failed(stored.where(gone(million))) == [("X", million + 1)]
+    assert failed(stored.where(gone(0))) == [("X", 1)] and failed(stored.where(gone(0)), start=None) == []
+    rewritten = stored.withColumn("body", F.when((F.col("symbol") == "Y") & (F.col("tick_id") == 20), "new").otherwise(body))
+    assert failed(rewritten) == [("Y", 1), ("Y", 2)]
+    more, _ = chain.build_chain(df.where("tick_id < 10").withColumn("ts_ms", F.col("ts_ms") + 120), layout, body, segment_ms=40, segment_rows=15,
+                                start=segments.groupBy("symbol").agg(F.max_by("tip", "segment").alias("head")))
+    assert failed(stored.unionByName(more)) == []
+    assert chain.build_chain(df.limit(0), layout, body)[0].count() == 0
+
+
 def test_matching_pairs_copies_one_to_one(spark):
     schema = "row_id long, symbol string, exchange_id string, mid double, volume_24h double, score double"
     e = spark.createDataFrame([(i, "X", "a", 100.0, 1.0, 0.5) for i in range(50)], schema)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.scalar import canonical_json, micros
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import Scan, following, index_rows, previous, running
-from tidewatch.plans.store import nullable
+from tidewatch.plans.store import materialise, nullable
 
 GENESIS = "0" * 64
 
@@ -38,34 +38,103 @@ def audit_hash(df: DataFrame, leave_out: tuple[str, ...] = ("current_hash",)) ->
     return F.sha2(canonical_json(**{c: F.col(c) for c in df.columns if c not in leave_out}), 256)
 
 
-def build_chain(entries: DataFrame, layout: Layout, text: Column, *, segment_ms: int = 86_400_000) -> DataFrame:
-    """Chain the entries of each (key, segment): every entry hashes its predecessor's hash and its own text.
+PIECES = 1_000_000  # segment numbers kept free for the pieces of one time bucket
 
-    A hash chain is sequential by nature, so it is cut into time segments that each start from the genesis hash and run in
-    parallel; :func:`segment_links` ties the segment tips together. Pick ``segment_ms`` so that a segment fits a task.
+
+def cut_segments(entries: DataFrame, layout: Layout, *, segment_ms: int = 86_400_000, segment_rows: int = 100_000) -> DataFrame:
+    """Add ``segment``: the time bucket times ``PIECES`` plus the piece of ``segment_rows`` entries inside the bucket."""
+    rows = entries.withColumn("_bucket", F.floor(F.col(layout.ts) / segment_ms).cast("long"))
+    rows = index_rows(rows, layout.with_(keys=(*layout.keys, "_bucket")), "_n")
+    piece = F.floor((F.col("_n") - 1) / F.lit(segment_rows)).cast("long")
+    return rows.withColumn("segment", F.col("_bucket") * PIECES + piece).drop("_bucket", "_n")
+
+
+def segment_digests(rows: DataFrame, layout: Layout, text: Column) -> DataFrame:
+    """One row per segment: its number of entries and the hash of their texts in order. A segment is bounded, so a task holds it."""
+    keys = [*layout.keys, "segment"]
+    order = [(c, "ascending") for c in layout.order]
+    schema = nullable(T.StructType([*[rows.schema[c] for c in keys], T.StructField("entries", T.LongType()), T.StructField("digest", T.StringType())]))
+
+    def digest(table: pa.Table) -> pa.Table:
+        body = hashlib.sha256()
+        for line in table.sort_by(order)["_text"].to_pylist():
+            body.update(f"{line}\n".encode())
+        return table.select(keys).slice(0, 1).append_column("entries", pa.array([table.num_rows], pa.int64())).append_column("digest", pa.array([body.hexdigest()]))
+
+    return rows.select(*keys, *layout.order, text.alias("_text")).groupBy(*keys).applyInArrow(digest, schema)
+
+
+def next_header(header: Column, digest: Column) -> Column:
+    """Header of the segment after one with this header and digest."""
+    return F.sha2(F.concat_ws("|", header, digest), 256)
+
+
+def segment_headers(digests: DataFrame, layout: Layout, start: DataFrame | None = None) -> DataFrame:
+    """Add ``header`` and ``tip``: a running hash over the digests of each key, from its row in ``start`` (keys, ``head``) or the genesis hash.
+
+    The only sequential step of a chain. It sees one short row per segment, in order, and keeps a single hash per task.
     """
-    segment = F.floor(F.col(layout.ts) / segment_ms).cast("long")
-    rows = entries.withColumn("segment", segment).withColumn("_text", text)
-    kept = [c for c in rows.columns if c != "_text"]
+    keys = list(layout.keys)
+    rows = digests.withColumn("head", F.lit(GENESIS)) if start is None else digests.join(start.select(*keys, "head"), keys, "left").fillna(GENESIS, ["head"])
+    names = [*keys, "segment", "entries", "digest"]
+    schema = nullable(T.StructType([*[rows.schema[c] for c in names], *[T.StructField(n, T.StringType()) for n in ("header", "tip")]]))
+
+    def link(batches):
+        last, tip = None, None
+        for batch in batches:
+            headers, tips = [], []
+            ids = list(zip(*[batch.column(c).to_pylist() for c in keys])) if keys else [()] * batch.num_rows
+            for key, head, digest in zip(ids, batch.column("head").to_pylist(), batch.column("digest").to_pylist()):
+                if key != last:
+                    last, tip = key, head
+                headers.append(tip)
+                tip = hashlib.sha256(f"{tip}|{digest}".encode()).hexdigest()
+                tips.append(tip)
+            out = batch.select(names)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(headers, pa.string()), pa.array(tips, pa.string())], names=[*names, "header", "tip"])
+
+    ordered = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "segment")
+    return ordered.mapInArrow(link, schema)
+
+
+def chain_segments(rows: DataFrame, headers: DataFrame, layout: Layout, text: Column) -> DataFrame:
+    """Chain the entries of every segment from its header, all segments at once."""
+    keys = [*layout.keys, "segment"]
+    work = rows.withColumn("_text", text)
+    kept = rows.columns
     schema = nullable(T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(n, T.StringType()) for n in ("previous_hash", "current_hash")]]))
     order = [(c, "ascending") for c in layout.order]
 
-    def chain(table: pa.Table) -> pa.Table:
+    def chain(table: pa.Table, head: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        tip, before, after = GENESIS, [], []
+        tip, before, after = (head["header"][0].as_py() if head.num_rows else None), [], []
         for body in table["_text"].to_pylist():
             before.append(tip)
             tip = hashlib.sha256(f"{tip}|{body}".encode()).hexdigest()
             after.append(tip)
-        return table.select(kept).append_column("previous_hash", pa.array(before)).append_column("current_hash", pa.array(after))
+        return table.select(kept).append_column("previous_hash", pa.array(before, pa.string())).append_column("current_hash", pa.array(after, pa.string()))
 
-    return rows.groupBy(*layout.keys, "segment").applyInArrow(chain, schema)
+    return work.groupBy(*keys).cogroup(headers.select(*keys, "header").groupBy(*keys)).applyInArrow(chain, schema)
 
 
-def chain_ok(chained: DataFrame, layout: Layout) -> DataFrame:
-    """Whether each entry's previous hash is its predecessor's hash."""
-    out = previous(chained, layout, _tip="current_hash")
-    return out.withColumn("chain_ok", F.col("previous_hash") == F.coalesce("_tip", F.lit(GENESIS))).drop("_tip")
+def build_chain(entries: DataFrame, layout: Layout, text: Column, *, segment_ms: int = 86_400_000, segment_rows: int = 100_000,
+                start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(chained entries, segments)``: every entry hashes its predecessor's hash and its own text; every segment starts from its header.
+
+    A hash chain is sequential by nature, so it has two levels. Segments (a time bucket, or ``segment_rows`` entries of it) are
+    hashed on their own; a running hash over these digests gives each its header (:func:`segment_headers`); then all segments are
+    chained at once from their headers. A header depends on every entry before it, so a segment that is changed or taken away
+    breaks the next one. Order must be unique per key and never null; no entries give no segments.
+    """
+    rows = materialise(cut_segments(entries, layout, segment_ms=segment_ms, segment_rows=segment_rows))
+    segments = materialise(segment_headers(segment_digests(rows, layout, text), layout, start))
+    return chain_segments(rows, segments, layout, text), segments
+
+
+def chain_ok(chained: DataFrame, layout: Layout, segments: DataFrame) -> DataFrame:
+    """Whether each entry's previous hash is its predecessor's hash, or the header for the first of a segment. ``layout`` has the segment as a key."""
+    out = previous(chained, layout, _tip="current_hash").join(segments.select(*layout.keys, "header"), list(layout.keys), "left")
+    return out.withColumn("chain_ok", F.coalesce(F.col("previous_hash") == F.coalesce("_tip", "header"), F.lit(False))).drop("_tip", "header")
 
 
 def check_chain(chained: DataFrame, layout: Layout, text: Column) -> DataFrame:
@@ -99,19 +168,28 @@ def verify_recent(chained: DataFrame, layout: Layout, text: Column, *, last: int
     return verify_chain(recent, layout, text)
 
 
-def segment_links(chained: DataFrame, layout: Layout) -> DataFrame:
-    """One row per segment: its size, first and last hash, and the tip of the segment before it."""
+def segment_links(chained: DataFrame, layout: Layout, text: Column, *, start: str | None = GENESIS) -> DataFrame:
+    """One row per segment: first and last hash, the header it starts from, and whether that follows from the segment before it.
+
+    Each link is checked on its own: the stored header must be the hash of the stored header and the recomputed digest of the
+    segment before. ``start`` is what the first segment of a key must start from; None trusts it, as after retention. What was
+    taken off the end is seen only against a tip that was kept elsewhere.
+    """
     rank = F.struct(*layout.order)
     tips = chained.groupBy(*layout.keys, "segment").agg(
-        F.count(F.lit(1)).alias("entries"), F.min_by("current_hash", rank).alias("first_hash"), F.max_by("current_hash", rank).alias("last_hash"))
-    return previous(tips, layout.with_(order=("segment",), slot_ms=4096), previous_tip="last_hash")
+        F.min_by("current_hash", rank).alias("first_hash"), F.max_by("current_hash", rank).alias("last_hash"), F.min_by("previous_hash", rank).alias("header"))
+    tips = tips.join(segment_digests(chained, layout, text).drop("entries"), [*layout.keys, "segment"])
+    # A slot holds the pieces of a thousand buckets at most.
+    linked = previous(tips, layout.with_(order=("segment",), slot_ms=1000 * PIECES), previous_tip="last_hash", _header="header", _digest="digest")
+    wanted = F.when(F.col("_digest").isNotNull(), next_header(F.col("_header"), F.col("_digest"))).otherwise(F.lit(start) if start else F.col("header"))
+    return linked.withColumn("linked", F.coalesce(F.col("header") == wanted, F.lit(False))).drop("_header", "_digest", "digest")
 
 
-def verify_segments(chained: DataFrame, layout: Layout, text: Column) -> DataFrame:
-    """Verdict per segment (file), plus the tip that links it to the segment before."""
+def verify_segments(chained: DataFrame, layout: Layout, text: Column, *, start: str | None = GENESIS) -> DataFrame:
+    """Verdict per segment (file) and its link to the segment before: a segment that was taken away leaves the next one unlinked."""
     inner = layout.with_(keys=(*layout.keys, "segment"))
-    verdict = verify_chain(chained, inner, text)
-    return verdict.join(segment_links(chained, layout).drop("entries"), list(inner.keys)).withColumn("passed", F.col("bad_entries") == 0)
+    verdict = verify_chain(chained, inner, text).join(segment_links(chained, layout, text, start=start), list(inner.keys))
+    return verdict.withColumn("passed", (F.col("bad_entries") == 0) & F.col("linked"))
 
 
 def segment_by_size(entries: DataFrame, layout: Layout, text: Column, *, limit: int = 100 * 1024 * 1024) -> DataFrame:

@@ -168,11 +168,28 @@ def scored_sample_stats(spark, sf):
 BODY_SQL = """('{"consensus_mid":' || CAST(round(mid * 1000000) AS BIGINT) || ',"divergent_sources":"","primary_exchange":"' || exchange_id || '","primary_mid_price":' || CAST(round(mid * 1000000) AS BIGINT)
   || ',"received_timestamp_ms":' || ts_ms || ',"symbol":"' || symbol || '","trust_score":' || CAST(round((0.5 + k / 200.0::DOUBLE) * 1000000) AS BIGINT) || ',"used_sources":"' || exchange_id || '"}')"""
 GEN = "0" * 64
-CHAIN_SQL = f"""body AS MATERIALIZED (
-  SELECT *, {BODY_SQL} AS txt, ts_ms // {DAY_MS} AS segment, row_number() OVER (PARTITION BY symbol, ts_ms // {DAY_MS} ORDER BY ts_ms, tick_id) AS rn FROM ticks),
+SEGMENT_ROWS = 50  # so that the buckets of the sample are cut into pieces too
+
+
+def chain_sql(body: str, keys: str = "symbol", parts: str = "0") -> str:
+    """Segments, their headers and their entries; ``body`` has ``keys``, ``ts_ms``, ``tick_id``, ``txt``, ``bucket`` and, before it in order, ``parts``."""
+    return f"""body AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY {keys}, part, segment ORDER BY ts_ms, tick_id) AS rn FROM (
+    SELECT *, {parts} AS part, CAST(bucket * {H.PIECES} + (row_number() OVER (PARTITION BY {keys}, {parts}, bucket ORDER BY ts_ms, tick_id) - 1) // {SEGMENT_ROWS} AS BIGINT) AS segment FROM ({body}))),
+digests AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY part, segment) AS pos FROM (
+    SELECT {keys}, part, segment, count(*) AS entries, sha256(string_agg(txt || chr(10), '' ORDER BY rn)) AS digest FROM body GROUP BY ALL)),
+headers AS (
+  SELECT {keys}, pos, part, segment, '{GEN}' AS header, sha256('{GEN}|' || digest) AS tip FROM digests WHERE pos = 1
+  UNION ALL SELECT d.{keys}, d.pos, d.part, d.segment, h.tip, sha256(h.tip || '|' || d.digest) FROM headers h JOIN digests d ON d.{keys} = h.{keys} AND d.pos = h.pos + 1),
 chain AS (
-  SELECT symbol, segment, rn, tick_id, '{GEN}' AS previous_hash, sha256('{GEN}|' || txt) AS current_hash FROM body WHERE rn = 1
-  UNION ALL SELECT b.symbol, b.segment, b.rn, b.tick_id, c.current_hash, sha256(c.current_hash || '|' || b.txt) FROM chain c JOIN body b ON b.symbol = c.symbol AND b.segment = c.segment AND b.rn = c.rn + 1)"""
+  SELECT b.{keys}, b.part, b.segment, b.rn, b.tick_id, b.txt, h.header AS previous_hash, sha256(h.header || '|' || b.txt) AS current_hash
+  FROM body b JOIN headers h ON b.{keys} = h.{keys} AND b.part = h.part AND b.segment = h.segment WHERE b.rn = 1
+  UNION ALL SELECT b.{keys}, b.part, b.segment, b.rn, b.tick_id, b.txt, c.current_hash, sha256(c.current_hash || '|' || b.txt)
+  FROM chain c JOIN body b ON b.{keys} = c.{keys} AND b.part = c.part AND b.segment = c.segment AND b.rn = c.rn + 1)"""
+
+
+CHAIN_SQL = chain_sql(f"SELECT *, {BODY_SQL} AS txt, ts_ms // {DAY_MS} AS bucket FROM ticks")
 
 
 def entries(spark, sf):
@@ -182,19 +199,21 @@ def entries(spark, sf):
 
 
 def chained(spark, sf):
-    return H.build_chain(entries(spark, sf), LAYOUT, H.entry_text())
+    return H.build_chain(entries(spark, sf), LAYOUT, H.entry_text(), segment_rows=SEGMENT_ROWS)
 
 
 SEG = LAYOUT.with_(keys=("symbol", "segment"))
 
 
 def tampered(spark, sf):
-    """A stored chain with some altered and some deleted entries."""
-    rows = materialise(chained(spark, sf)).where("tick_id % 1009 <> 0")
-    return rows.withColumn("consensus_mid", F.when(F.col("tick_id") % 997 == 0, F.col("consensus_mid") + 1).otherwise(F.col("consensus_mid")))
+    """``(entries, segments)`` of a stored chain with some entries altered, some deleted and some whole segments taken away."""
+    rows, segments = chained(spark, sf)
+    bucket = F.floor(F.col("segment") / H.PIECES)
+    rows = materialise(rows).where(F.col("tick_id") % 1009 != 0).where(bucket % 11 != 4)
+    return rows.withColumn("consensus_mid", F.when(F.col("tick_id") % 997 == 0, F.col("consensus_mid") + 1).otherwise(F.col("consensus_mid"))), segments
 
 
-BAD_SQL = """kept AS (SELECT c.*, lag(tick_id) OVER w AS lt, lag(rn) OVER w AS lr, row_number() OVER w AS pos FROM chain c WHERE tick_id % 1009 <> 0 WINDOW w AS (PARTITION BY symbol, segment ORDER BY rn)),
+BAD_SQL = f"""kept AS (SELECT c.*, lag(tick_id) OVER w AS lt, lag(rn) OVER w AS lr, row_number() OVER w AS pos FROM chain c WHERE tick_id % 1009 <> 0 AND segment // {H.PIECES} % 11 <> 4 WINDOW w AS (PARTITION BY symbol, segment ORDER BY rn)),
 bad AS MATERIALIZED (SELECT *, CASE WHEN pos > 1 AND lr <> rn - 1 THEN 'broken_link' WHEN tick_id % 997 = 0 THEN 'hash_mismatch' END AS problem FROM kept)"""
 VERDICT = "count(*) AS entries, count(problem) AS bad_entries, arg_min(problem, rn) FILTER (problem IS NOT NULL) AS first_problem, arg_min(tick_id, rn) FILTER (problem IS NOT NULL) AS first_bad"
 
@@ -210,21 +229,22 @@ def audit_hash(spark, sf):
     return rows.select("o_orderkey", H.audit_hash(rows).alias("hash"))
 
 
-@query("build_chain", with_ticks("SELECT tick_id, CAST(segment AS BIGINT) AS segment, previous_hash, current_hash FROM chain", CHAIN_SQL))
+@query("build_chain", with_ticks("SELECT tick_id, segment, previous_hash, current_hash FROM chain", CHAIN_SQL))
 def build_chain(spark, sf):
-    return chained(spark, sf).select("tick_id", "segment", "previous_hash", "current_hash")
+    return chained(spark, sf)[0].select("tick_id", "segment", "previous_hash", "current_hash")
 
 
 @query("t5_chain", with_ticks("SELECT tick_id, CASE WHEN pos > 1 AND lr <> rn - 1 THEN 0.0 WHEN pos = 1 AND rn > 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS t5 FROM bad", CHAIN_SQL, BAD_SQL))
 def t5_chain(spark, sf):
     from tidewatch.operators.trust import t5_chain as score
 
-    return H.chain_ok(tampered(spark, sf), SEG).select("tick_id", score(F.col("chain_ok")).alias("t5"))
+    rows, segments = tampered(spark, sf)
+    return H.chain_ok(rows, SEG, segments).select("tick_id", score(F.col("chain_ok")).alias("t5"))
 
 
 @query("verify_chain", with_ticks(f"SELECT symbol, CAST(segment AS BIGINT) AS segment, {VERDICT} FROM bad GROUP BY symbol, segment", CHAIN_SQL, BAD_SQL))
 def verify_chain(spark, sf):
-    return H.verify_chain(tampered(spark, sf), SEG, H.entry_text())
+    return H.verify_chain(tampered(spark, sf)[0], SEG, H.entry_text())
 
 
 @query("verify_recent", with_ticks(f"""
@@ -232,15 +252,20 @@ SELECT symbol, CAST(segment AS BIGINT) AS segment, {VERDICT} FROM (
   SELECT symbol, segment, rn, tick_id, CASE WHEN back = 20 AND problem = 'broken_link' THEN CASE WHEN tick_id % 997 = 0 THEN 'hash_mismatch' END ELSE problem END AS problem
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol, segment ORDER BY rn DESC) AS back FROM bad) WHERE back <= 20) GROUP BY symbol, segment""", CHAIN_SQL, BAD_SQL))
 def verify_recent(spark, sf):
-    return H.verify_recent(tampered(spark, sf), SEG, H.entry_text(), last=20)
+    return H.verify_recent(tampered(spark, sf)[0], SEG, H.entry_text(), last=20)
 
 
 @query("verify_segments", with_ticks(f"""
-SELECT v.*, f.h AS first_hash, f.l AS last_hash, f.p AS previous_tip, bad_entries = 0 AS passed FROM (SELECT symbol, CAST(segment AS BIGINT) AS segment, {VERDICT} FROM bad GROUP BY symbol, segment) v
-JOIN (SELECT symbol, segment, h, l, lag(l) OVER (PARTITION BY symbol ORDER BY segment) AS p FROM (SELECT symbol, segment, arg_min(current_hash, rn) AS h, arg_max(current_hash, rn) AS l FROM bad GROUP BY ALL)) f USING (symbol, segment)""",
+SELECT v.*, first_hash, last_hash, header, previous_tip, header = wanted AS linked, bad_entries = 0 AND header = wanted AS passed
+FROM (SELECT symbol, segment, {VERDICT} FROM bad GROUP BY ALL) v
+JOIN (SELECT symbol, segment, h AS first_hash, l AS last_hash, f AS header, lag(l) OVER w AS previous_tip, coalesce(sha256(lag(f) OVER w || '|' || lag(digest) OVER w), '{GEN}') AS wanted
+      FROM (SELECT symbol, segment, arg_min(current_hash, rn) AS h, arg_max(current_hash, rn) AS l, arg_min(previous_hash, rn) AS f,
+              sha256(string_agg(CASE WHEN tick_id % 997 = 0 THEN altered ELSE txt END || chr(10), '' ORDER BY rn)) AS digest
+            FROM bad JOIN (SELECT tick_id, {BODY_SQL.replace('"consensus_mid":\' || CAST(round(mid', '"consensus_mid":\' || CAST(round((mid + 1)')} AS altered FROM ticks) USING (tick_id) GROUP BY ALL)
+      WINDOW w AS (PARTITION BY symbol ORDER BY segment)) USING (symbol, segment)""",
     CHAIN_SQL, BAD_SQL))
 def verify_segments(spark, sf):
-    return H.verify_segments(tampered(spark, sf), LAYOUT, H.entry_text())
+    return H.verify_segments(tampered(spark, sf)[0], LAYOUT, H.entry_text())
 
 
 ROT_SQL = f"""rot AS MATERIALIZED (SELECT *, CAST(coalesce(before, 0) // 50000 AS BIGINT) AS rotation FROM (
