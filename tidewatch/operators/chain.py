@@ -41,9 +41,9 @@ def audit_hash(df: DataFrame, leave_out: tuple[str, ...] = ("current_hash",)) ->
 PIECES = 1_000_000  # segment numbers kept free for the pieces of one time bucket
 
 
-def cut_segments(entries: DataFrame, layout: Layout, *, segment_ms: int = 86_400_000, segment_rows: int = 100_000) -> DataFrame:
-    """Add ``segment``: the time bucket times ``PIECES`` plus the piece of ``segment_rows`` entries inside the bucket."""
-    rows = entries.withColumn("_bucket", F.floor(F.col(layout.ts) / segment_ms).cast("long"))
+def cut_segments(entries: DataFrame, layout: Layout, *, segment_ms: int = 86_400_000, segment_rows: int = 100_000, bucket: Column | None = None) -> DataFrame:
+    """Add ``segment``: the bucket (of time, or the one given) times ``PIECES`` plus the piece of ``segment_rows`` entries inside it."""
+    rows = entries.withColumn("_bucket", (F.floor(F.col(layout.ts) / segment_ms) if bucket is None else bucket).cast("long"))
     rows = index_rows(rows, layout.with_(keys=(*layout.keys, "_bucket")), "_n")
     piece = F.floor((F.col("_n") - 1) / F.lit(segment_rows)).cast("long")
     return rows.withColumn("segment", F.col("_bucket") * PIECES + piece).drop("_bucket", "_n")
@@ -118,7 +118,7 @@ def chain_segments(rows: DataFrame, headers: DataFrame, layout: Layout, text: Co
 
 
 def build_chain(entries: DataFrame, layout: Layout, text: Column, *, segment_ms: int = 86_400_000, segment_rows: int = 100_000,
-                start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                bucket: Column | None = None, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(chained entries, segments)``: every entry hashes its predecessor's hash and its own text; every segment starts from its header.
 
     A hash chain is sequential by nature, so it has two levels. Segments (a time bucket, or ``segment_rows`` entries of it) are
@@ -126,7 +126,7 @@ def build_chain(entries: DataFrame, layout: Layout, text: Column, *, segment_ms:
     chained at once from their headers. A header depends on every entry before it, so a segment that is changed or taken away
     breaks the next one. Order must be unique per key and never null; no entries give no segments.
     """
-    rows = materialise(cut_segments(entries, layout, segment_ms=segment_ms, segment_rows=segment_rows))
+    rows = materialise(cut_segments(entries, layout, segment_ms=segment_ms, segment_rows=segment_rows, bucket=bucket))
     segments = materialise(segment_headers(segment_digests(rows, layout, text), layout, start))
     return chain_segments(rows, segments, layout, text), segments
 

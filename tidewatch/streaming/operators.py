@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.operators.anomaly import SEVERITY, GateConfig, gate_base_state, gate_step
-from tidewatch.operators.chain import audit_enrich
+from tidewatch.operators.chain import audit_enrich, build_chain
 from tidewatch.operators.consensus import ConsensusConfig, judge_window
+from tidewatch.plans.layout import Layout
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+AUDIT = Layout(keys=("event_type",))
 
 
 def with_event_time(ticks: DataFrame, delay: str) -> DataFrame:
@@ -167,16 +169,46 @@ def stream_dedup(orders: DataFrame, key: str = "client_order_id", *, delay: str
     return with_event_time(orders, delay).dropDuplicatesWithinWatermark([key]).drop("event_time")
 
 
-def late_rows(batch: DataFrame, watermark_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Rows of a batch behind a watermark, counted per key."""
-    return batch.where(F.col("ts_ms") < watermark_ms).groupBy(*keys).agg(F.count(F.lit(1)).alias("late_rows"))
+def late_batch(path: str, delay_ms: int, keys: tuple[str, ...] = ("symbol",)):
+    """A batch handler that counts, per key, the rows a watermark drops.
+
+    The watermark of a batch is what all batches before it set: their latest event time less the delay. A row at or behind it is
+    late, as for a stateful operator. Each batch commits the counts and then the mark for the next one, both by replacing its own
+    folder, so a batch that is run again writes the same. Rows without a time set no mark and are never late.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = spark.read.parquet(f"{path}/mark/batch={batch_id - 1}").first()["mark_ms"] if batch_id else None
+        late = batch.where(F.col("ts_ms") <= F.lit(mark).cast("long")).groupBy(*keys).agg(F.count(F.lit(1)).alias("late_rows"))
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        latest = F.greatest(F.max("ts_ms") - delay_ms, F.lit(mark).cast("long")).alias("mark_ms")
+        batch.agg(latest).write.mode("overwrite").parquet(f"{path}/mark/batch={batch_id}")
+
+    return handle
 
 
-def audit_batch(path: str):
-    """A batch handler that enriches audit messages and replaces the batch's own folder, so a retry writes the same."""
+def audit_batch(path: str, layout: Layout = AUDIT, *, segment_rows: int = 100_000):
+    """A batch handler that enriches audit messages and chains them across batches, one chain per key of ``layout``.
+
+    The entries of a batch are a bucket of their chain (:func:`build_chain`) that starts from the head of the batch before it. The
+    entries are written first and the heads of all keys after them; the next batch reads those. Both replace the batch's own
+    folder, so a batch that is run again reads the same heads and writes the same entries. The heads table has one row per key.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        entries = audit_enrich(batch)
-        body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in entries.columns])
-        entries.withColumn("entry_hash", F.sha2(body, 256)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, keys = batch.sparkSession, list(layout.keys)
+        entries = audit_enrich(batch).fillna("unknown", ["event_type"])
+        before = spark.read.parquet(f"{path}/heads/batch={batch_id - 1}") if batch_id else None
+        chained, segments = build_chain(entries, layout, audit_text(), segment_rows=segment_rows, bucket=F.lit(batch_id), start=before)
+        chained.write.mode("overwrite").parquet(f"{path}/entries/batch={batch_id}")
+        heads = segments.groupBy(*keys).agg(F.max_by("tip", "segment").alias("head"))
+        if before is not None:
+            heads = before.join(heads, keys, "left_anti").unionByName(heads)
+        heads.write.mode("overwrite").parquet(f"{path}/heads/batch={batch_id}")
 
     return handle
+
+
+def audit_text() -> Column:
+    """Text of an audit entry that goes into its hash."""
+    names = ["tick_id", "event_type", "source_layer", "ts_ms", "trust_score", "anomaly_score", "system_state"]
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
