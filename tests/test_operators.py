@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import align, anomaly, backtest, candles, chain, consensus, execution, indicators, risk, signals, trust
+from tidewatch.operators import align, anomaly, backtest, candles, chain, consensus, execution, indicators, metrics, risk, signals, trust
 from tidewatch.plans.layout import Layout
 from tidewatch.sources import messages, ticks as tick_files
 
@@ -383,3 +383,31 @@ def test_klines_of_all_symbols_are_archived_read_and_converted(spark):
     assert sorted(map(tuple, connectors.all_kline_ticks(spark, sf).select("symbol", "ts_ms").collect())) == [w[:2] for w in want]
     hours = [w[:2] for w in want if w[1] // 3_600_000 % 5]
     assert sorted(map(tuple, connectors.all_kline_candles(spark, sf).select("symbol", "start_ms").collect())) == hours
+
+
+def test_rules_are_compiled_into_series(spark):
+    rules = [
+        metrics.Rule("gauge", "up", "==", 0.0, 20, "high", label="job", matches="layer.*"),
+        metrics.Rule("grown", "c_total", ">", 4.0, 0, "high", over="increase", range_ms=30),
+        metrics.Rule("speed", "c_total", ">", 100.0, 0, "high", over="rate", range_ms=20),
+        metrics.Rule("share", "used", ">", 0.5, 0, "high", other="limit"),
+        metrics.Rule("slow", "ms_bucket", ">", 12.0, 0, "high", over="rate", range_ms=1000, quantile=0.5),
+    ]
+    rows = [("up", {"job": j}, t, v) for j, vs in (("layer1", [1, 0, 0, 0, 1, 0]), ("node", [0] * 6)) for t, v in enumerate(vs)] + [("up", {}, 0, 0)]
+    rows += [("c_total", {"x": "1"}, t, v) for t, v in enumerate([0, 3, 5, 1, 4])]
+    rows += [("used", {"m": "1"}, t, v) for t, v in enumerate([6, 2, 1, 0])] + [("limit", {"m": "1"}, t, v) for t, v in enumerate([10, 10, 0, 0])] + [("used", {"m": "2"}, 0, 9)]
+    rows += [("ms_bucket", {"le": le, "s": "a"}, t, n * t) for le, n in (("10", 1), ("20", 3), ("+Inf", 4)) for t in (0, 1)]
+    rows = [(m, labels, 10 * t, float(v)) for m, labels, t, v in rows]
+    df = spark.createDataFrame(rows, "metric string, labels map<string, string>, ts_ms long, value double").repartition(3)
+    layout = metrics.SERIES.with_(slot_ms=15)
+    out = {(r.alert, r.series, r.ts_ms // 10): r for r in metrics.alert_rules(df, metrics.rule_table(spark, rules), layout).collect()}
+    value = lambda a, s: [out[a, s, t].value for t in range(6) if (a, s, t) in out]
+    assert {k[:2] for k in out} == {("gauge", "job=layer1"), ("grown", "x=1"), ("speed", "x=1"), ("share", "m=1"), ("share", "m=2"), ("slow", "s=a")}
+    assert [out["gauge", "job=layer1", t].firing for t in range(6)] == [False, False, False, True, False, False]
+    assert value("grown", "x=1") == [0.0, 3.0, 5.0, 6.0, 6.0] and value("speed", "x=1") == [0.0, 150.0, 250.0, 150.0, 200.0]
+    assert [out["grown", "x=1", t].firing for t in range(5)] == [False, False, True, True, True]
+    assert value("share", "m=1") == [0.6, 0.2, float("inf"), None] and value("share", "m=2") == [None]
+    assert [out["share", "m=1", t].firing for t in range(4)] == [True, False, True, False]
+    assert value("slow", "s=a") == [None, 15.0]
+    assert metrics.alert_rules(df.limit(0), metrics.rule_table(spark, rules), layout).count() == 0
+    assert len({r.alert for r in metrics.RULES}) == 22

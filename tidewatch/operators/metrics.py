@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple, dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.plans.frames import range_moments
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.scans import Scan, previous, running
-from tidewatch.plans.store import broadcast_if_small
+from tidewatch.plans.store import broadcast_if_small, materialise
 
 SERIES = Layout(keys=("metric", "series"), order=("ts_ms",))
 
@@ -53,23 +55,25 @@ def bucketize(observations: DataFrame, keys: tuple[str, ...], value: str, bounds
     return wide.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.le", "c.n")
 
 
-def histogram_quantile(buckets: DataFrame, keys: tuple[str, ...], q: float) -> DataFrame:
-    """Linear interpolation inside the bucket that holds the rank; the last finite bound where it is the open one.
-
-    The buckets of a group are its bounds, a handful, whatever the number of observations.
-    """
-    cells = F.sort_array(F.collect_list(F.struct("le", "n")))
-    rows = buckets.groupBy(*keys).agg(cells.alias("_b")).withColumn("_total", F.element_at("_b", -1)["n"])
+def bucket_quantile(rows: DataFrame, cells: str, q: float | Column, out: str) -> DataFrame:
+    """Quantile ``q`` of cumulative bucket counts, an array of ``(le, n)`` sorted by ``le``: linear inside the bucket that holds the
+    rank, the last finite bound where it is the open one, null without observations."""
+    total = F.try_element_at(cells, F.lit(-1))["n"]
+    rows = rows.withColumn("_total", total).withColumn("_at", F.array_position(F.transform(cells, lambda b: b["n"] >= total * q), True).cast("int"))
     rank = F.col("_total") * q
-    at = F.array_position(F.transform("_b", lambda b: b["n"] >= rank), True).cast("int")
-    rows = rows.withColumn("_at", at)
-    here, before = F.try_element_at("_b", F.col("_at")), F.try_element_at("_b", F.greatest(F.lit(1), F.col("_at") - 1))
+    here, before = F.try_element_at(cells, F.col("_at")), F.try_element_at(cells, F.greatest(F.lit(1), F.col("_at") - 1))
     low = F.when(F.col("_at") > 1, before["le"]).otherwise(F.lit(0.0))
     seen = F.when(F.col("_at") > 1, before["n"]).otherwise(F.lit(0))
     inside = here["n"] - seen
     value = F.when(F.isnan(here["le"]) | (here["le"] == float("inf")), before["le"]).when(inside == 0, here["le"]).otherwise(
         low + (here["le"] - low) * (rank - seen) / inside)
-    return rows.select(*keys, F.when(F.col("_total") > 0, value).alias("quantile"))
+    return rows.withColumn(out, F.when(F.col("_total") > 0, value)).drop("_total", "_at")
+
+
+def histogram_quantile(buckets: DataFrame, keys: tuple[str, ...], q: float) -> DataFrame:
+    """:func:`bucket_quantile` per group. The buckets of a group are its bounds, a handful, whatever the number of observations."""
+    rows = buckets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("le", "n"))).alias("_b"))
+    return bucket_quantile(rows, "_b", q, "quantile").select(*keys, "quantile")
 
 
 def range_stats(samples: DataFrame, layout: Layout = SERIES, *, range_ms: int = 300_000) -> DataFrame:
@@ -100,50 +104,107 @@ def default_zero(values: DataFrame, spark: SparkSession, start_ms: int, end_ms:
     return known.select(*keys, buckets).join(values, [*keys, "bucket_ms"], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 
 
-# Alert name, metric, comparison, threshold, hold time in milliseconds, severity.
+@dataclass(frozen=True)
+class Rule:
+    """One alert: a series derived from a metric, a condition on it, and how long the condition has to hold.
+
+    ``over``: the ``value`` itself, or the ``increase`` or ``rate`` of a counter over ``range_ms``. ``other`` divides it by the same of
+    another metric with equal labels; ``quantile`` takes that quantile over the ``le`` buckets of a histogram. ``matches`` is a
+    pattern for the whole of ``label``; a missing label is empty text.
+    """
+
+    alert: str
+    metric: str
+    op: str
+    threshold: float
+    hold_ms: int
+    severity: str
+    over: str = "value"
+    range_ms: int = 300_000
+    other: str | None = None
+    quantile: float | None = None
+    label: str | None = None
+    matches: str | None = None
+
+
+# Metrics, thresholds, hold times, ranges and label patterns of the alerts.
 RULES = [
-    ("SystemStateHALT", "layer2_system_state", "==", 3.0, 10_000, "critical"),
-    ("AuditChainIntegrityFailure", "audit_chain_valid", "==", 0.0, 0, "critical"),
-    ("KafkaBrokerDown", "kafka_brokers", "<", 1.0, 30_000, "critical"),
-    ("LayerServiceDown", "up", "==", 0.0, 30_000, "critical"),
-    ("ReplayAttackDetected", "increase:replay_suspicion_total", ">", 0.0, 0, "critical"),
-    ("TrustScoreLow", "trust_score", "<", 0.6, 60_000, "high"),
-    ("AnomalyScoreHigh", "anomaly_fused_score", ">", 0.8, 30_000, "high"),
-    ("ConsensusDivergenceHigh", "consensus_divergence", ">", 0.01, 60_000, "high"),
-    ("KafkaConsumerLagHigh", "kafka_consumergroup_lag", ">", 1000.0, 120_000, "high"),
-    ("ExchangeWebsocketDisconnected", "websocket_connected", "==", 0.0, 30_000, "high"),
-    ("TLSPinningFailures", "increase:tls_pinning_failures_total", ">", 5.0, 0, "high"),
-    ("ExecutionRetriesHigh", "increase:execution_retries_total", ">", 10.0, 0, "medium"),
-    ("RiskCircuitBreakerOpen", "risk_circuit_breaker_state", "==", 1.0, 60_000, "medium"),
-    ("ContainerHighCPU", "rate:container_cpu_usage_seconds_total", ">", 0.8, 300_000, "medium"),
-    ("ContainerHighMemory", "ratio:container_memory_usage_bytes", ">", 0.8, 300_000, "medium"),
-    ("SystemStateDegraded", "layer2_system_state", "==", 2.0, 300_000, "medium"),
-    ("RiskRejectionsHigh", "increase:risk_rejections_total", ">", 20.0, 0, "medium"),
-    ("ModelInferenceLatencyHigh", "p95:anomaly_model_inference_duration_ms", ">", 50.0, 300_000, "medium"),
-    ("ExecutionLatencyHigh", "p95:execution_latency_ms", ">", 100.0, 300_000, "medium"),
-    ("SequenceGapsDetected", "increase:sequence_gaps_total", ">", 10.0, 0, "high"),
-    ("QuarantinedTicksHigh", "increase:quarantined_ticks_total", ">", 50.0, 0, "medium"),
-    ("BadMessageRateHigh", "ratio:layer2_bad_in_total", ">", 0.05, 120_000, "medium"),
+    Rule("SystemStateHALT", "layer2_system_state", "==", 3.0, 10_000, "critical"),
+    Rule("AuditChainIntegrityFailure", "audit_chain_valid", "==", 0.0, 0, "critical"),
+    Rule("KafkaBrokerDown", "kafka_brokers", "<", 1.0, 30_000, "critical"),
+    Rule("LayerServiceDown", "up", "==", 0.0, 30_000, "critical", label="job", matches="layer.*"),
+    Rule("ReplayAttackDetected", "replay_suspicion_total", ">", 0.0, 0, "critical", over="increase", range_ms=60_000),
+    Rule("TrustScoreLow", "trust_score", "<", 0.6, 60_000, "high"),
+    Rule("AnomalyScoreHigh", "anomaly_fused_score", ">", 0.8, 30_000, "high"),
+    Rule("ConsensusDivergenceHigh", "consensus_divergence", ">", 0.01, 60_000, "high"),
+    Rule("KafkaConsumerLagHigh", "kafka_consumergroup_lag", ">", 1000.0, 120_000, "high"),
+    Rule("ExchangeWebsocketDisconnected", "websocket_connected", "==", 0.0, 30_000, "high", label="exchange", matches=".*"),
+    Rule("TLSPinningFailures", "tls_pinning_failures_total", ">", 5.0, 0, "high", over="increase"),
+    Rule("ExecutionRetriesHigh", "execution_retries_total", ">", 10.0, 0, "medium", over="increase"),
+    Rule("RiskCircuitBreakerOpen", "risk_circuit_breaker_state", "==", 1.0, 60_000, "medium"),
+    Rule("ContainerHighCPU", "container_cpu_usage_seconds_total", ">", 0.8, 300_000, "medium", over="rate", label="name", matches="algo-trading.*"),
+    Rule("ContainerHighMemory", "container_memory_usage_bytes", ">", 0.8, 300_000, "medium", other="container_spec_memory_limit_bytes", label="name", matches="algo-trading.*"),
+    Rule("SystemStateDegraded", "layer2_system_state", "==", 2.0, 300_000, "medium"),
+    Rule("RiskRejectionsHigh", "risk_rejections_total", ">", 20.0, 0, "medium", over="increase", range_ms=600_000),
+    Rule("ModelInferenceLatencyHigh", "anomaly_model_inference_duration_ms_bucket", ">", 50.0, 300_000, "medium", over="rate", quantile=0.95),
+    Rule("ExecutionLatencyHigh", "execution_latency_ms_bucket", ">", 100.0, 300_000, "medium", over="rate", quantile=0.95),
+    Rule("SequenceGapsDetected", "sequence_gaps_total", ">", 10.0, 0, "high", over="increase"),
+    Rule("QuarantinedTicksHigh", "quarantined_ticks_total", ">", 50.0, 0, "medium", over="increase"),
+    Rule("BadMessageRateHigh", "layer2_bad_in_total", ">", 0.05, 120_000, "medium", over="rate", other="layer2_raw_in_total"),
 ]
-RULE_SCHEMA = "alert string, metric string, op string, threshold double, hold_ms long, severity string"
+RULE_SCHEMA = """alert string, metric string, op string, threshold double, hold_ms long, severity string, over string, range_ms long,
+  other string, quantile double, label string, matches string, role string"""
+
 
+def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    """One row per metric that a rule reads; ``role`` tells its main metric from its divisor."""
+    rows = [(*astuple(rule), "main") for rule in rules]
+    rows += [(*astuple(replace(rule, metric=rule.other)), "other") for rule in rules if rule.other]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
-def rule_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, RULE_SCHEMA)
 
+def rule_series(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
+    """The value of every rule's series at each of its sample times: ``(alert, series, ts_ms, value)``.
 
-def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES, *, label: str | None = None, matches: str | None = None) -> DataFrame:
-    """Evaluate every rule on every sample of its metric; a rule fires once its condition has held for its hold time.
+    All rules are compiled into one plan: samples meet their rules by metric and label pattern and are stored in that narrow
+    form; counters pass one scan for resets and one for ranges, each with the range of its rule; a last grouping brings together
+    the two metrics of a ratio and the buckets of a histogram, which need samples at the same time. Samples of one series at one
+    time count as their maximum. A ratio is null without its divisor and for 0/0, infinite for a divisor of 0.
+    """
+    le, ts = F.try_element_at("labels", F.lit("le")), layout.ts
+    wanted = F.col("matches").isNull() | F.regexp_like(F.coalesce(F.try_element_at("labels", F.col("label")), F.lit("")), F.concat(F.lit("^(?:"), F.col("matches"), F.lit(")$")))
+    joined = samples.join(broadcast_if_small(rules.select("metric", "alert", "role", "over", "range_ms", "label", "matches")), "metric").where(wanted)
+    joined = materialise(joined.select(
+        "alert", "role", "over", "range_ms", series_id(F.map_filter("labels", lambda k, _: k != "le")).alias("series"),
+        F.coalesce(le, F.lit("")).alias("le"), ts, "value"))
+    inner = layout.with_(keys=("alert", "role", "series", "le"))
+    grown = range_moments(counter_steps(joined.where("over <> 'value'"), inner), inner, F.col("range_ms"), "step", "_range")
+    increase = F.coalesce("_range.total", F.lit(0.0))
+    grown = grown.withColumn("value", F.when(F.col("over") == "rate", increase / (F.col("range_ms") / 1000.0)).otherwise(increase)).select(joined.columns)
+    main = F.col("role") == "main"
+    cell = F.struct(F.col("le").try_cast("double").alias("le"), F.col("value").alias("n"))
+    points = joined.where("over = 'value'").unionByName(grown).groupBy("alert", "series", ts).agg(
+        F.max(F.when(main, F.col("value"))).alias("_main"), F.max(F.when(~main, F.col("value"))).alias("_other"),
+        F.sort_array(F.collect_list(F.when(main & (F.col("le") != ""), cell))).alias("_cells"))
+    points = points.join(broadcast_if_small(rules.where("role = 'main'").select("alert", "other", "quantile")), "alert")
+    points = bucket_quantile(points.withColumn("_cells", F.when(F.size("_cells") > 0, F.col("_cells"))), "_cells", F.col("quantile"), "_quantile")
+    ratio = F.when(F.col("_other") != 0, F.try_divide("_main", "_other")).when((F.col("_other") == 0) & (F.col("_main") > 0), float("inf"))
+    value = F.when(F.col("quantile").isNotNull(), F.col("_quantile")).when(F.col("other").isNotNull(), ratio).otherwise(F.col("_main"))
+    return points.select("alert", "series", ts, value.alias("value"))
+
+
+def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
+    """Evaluate every rule on all its series (:func:`rule_series`); a rule fires once its condition has held for its hold time.
 
     ``rules`` is configuration. The start of the current run of true samples is a running value, so one busy
-    series spreads over time slots.
+    series spreads over time slots. A null value is no condition met.
     """
-    if label and matches:
-        samples = samples.where(F.try_element_at("labels", F.lit(label)).rlike(f"^(?:{matches})$"))
     v, t = F.col("value"), F.col("threshold")
     held = F.when(F.col("op") == ">", v > t).when(F.col("op") == "<", v < t).otherwise(v == t)
-    per_rule = layout.with_(keys=("alert", *layout.keys))
-    rows = previous(samples.join(broadcast_if_small(rules), "metric").withColumn("holds", held), per_rule, _held="holds")
+    per_rule = layout.with_(keys=("alert", "series"))
+    conditions = rules.where("role = 'main'").select("alert", "op", "threshold", "hold_ms", "severity")
+    rows = rule_series(samples, rules, layout).join(broadcast_if_small(conditions), "alert").withColumn("holds", F.coalesce(held, F.lit(False)))
+    rows = previous(rows, per_rule, _held="holds")
     begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
     rows = running(rows, per_rule, active_since_ms=Scan("last", F.when(begins, F.col(layout.ts))))
     since = F.when(F.col("holds"), F.col("active_since_ms"))

@@ -65,7 +65,7 @@ def moments(df: DataFrame, w: WindowSpec, n: int, *, lagged: bool = False, **val
     return df
 
 
-def range_moments(df: DataFrame, layout: Layout, range_ms: int, value: str, out: str) -> DataFrame:
+def range_moments(df: DataFrame, layout: Layout, range_ms: int | Column, value: str, out: str) -> DataFrame:
     """Add a struct ``(n, total, mean, sd)`` of ``value`` over the times ``(t - range_ms, t]`` of each row's key.
 
     Time is cut into blocks as long as the range, so a range is the end of one block and the beginning of the next. A row
@@ -74,22 +74,23 @@ def range_moments(df: DataFrame, layout: Layout, range_ms: int, value: str, out:
     a range holds. Slots split a block; one summary row per slot carries the sums across.
 
     Rows of the same time see each other. Null values count as absent, and a row without a time sees nothing: ``n`` is 0 and
-    the rest null where nothing was seen. ``sd`` is the deviation of the population.
+    the rest null where nothing was seen. ``sd`` is the deviation of the population. ``range_ms`` may be a column that is the same
+    in all rows of a key.
     """
     ts, x, keys = F.col(layout.ts), F.col(value).cast("double"), list(layout.keys)
     rest = [c for c in df.columns if c not in keys]
     row, none = F.struct(*rest), F.lit(None).cast("double")
-    block = F.floor(ts / F.lit(range_ms)).cast("long")
+    reach = range_ms if isinstance(range_ms, Column) else F.lit(range_ms)
+    block = F.floor(ts / reach).cast("long")
 
     def event(home: Column, at: Column, side: int) -> Column:
         return F.struct(
-            home.alias("_block"), at.cast("long").alias("_at"), F.lit(side).alias("_side"), (x if side == 1 else none).alias("_in"),
+            home.alias("_block"), at.cast("long").alias("_at"), F.floor(F.pmod(at, reach) / F.lit(layout.slot_ms)).cast("long").alias("_slot"), F.lit(side).alias("_side"), (x if side == 1 else none).alias("_in"),
             (x if side == 0 else none).alias("_off"), (row if side == 2 else F.when(F.lit(False), row)).alias("_row"))
 
     read = event(block, ts, 2)
-    moves = F.array(event(block, ts, 1), event(block + 1, ts + range_ms, 0), read)
+    moves = F.array(event(block, ts, 1), event(block + 1, ts + reach, 0), read)
     events = df.select(*keys, F.explode(F.when(x.isNotNull() & ts.isNotNull(), moves).otherwise(F.array(read))).alias("_e")).select(*keys, "_e.*")
-    events = events.withColumn("_slot", F.floor(F.pmod("_at", F.lit(range_ms)) / F.lit(layout.slot_ms)).cast("long"))
 
     home = [*keys, "_block"]
     totals = events.groupBy(*home, "_slot").agg(*[

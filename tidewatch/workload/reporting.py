@@ -1,5 +1,7 @@
 """Regime feature, report, chain and metric queries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
@@ -13,7 +15,7 @@ from tidewatch.workload.anomalies import FEAT_SQL, SIMPLE_SQL, simple, validated
 from tidewatch.workload.feeds_quality import ALIGNED, CONSENSUS, VALID, decided, filled, validated
 from tidewatch.workload.registry import query
 from tidewatch.workload.scalars import r
-from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, SLOT_MS, table, ticks, with_ticks
+from tidewatch.workload.ticks import DAY_MS, HOUR_MS, LAYOUT, SLOT_MS, as_union, table, ticks, with_ticks
 
 BUCKET = 3 * HOUR_MS
 VENUE = Layout(keys=("exchange_id",), slot_ms=SLOT_MS)
@@ -403,37 +405,89 @@ def default_zero(spark, sf):
     return M.default_zero(hourly, spark, 473352 * HOUR_MS, 474072 * HOUR_MS, bucket_ms=HOUR_MS, keys=("exchange_id",)).select("exchange_id", "bucket_ms", "value")
 
 
-TEST_RULES = [
-    ("TrustScoreLow", "trust_score", "<", 0.6, 2 * HOUR_MS, "high"), ("AnomalyScoreHigh", "anomaly_fused_score", ">", 0.8, HOUR_MS, "high"),
-    ("SystemStateHALT", "layer2_system_state", "==", 3.0, 0, "critical"),
+# The sample has a tick of a series in about an hour and a half, so all ranges and hold times are stretched.
+STRETCH = 60
+STRETCHED = [replace(rule, range_ms=rule.range_ms * STRETCH, hold_ms=rule.hold_ms * STRETCH) for rule in M.RULES]
+# Metric, name and value of a label besides exchange and symbol, value; n counts the ticks of a series and b25 those with k up to 25.
+NAME = "CASE WHEN symbol = 'S3' THEN 'db' ELSE concat('algo-trading-', symbol) END"
+PLATFORM = [
+    ("layer2_system_state", None, None, "k % 4"),
+    ("audit_chain_valid", None, None, "CASE WHEN k % 25 = 0 THEN 0 ELSE 1 END"),
+    ("kafka_brokers", None, None, "k % 3"),
+    ("up", "job", "CASE WHEN k % 5 = 0 THEN 'node' ELSE 'layer1' END", "CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END"),
+    ("replay_suspicion_total", None, None, "floor(n / 40.0)"),
+    ("trust_score", None, None, "0.5 + CAST(k AS DOUBLE) / 200"),
+    ("anomaly_fused_score", None, None, "CAST(k AS DOUBLE) / 100"),
+    ("consensus_divergence", None, None, "CAST(k AS DOUBLE) / 5000"),
+    ("kafka_consumergroup_lag", None, None, "k * 20"),
+    ("websocket_connected", None, None, "CASE WHEN k % 7 < 3 THEN 0 ELSE 1 END"),
+    ("tls_pinning_failures_total", None, None, "(n % 60) * (1 + n % 3)"),
+    ("execution_retries_total", None, None, "(n % 50) * (1 + n % 4)"),
+    ("risk_circuit_breaker_state", None, None, "k % 2"),
+    ("container_cpu_usage_seconds_total", "name", NAME, "(n % 60) * (3000 + 500 * (n % 3))"),
+    ("container_memory_usage_bytes", "name", NAME, "k * 1000000"),
+    ("container_spec_memory_limit_bytes", "name", NAME, "CASE WHEN k % 50 = 0 THEN 0 ELSE 100000000 END"),
+    ("risk_rejections_total", None, None, "(n % 70) * 3"),
+    *[("anomaly_model_inference_duration_ms_bucket", "le", f"'{le}'", v) for le, v in (("25", "b25"), ("50", "b50"), ("75", "b75"), ("+Inf", "n"))],
+    *[("execution_latency_ms_bucket", "le", f"'{le}'", v) for le, v in (("50", "b25"), ("100", "b50"), ("150", "b75"), ("+Inf", "n"))],
+    ("sequence_gaps_total", None, None, "(n % 30) * (1 + n % 5)"),
+    ("quarantined_ticks_total", None, None, "(n % 40) * (10 + n % 7)"),
+    ("layer2_bad_in_total", None, None, "floor(n / 15.0)"),
+    ("layer2_raw_in_total", None, None, "n"),
 ]
-SCORED_SQL = """gauges AS MATERIALIZED (
-  SELECT 'trust_score' AS metric, 'symbol=' || symbol AS series, ts_ms, trust_score AS value FROM simple
-  UNION ALL SELECT 'anomaly_fused_score', 'symbol=' || symbol, ts_ms, anomaly_score FROM simple
-  UNION ALL SELECT 'layer2_system_state', 'symbol=' || symbol, ts_ms, CAST(k % 4 AS DOUBLE) FROM simple),
-judge AS MATERIALIZED (
-  SELECT alert, metric, series, ts_ms, severity, hold, CASE op WHEN '<' THEN value < thr WHEN '>' THEN value > thr ELSE value = thr END AS holds
-  FROM gauges JOIN (VALUES ('TrustScoreLow', 'trust_score', '<', 0.6::DOUBLE, 7200000, 'high'), ('AnomalyScoreHigh', 'anomaly_fused_score', '>', 0.8, 3600000, 'high'),
-                           ('SystemStateHALT', 'layer2_system_state', '==', 3.0, 0, 'critical')) r(alert, metric, op, thr, hold, severity) USING (metric))"""
 
 
-def gauges(spark, sf):
-    rows = simple(spark, sf)
-    cells = F.explode(F.array(
-        F.struct(F.lit("trust_score").alias("metric"), F.col("trust_score").alias("value")), F.struct(F.lit("anomaly_fused_score").alias("metric"), F.col("anomaly_score").alias("value")),
-        F.struct(F.lit("layer2_system_state").alias("metric"), (F.col("k") % 4).cast("double").alias("value"))))
-    out = rows.select(F.create_map(F.lit("symbol"), F.col("symbol")).alias("labels"), "ts_ms", cells.alias("c")).select("labels", "ts_ms", "c.*")
-    return out.withColumn("series", M.series_id())
+def platform_samples(spark, sf):
+    """A sample of every metric that the rules read, at every tick."""
+    from tidewatch.plans.scans import Scan, running
+    from tidewatch.workload.ticks import VENUE_LAYOUT
+
+    upto = {f"b{b}": Scan("sum", (F.col("k") <= b).cast("long")) for b in (25, 50, 75)}
+    rows = running(ticks(spark, sf).select("exchange_id", "symbol", "ts_ms", "tick_id", "k"), VENUE_LAYOUT, n=Scan("count"), **upto)
+
+    def cell(metric, label, of, value):
+        labels = [F.lit("exchange"), F.col("exchange_id"), F.lit("symbol"), F.col("symbol")] + ([F.lit(label), F.expr(of)] if label else [])
+        return F.struct(F.lit(metric).alias("metric"), F.create_map(*labels).alias("labels"), F.expr(value).cast("double").alias("value"))
+
+    return rows.select("ts_ms", F.explode(F.array(*[cell(*m) for m in PLATFORM])).alias("c")).select("ts_ms", "c.*")
+
+
+def platform_sql():
+    def one(metric, label, of, value):
+        extra = f"',{label}=' || {of} ||" if label and label != "le" else ""
+        return (f"SELECT '{metric}' AS metric, 'exchange=' || exchange_id || {extra} ',symbol=' || symbol AS series, {of if label and label != 'le' else 'NULL'} AS lab, "
+                f"CAST({'replace(' + of + ', %sInf%s, %sinf%s)' % ((chr(39) + '+', chr(39)) + (chr(39),) * 2) if label == 'le' else 'NULL'} AS DOUBLE) AS le, ts_ms, CAST({value} AS DOUBLE) AS value FROM num")
+
+    rules = [(x.alert, m, role, x.over, x.range_ms, x.matches if x.label in ("job", "name") else None, x.op, x.threshold, x.hold_ms, x.severity, x.quantile)
+             for x in STRETCHED for m, role in ((x.metric, "main"), (x.other, "other")) if m]
+    return f"""num AS MATERIALIZED (SELECT *, row_number() OVER w AS n, {', '.join(f'sum(CAST(k <= {b} AS INTEGER)) OVER w AS b{b}' for b in (25, 50, 75))} FROM ticks
+  WINDOW w AS (PARTITION BY exchange_id, symbol ORDER BY ts_ms, tick_id ROWS UNBOUNDED PRECEDING)),
+platform AS ({' UNION ALL '.join(one(*m) for m in PLATFORM)}),
+rules AS (SELECT * FROM {as_union(rules, ['alert', 'metric', 'role', 'over_', 'rng', 'pattern', 'op', 'thr', 'hold', 'severity', 'q'])}),
+matched AS (SELECT alert, role, over_, rng, series, le, ts_ms, value, lag(value) OVER (PARTITION BY alert, role, series, le ORDER BY ts_ms) AS was
+  FROM platform JOIN rules USING (metric) WHERE pattern IS NULL OR regexp_full_match(lab, pattern)),
+grown AS (SELECT *, sum(CASE WHEN value < was THEN value ELSE value - was END) OVER (PARTITION BY alert, role, series, le ORDER BY ts_ms RANGE BETWEEN rng - 1 PRECEDING AND CURRENT ROW) AS inc FROM matched),
+derived AS MATERIALIZED (SELECT alert, role, series, le, ts_ms, CASE over_ WHEN 'value' THEN value WHEN 'rate' THEN coalesce(inc, 0) / (rng / 1000.0::DOUBLE) ELSE coalesce(inc, 0) END AS x FROM grown),
+plain AS (SELECT alert, series, ts_ms, max(x) FILTER (role = 'main') AS a, max(x) FILTER (role = 'other') AS b, bool_or(role = 'other') AS two FROM derived WHERE le IS NULL GROUP BY ALL),
+ranked AS (SELECT *, coalesce(lag(le) OVER w, 0) AS ple, coalesce(lag(x) OVER w, 0) AS pn, max(x) OVER (PARTITION BY alert, series, ts_ms) AS total
+  FROM derived WHERE le IS NOT NULL WINDOW w AS (PARTITION BY alert, series, ts_ms ORDER BY le)),
+points AS (
+  SELECT alert, series, ts_ms, CASE WHEN two THEN CASE WHEN b <> 0 THEN a / b WHEN a > 0 THEN 'infinity'::DOUBLE END ELSE a END AS value FROM plain
+  UNION ALL SELECT alert, series, ts_ms, CASE WHEN total > 0 THEN CASE WHEN isinf(le) THEN ple WHEN x = pn THEN le ELSE ple + (le - ple) * (total * 0.95::DOUBLE - pn) / (x - pn) END END
+  FROM ranked WHERE x >= total * 0.95::DOUBLE QUALIFY row_number() OVER (PARTITION BY alert, series, ts_ms ORDER BY le) = 1),
+judge AS MATERIALIZED (
+  SELECT alert, series, ts_ms, severity, hold, value, coalesce(CASE op WHEN '<' THEN value < thr WHEN '>' THEN value > thr ELSE value = thr END, false) AS holds
+  FROM points JOIN (SELECT * FROM rules WHERE role = 'main') USING (alert))"""
 
 
 @query("alert_rules", with_ticks("""
-SELECT alert, series, ts_ms, severity, holds, CASE WHEN holds THEN since END AS active_since_ms, holds AND ts_ms - since >= hold AS firing
+SELECT alert, series, ts_ms, severity, CASE WHEN isinf(value) THEN -1 ELSE round(value, 6) END AS value, holds, CASE WHEN holds THEN since END AS active_since_ms, holds AND ts_ms - since >= hold AS firing
 FROM (SELECT *, min(ts_ms) OVER (PARTITION BY alert, series, island, holds) AS since
-      FROM (SELECT *, sum(CAST(NOT holds AS INTEGER)) OVER (PARTITION BY alert, series ORDER BY ts_ms) AS island FROM judge))""",
-    FEAT_SQL, SIMPLE_SQL, SCORED_SQL))
+      FROM (SELECT *, sum(CAST(NOT holds AS INTEGER)) OVER (PARTITION BY alert, series ORDER BY ts_ms) AS island FROM judge))""", platform_sql()))
 def alert_rules(spark, sf):
-    out = M.alert_rules(gauges(spark, sf), M.rule_table(spark, TEST_RULES), SERIES)
-    return out.select("alert", "series", "ts_ms", "severity", "holds", "active_since_ms", "firing")
+    out = M.alert_rules(platform_samples(spark, sf), M.rule_table(spark, STRETCHED), SERIES)
+    value = F.when(F.col("value") == float("inf"), -1.0).otherwise(r(F.col("value"), 6))
+    return out.select("alert", "series", "ts_ms", "severity", value.alias("value"), "holds", "active_since_ms", "firing")
 
 
 @query("metrics_text_parse", with_ticks("""
