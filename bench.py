@@ -20,6 +20,7 @@ HEADLINE = [
     "score_ticks", "validated_tick", "align_tumbling", "lkv_fill", "consensus_class", "candles_multi", "indicator_snapshot", "trade_signal",
     "order_flow_imbalance", "mad_detector", "cusum_detector", "ewma_detector", "decision_gate", "risk_checks", "risk_breaker", "fill_cost",
     "scenario_sweep", "detection_rates", "sharpe", "trust_statistics", "verify_chain", "alert_rules", "counter_rate", "normalize_binance",
+    "quality_events", "ingestion_summary", "quarantine_consensus", "position_ledger", "build_chain", "stream_score",
 ]
 
 

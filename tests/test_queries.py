@@ -6,7 +6,7 @@ from tests.oracle import connect, difference
 from tidewatch.workload import load
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["candles", "validated_tick", "decision_gate", "rsi", "risk_checks", "verify_chain", "alert_rules", "stream_candles", "normalize_okx", "trust_statistics", "stream_signals", "scan_kline_archive", "default_zero", "merge_deltas", "compare_runs", "write_equity_curve", "write_trade_ledger"]
+NAMES = ["candles", "validated_tick", "decision_gate", "rsi", "risk_checks", "verify_chain", "alert_rules", "stream_candles", "normalize_okx", "trust_statistics", "stream_signals", "scan_kline_archive", "default_zero", "merge_deltas", "compare_runs", "write_equity_curve", "write_trade_ledger", "verify_segments", "stream_audit", "stream_late_counts", "counter_increase"]
 
 
 @pytest.mark.parametrize("name", NAMES)
