@@ -1,8 +1,10 @@
 """The training-data operators against brute force, exact round trips and odd inputs."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -190,6 +192,58 @@ def test_secret_spans(spark, odd, none):
     assert randomness.find_secrets(odd).count() == odd.count() and randomness.find_secrets(none).count() == 0
 
 
+def plain_battery(value: str) -> tuple[str, int, float]:
+    """Encoding, length and p-value of one string, by exact normal tails."""
+    body = value.rstrip("=")
+    name, alphabet = next((k, a) for k, a in randomness.ENCODINGS.items() if set(body) <= set(a))
+    n, size, at = len(body), len(alphabet), [alphabet.index(c) for c in body]
+    df, chi = size - 1, sum(size / n * body.count(c) ** 2 for c in set(body)) - n
+    z1 = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [2 * v >= size for v in at]
+    n1, n2, runs = sum(high), n - sum(high), 1 + sum(x != y for x, y in zip(high, high[1:]))
+    z2 = 9.0 if n1 * n2 < 2 else (runs - 1 - 2 * n1 * n2 / n) / math.sqrt(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)))
+    mean = sum(at) / n
+    low = sum((v - mean) ** 2 for v in at)
+    z3 = 9.0 if not low else sum((x - mean) * (y - mean) for x, y in zip(at, at[1:])) / low * math.sqrt(n) + 1 / math.sqrt(n)
+    tail = lambda z: max(1e-300, math.erfc(z / math.sqrt(2)) / 2)
+    h = -math.log(tail(z1)) - math.log(2 * tail(abs(z2))) - math.log(2 * tail(abs(z3)))
+    return name, n, min(1.0, math.exp(-h) * (1 + h + h * h / 2))
+
+
+def test_battery_equals_a_plain_reading(spark):
+    rng = random.Random(11)
+    values = ["".join(rng.choices(a, k=rng.choice([20, 33, 64, 300]))) + "=" * rng.randint(0, 2) for a in randomness.ENCODINGS.values() for _ in range(25)]
+    values += ["user_profile_settings_page_2", "a" * 40, "ab" * 20, "0123456789" * 4]
+    got = spark.createDataFrame([(v,) for v in values], "value string").selectExpr("value", f"{randomness.battery('value')} AS test").collect()
+    for r in got:
+        name, n, p = plain_battery(r["value"])
+        # the curve that stands for the normal tail is right to 2e-4 in each of three tests
+        assert (r["test"]["encoding"], r["test"]["length"]) == (name, n) and abs(r["test"]["p"] - p) < 0.02, (r, p)
+
+
+def test_texts_of_very_many_matches(spark):
+    rng = random.Random(13)
+    parts = [rng.choice(["password=" + "x" * rng.randint(4, 8), "%026x" % rng.getrandbits(104), "AKIA" + "Z" * 17, "é", "team/my-" + "Ab1" * 9]) for _ in range(40_000)]
+    texts = [" ".join(parts), None, "AKIA" + "Z" * 17, "secret=ab"]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (4, texts[3])], "doc_id long, text string")
+    start = time.time()
+    got = sorted(([[(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "random"], r["doc_id"]] for r in randomness.find_secrets(df).collect()), key=str)
+    assert time.time() - start < 60  # products of the matches of a text would take many minutes
+    assert got == sorted([[brute_secrets(texts[0]), 1], [[], 1], [[("access", 0, 21)], None], [[("access", 0, 21)], None], [[], 4]], key=str)
+
+
+def test_planted_keys_reach_the_query(spark, tmp_path):
+    rng = random.Random(17)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    keys = {k: "".join(rng.choices(alphabet, k=44)) for k in range(10**9, 10**9 + 40)}
+    planted = spark.createDataFrame([(k, f"deploy with {v} as before") for k, v in keys.items()], "doc_id long, text string")
+    docs.unionByName(planted, allowMissingColumns=True).select(docs.columns).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in queries.op8(spark, str(tmp_path)).collect()}
+    assert len(got) == docs.count() + 40
+    assert sum(got[k] == "random:12:56" for k in keys) >= 34 and sum("random:" in v for k, v in got.items() if k not in keys) <= 4
+
+
 def test_random_strings_are_found_in_bands_of_any_count(spark):
     rng = random.Random(7)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -18,13 +18,16 @@ of each tail); the threshold is the least one that keeps them at or below the sh
 of that difference. In simulated bands of 1, 10, 100 and 1,000 random strings 100, 92, 99 and 100 % of those that pass by themselves are
 accepted; bands in which words pass too get higher thresholds.
 
+Matches leave their text as rows: running sums give their places, running extremes tell which strings touch a span, so the time grows with
+the matches of a text as a sort does. A very long text is scanned by one task; its spans come back as one array of the result.
+
 Positions are code points, ends exclusive. Defined results: null and empty texts have no spans; repeated rows are scanned
 each; a null id is returned as null; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.plans.store import materialise
@@ -38,9 +41,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 MIN_LENGTH = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
-#: A run that fits no alphabet, and the pieces into which it is cut: at all four signs, at the standard ones, at the URL-safe ones.
-MIXED = "(?=.*[+/])(?=.*[_-])"
-PIECES = {name: rf"(?<![{signs}])[{signs}]{{{MIN_LENGTH},}}={{0,2}}" for name, signs in (("inner", "A-Za-z0-9"), ("url_piece", "A-Za-z0-9_-"), ("standard_piece", "A-Za-z0-9+/"))}
+#: The pieces of a run that fits no alphabet: between all four signs, and those between the standard or the URL-safe ones that hold no such piece.
+_INNER = f"[A-Za-z0-9]{{{MIN_LENGTH}}}"
+PIECES = {
+    "inner": rf"(?<![A-Za-z0-9]){_INNER}[A-Za-z0-9]*={{0,2}}",
+    **{name: rf"(?<![{signs}])(?![{signs}]*?{_INNER})[{signs}]{{{MIN_LENGTH},}}={{0,2}}" for name, signs in (("url_piece", "A-Za-z0-9_-"), ("standard_piece", "A-Za-z0-9+/"))},
+}
 #: Alphabets in the order in which they are tried.
 ENCODINGS = {
     "hex_lower": "0123456789abcdef",
@@ -62,18 +68,19 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def spans(kind: str, pattern: str) -> Column:
-    """``array<struct<kind,start,end,value>>`` of the matches of a pattern in ``text``: the pieces between matches give the places."""
-    text = "coalesce(text, '')"
-    found = f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"
-    pieces = f"split({text}, {_quoted(pattern)}, -1)"
-    return F.expr(f"""
-      CASE WHEN size({found}) = 0 THEN cast(array() AS array<struct<kind:string,start:int,end:int,value:string>>) ELSE
-      aggregate(arrays_zip({found} AS m, slice({pieces}, 1, size({found})) AS p),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<kind:string,start:int,end:int,value:string>>)),
-        (s, x) -> named_struct('at', s.at + length(x.p) + length(x.m),
-          'out', array_append(s.out, named_struct('kind', '{kind}', 'start', s.at + length(x.p), 'end', s.at + length(x.p) + length(x.m), 'value', x.m))),
-        s -> s.out) END""".replace(" AS m", "").replace(" AS p", "").replace("x.m", "x['0']").replace("x.p", "x['1']"))
+def matches(kind: str, pattern: str, text: str) -> str:
+    """SQL for ``array<struct<kind,gap,value>>``: the matches of a pattern in order, each with the characters since the one before."""
+    pieces = f"zip_with(found, split({text}, {_quoted(pattern)}, -1), (m, p) -> named_struct('kind', '{kind}', 'gap', length(p), 'value', m))"
+    none = "cast(array() AS array<struct<kind:string,gap:int,value:string>>)"
+    return f"element_at(transform(array(regexp_extract_all({text}, {_quoted(pattern)}, 0)), found -> CASE WHEN size(found) = 0 THEN {none} ELSE filter({pieces}, x -> x.value IS NOT NULL) END), 1)"
+
+
+def located(rows: DataFrame, found: list[str], within: list[str], at: Column) -> DataFrame:
+    """A row per match of the arrays ``found``: ``(row, id, kind, start, end, value)``; gaps and lengths are summed up from ``at``."""
+    each = rows.select("row", "id", *within, F.posexplode(F.expr(f"concat({', '.join(found)})")).alias("pos", "m")).select("row", "id", *within, "pos", "m.*")
+    so_far = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", *within, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = (at + so_far).cast("int")
+    return each.repartition("row").select("row", "id", "kind", (end - F.length("value")).alias("start"), end.alias("end"), "value")
 
 
 def _upper_tail(z: str) -> str:
@@ -108,27 +115,34 @@ def battery(value: str) -> str:
 
 
 #: Least p-value of a single string, and p-values of those that pass, even from 0 to 1 if they are random.
-_LEAST = "(1D / x.test.length)"
-_SCALED = f"((x.test.p - {_LEAST}) / (1 - {_LEAST}))"
-_CELL = f"concat(x.test.encoding, ':', cast(floor(log2(x.test.length)) AS int))"
+_LEAST = "(1D / test.length)"
+_SCALED = f"((test.p - {_LEAST}) / (1 - {_LEAST}))"
+_CELL = "concat(test.encoding, ':', cast(floor(log2(test.length)) AS int))"
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, base, candidates)``: spans of the patterns, and tested candidates that overlap none of them; texts are left behind."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", "text", spans("assign", ASSIGN).alias("assign"), spans("access", ACCESS).alias("access"), spans("hex", HEX).alias("hex"), spans("random", CANDIDATE).alias("other"))
-    rows = rows.withColumn("assign", F.expr(f"filter(assign, x -> length(regexp_extract(x.value, {_quoted(ASSIGN_VALUE)}, 1)) >= 6)"))
-    rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    within = "y.start <= x.start AND x.end <= y.end"
-    rows = rows.withColumn("mixed", F.expr(f"filter(other, x -> rlike(x.value, '{MIXED}'))"))
-    some = F.expr("size(mixed) > 0")  # few texts have such runs, the others are not searched again
-    rows = rows.select("*", *[F.when(some, spans("random", pattern)).otherwise(F.expr("slice(mixed, 1, 0)")).alias(name) for name, pattern in PIECES.items()])
-    rows = rows.withColumn("inner", F.expr(f"filter(inner, x -> exists(mixed, y -> {within}))"))
-    outer = f"filter(array_union(url_piece, standard_piece), x -> exists(mixed, y -> {within}) AND NOT exists(inner, y -> x.start <= y.start AND y.end <= x.end))"
-    rows = rows.withColumn("other", F.expr(f"CASE WHEN size(mixed) = 0 THEN other ELSE concat(array_except(other, mixed), inner, {outer}) END"))
-    free = "filter(other, x -> rlike(x.value, '[0-9]') AND rlike(x.value, '[A-Za-z]') AND NOT exists(base, y -> y.start < x.end AND x.start < y.end))"
-    tested = f"filter(transform({free}, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, 'test', {battery('x.value')})), x -> x.test IS NOT NULL)"
-    return rows.select("id", "base", F.expr(tested).alias("candidates"))
+    """``(row, id, matches)``: one row per text with the matches of all patterns; texts are left behind."""
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.expr(f"concat({', '.join(matches(k, p, 'text') for k, p in patterns.items())})").alias("matches"))
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """``(row, id, kind, start, end, value, test)``: spans of the patterns, and tested strings that overlap none of them."""
+    found = materialise(located(scanned.where("size(matches) > 0"), ["matches"], [], F.lit(0)))
+    base = found.where("kind <> 'random'").where(f"kind <> 'assign' OR length(regexp_extract(value, {_quoted(ASSIGN_VALUE)}, 1)) >= 6")
+    mixed = F.expr("value rlike '[+/]' AND value rlike '[_-]'")
+    runs = found.where("kind = 'random'")
+    parts = [matches(name, pattern, "value") for name, pattern in PIECES.items()]
+    pieces = located(runs.where(mixed).withColumnRenamed("start", "at"), parts, ["at"], F.col("at")).withColumn("kind", F.lit("random"))
+    strings = runs.where(~mixed).unionByName(pieces).where("value rlike '[0-9]' AND value rlike '[A-Za-z]'")
+    # a string is free if no span that starts before it reaches into it and the next one starts behind it
+    spans, by_start = F.col("kind") != "random", Window.partitionBy("row").orderBy
+    reach = F.max(F.when(spans, F.col("end"))).over(by_start("start"))
+    following = F.min(F.when(spans, F.col("start"))).over(by_start(F.desc("start")))
+    free = base.unionByName(strings).withColumns({"reach": reach, "following": following}).where(
+        "kind <> 'random' OR (coalesce(reach, 0) <= start AND coalesce(following, end) >= end)")
+    return free.select("row", "id", "kind", "start", "end", "value", F.expr(f"CASE WHEN kind = 'random' THEN {battery('value')} END").alias("test"))
 
 
 def least_cell(n: list[int], fdr: float = FDR) -> int | None:
@@ -140,9 +154,9 @@ def least_cell(n: list[int], fdr: float = FDR) -> int | None:
     return None
 
 
-def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, float]:
+def thresholds(tested: DataFrame, fdr: float = FDR) -> dict[str, float]:
     """Least accepted scaled p-value by encoding and length band; bands that accept nothing are missing."""
-    one = scanned.select(F.explode("candidates").alias("x")).select(F.expr(_CELL).alias("band"), F.expr(_SCALED).alias("scaled")).where("scaled >= 0")
+    one = tested.where("kind = 'random'").select(F.expr(_CELL).alias("band"), F.expr(_SCALED).alias("scaled")).where("scaled >= 0")
     one = one.select("band", F.least(F.floor(F.col("scaled") * CELLS), F.lit(CELLS - 1)).alias("cell"))
     counts: dict[str, list[int]] = {}
     for r in one.groupBy("band", "cell").count().collect():  # encodings x length bands x cells, whatever the input
@@ -154,12 +168,17 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, float]:
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """``id_col, spans`` with ``spans array<struct<kind,start,end,value>>`` by start, then kind in the order of ``KINDS``."""
     scanned = materialise(scan(docs, id_col, text_col))
-    least = thresholds(scanned, fdr)
+    tested = materialise(candidates(scanned))
+    least = thresholds(tested, fdr)
     table = "map(" + ", ".join(f"'{k}', {v}D" for k, v in sorted(least.items())) + ")" if least else "cast(map() AS map<string,double>)"
-    random = f"transform(filter(candidates, x -> {_SCALED} >= coalesce({table}[{_CELL}], 2D)), x -> named_struct('kind', 'random', 'start', x.start, 'end', x.end, 'value', x.value))"
-    rank = f"array_position(array({', '.join(repr(k) for k in KINDS)}), %s.kind)"
-    order = f"(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE cast({rank % 'a'} - {rank % 'b'} AS int) END"
-    return scanned.select(F.col("id").alias(id_col), F.expr(f"array_sort(concat(base, {random}), {order})").alias("spans"))
+    rank = f"array_position(array({', '.join(repr(k) for k in KINDS)}), kind)"
+    kept = tested.where(f"kind <> 'random' OR {_SCALED} >= coalesce({table}[{_CELL}], 2D)").select("row", "id", F.struct("start", F.expr(rank).alias("rank"), "end", "kind", "value").alias("span"))
+    # texts without a match are not shuffled; one whose matches all fail keeps its row through a null span
+    some = scanned.where("size(matches) > 0").select("row", "id", F.lit(None).cast(kept.schema["span"].dataType).alias("span")).unionByName(kept)
+    spans = some.groupBy("row", "id").agg(F.sort_array(F.collect_list("span")).alias("spans")).select(
+        F.col("id").alias(id_col), F.expr("transform(spans, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'value', x.value))").alias("spans"))
+    none = scanned.where("size(matches) = 0").select(F.col("id").alias(id_col), F.array().cast(spans.schema["spans"].dataType).alias("spans"))
+    return none.unionByName(spans)
 
 
 def digest(spans_col: str) -> str:
