@@ -220,6 +220,24 @@ def test_ledger_exits(spark):
         assert [r.position for r in out] == pytest.approx([0.2, 0.2, 0, -0.2, -0.2, 0.2, 0])
 
 
+def test_open_positions_close_at_the_end(spark):
+    rows = [("X", i, i, m, s, 0.2, None, None) for i, (m, s) in enumerate([(100.0, "LONG"), (103.0, None), (101.0, "SHORT"), (99.0, None)])]
+    rows += [("Y", 0, 7, 50.0, "LONG", 0.1, None, None), ("Y", 1, 8, 51.0, "CLOSE_ALL", None, None, None), ("Z", 0, 9, 10.0, "SHORT", 0.3, None, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts_ms long, tick_id long, mid double, direction string, size_pct double, stop double, target double")
+    layout = Layout(slot_ms=3, fold_rows=2)
+    out = backtest.close_at_end(backtest.position_ledger(df, layout), layout)
+    ends = {r.symbol: r for r in out.where("closing = 1").collect()}
+    assert set(ends) == {"X", "Z"} and all(r.exit_reason == "END_OF_RUN" and r.position == 0 and r.entry_price is None for r in ends.values())
+    # a short of 0.2 opened at 101 and closed at 99; one that opens on the last tick pays both fees
+    assert ends["X"].realised == pytest.approx(0.2 * 2 / 101 - 0.0002) and (ends["X"].ts_ms, ends["X"].tick_id, ends["X"].mid) == (3, 3, 99.0)
+    assert ends["Z"].realised == pytest.approx(-0.0003)
+    curve = backtest.equity_curve(out, layout.with_(order=("ts_ms", "tick_id", "closing")))
+    final = {r.symbol: r.equity for r in curve.where("closing = 1").collect()}
+    cash = {r.symbol: r.cash for r in out.groupBy("symbol").agg(F.sum("cash_change").alias("cash")).collect()}
+    assert out.count() == 9 and final == pytest.approx({s: 1 + cash[s] for s in ends})
+    assert backtest.close_at_end(backtest.position_ledger(df.limit(0), layout), layout).count() == 0
+
+
 def test_sign_flip_p_value(spark):
     rnd = random.Random(2)
     rows = [("up", i, 1.0 + rnd.random()) for i in range(200)] + [("flat", i, rnd.uniform(-1, 1)) for i in range(200)]

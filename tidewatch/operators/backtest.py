@@ -222,6 +222,21 @@ def position_ledger(rows: DataFrame, layout: Layout = TICKS, *, fee: float = 0.0
     )
 
 
+def close_at_end(ledger: DataFrame, layout: Layout = TICKS, *, fee: float = 0.001) -> DataFrame:
+    """Add a row for each key whose position is open after its last tick: it closes at that price, for the fee of one side.
+
+    The row carries key, order columns and ``mid`` of the last tick, ``exit_reason`` END_OF_RUN and ``closing`` 1 (0 for ticks), the last
+    order column of a curve; other columns are null. Keys without an open position get no row.
+    """
+    last = ledger.groupBy(*layout.keys).agg(F.max(F.struct(*layout.order, "mid", "position", "entry_price")).alias("_last"))
+    held, mid, entry = (F.col(f"_last.{c}") for c in ("position", "mid", "entry_price"))
+    realised = held * (mid - entry) / entry - F.abs(held) * fee
+    closing = last.where(held != 0).select(
+        *layout.keys, *[F.col(f"_last.{c}").alias(c) for c in (*layout.order, "mid")], F.lit(0.0).alias("position"), F.lit("END_OF_RUN").alias("exit_reason"),
+        realised.alias("realised"), realised.alias("cash_change"), F.lit(1).alias("closing"))
+    return ledger.withColumn("closing", F.lit(0)).unionByName(closing, allowMissingColumns=True)
+
+
 def equity_curve(ledger: DataFrame, layout: Layout = TICKS, *, capital: float = 1.0) -> DataFrame:
     """Capital plus cash so far plus the open position's unrealised result."""
     out = running(ledger, layout, _cash=Scan("sum", F.col("cash_change")))

@@ -19,8 +19,10 @@ def _test_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the session's ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """Folder named by the session's ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs in one process (tests)."""
     folder = spark.conf.get(_SETTING, None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
     return (folder or _test_folder()).rstrip("/")
 
 

@@ -141,12 +141,37 @@ def ledger(spark, sf):
     side = F.when(F.col("k") % 20 == 0, "LONG").when(F.col("k") % 20 == 1, "SHORT").when(F.col("k") == 50, "CLOSE_ALL")
     rows = t.select("symbol", "ts_ms", "tick_id", "mid", side.alias("direction"), F.lit(0.2).alias("size_pct"),
                     (F.col("mid") - F.when(F.col("k") % 20 == 1, -0.2).otherwise(0.2)).alias("stop"), (F.col("mid") + F.when(F.col("k") % 20 == 1, -0.3).otherwise(0.3)).alias("target"))
-    return B.position_ledger(rows, LAYOUT)
-
-
-@query("position_ledger")
+    return B.close_at_end(B.position_ledger(rows, LAYOUT), LAYOUT)
+
+
+# One position per symbol as a recursion over row numbers; what is still open after the last tick closes in a row of its own.
+LEDGER_CTES = ("""orders AS MATERIALIZED (
+  SELECT symbol, tick_id, mid, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, tick_id) AS rn, CASE k % 20 WHEN 0 THEN 1 WHEN 1 THEN -1 END AS wanted, k = 50 AND k % 20 > 1 AS leave,
+    mid - CASE WHEN k % 20 = 1 THEN -0.2::DOUBLE ELSE 0.2::DOUBLE END AS stop, mid + CASE WHEN k % 20 = 1 THEN -0.3::DOUBLE ELSE 0.3::DOUBLE END AS target FROM ticks)""", """
+book AS (
+  SELECT symbol, 0::BIGINT AS rn, CAST(NULL AS BIGINT) AS tick_id, NULL::DOUBLE AS mid, NULL::INTEGER AS side, NULL::DOUBLE AS entry, NULL::DOUBLE AS stop, NULL::DOUBLE AS target,
+    NULL::VARCHAR AS exit_reason, NULL::DOUBLE AS realised, 0::DOUBLE AS cash FROM (SELECT DISTINCT symbol FROM orders)
+  UNION ALL
+  SELECT symbol, rn, tick_id, mid, CASE WHEN opens THEN wanted WHEN exit_reason IS NULL THEN side END, CASE WHEN opens THEN mid WHEN exit_reason IS NULL THEN entry END,
+    CASE WHEN opens THEN new_stop WHEN exit_reason IS NULL THEN stop END, CASE WHEN opens THEN new_target WHEN exit_reason IS NULL THEN target END,
+    exit_reason, realised, coalesce(realised, 0) - CASE WHEN opens THEN 0.2::DOUBLE * 0.001::DOUBLE ELSE 0 END
+  FROM (SELECT *, wanted IS NOT NULL AND (side IS NULL OR exit_reason IS NOT NULL) AS opens,
+          CASE WHEN exit_reason IS NOT NULL THEN 0.2::DOUBLE * side * (mid - entry) / entry - 0.2::DOUBLE * 0.001::DOUBLE END AS realised
+        FROM (SELECT o.symbol, o.rn, o.tick_id, o.mid, o.wanted, o.stop AS new_stop, o.target AS new_target, b.side, b.entry, b.stop, b.target,
+                CASE WHEN (o.mid - b.stop) * b.side <= 0 THEN 'STOP_HIT' WHEN (o.mid - b.target) * b.side >= 0 THEN 'TP_HIT' WHEN b.side IS NOT NULL AND o.leave THEN 'CLOSE_ALL'
+                     WHEN o.wanted = -b.side THEN 'FLIP' END AS exit_reason
+              FROM book b JOIN orders o ON o.symbol = b.symbol AND o.rn = b.rn + 1)))""", """
+final AS (
+  SELECT symbol, tick_id, 0 AS closing, coalesce(0.2::DOUBLE * side, 0) AS position, entry, realised, cash, exit_reason FROM book WHERE rn > 0
+  UNION ALL
+  SELECT symbol, tick_id, 1, 0, NULL, result, result, 'END_OF_RUN'
+  FROM (SELECT *, 0.2::DOUBLE * side * (mid - entry) / entry - 0.2::DOUBLE * 0.001::DOUBLE AS result FROM book JOIN (SELECT symbol, max(rn) AS rn FROM orders GROUP BY symbol) USING (symbol, rn) WHERE side IS NOT NULL))""")
+
+
+@query("position_ledger", with_ticks("""SELECT symbol, tick_id, closing, round(position, 8) + 0.0 AS position, round(entry, 8) AS entry_price, round(realised, 8) + 0.0 AS realised,
+  round(cash, 8) + 0.0 AS cash_change, exit_reason FROM final""", *LEDGER_CTES))
 def position_ledger(spark, sf):
-    return ledger(spark, sf).select("symbol", "tick_id", *[r(F.col(c)).alias(c) for c in ("position", "entry_price", "realised", "cash_change")], "exit_reason")
+    return ledger(spark, sf).select("symbol", "tick_id", "closing", *[r(F.col(c)).alias(c) for c in ("position", "entry_price", "realised", "cash_change")], "exit_reason")
 
 
 @query("equity_curve", with_ticks("""

@@ -307,12 +307,36 @@ def observed(spark, sf):
     return R.risk_breaker(obs.withColumn("pnl", F.col("pnl_u") / 1_000_000.0), PORTFOLIO)
 
 
-@query("risk_breaker")
+# Peak, fall and daily limit do not depend on the breaker; its state, pause, losses and calm rows are a recursion over row numbers.
+BREAKER_SQL = f"""WITH RECURSIVE {EQUITY_SQL},
+seen AS MATERIALIZED (
+  SELECT *, greatest(0, (peak - equity) / peak) AS fall, event_id % 40 = 0 AS upstream_halt FROM (
+    SELECT *, row_number() OVER w AS rn, greatest(1.0::DOUBLE, max(equity) OVER w) AS peak, bool_or(equity <= 1.0::DOUBLE - 0.08::DOUBLE) OVER w AS halted
+    FROM eq WINDOW w AS (PARTITION BY portfolio ORDER BY ts_ms, event_id))),
+breaker AS (
+  SELECT portfolio, 0::BIGINT AS rn, 0::BIGINT AS event_id, 'NORMAL' AS state, '' AS reason, CAST(NULL AS BIGINT) AS until, 0 AS losses, 0 AS calm FROM (SELECT DISTINCT portfolio FROM seen)
+  UNION ALL
+  SELECT portfolio, rn, event_id,
+    CASE WHEN halted OR upstream_halt THEN 'HALTED' WHEN recovers THEN 'NORMAL' WHEN losses >= 5 THEN 'HALTED' WHEN hit THEN 'REDUCED' ELSE 'NORMAL' END,
+    CASE WHEN halted THEN 'daily_loss_limit' WHEN upstream_halt THEN 'upstream_halt' WHEN recovers THEN 'recovered' WHEN losses >= 5 THEN 'loss_streak_pause'
+         WHEN losses >= 3 THEN 'loss_streak_reduced' WHEN hit THEN 'drawdown_reduced' ELSE 'normal' END,
+    CASE WHEN recovers THEN NULL WHEN starts THEN ts_ms + 1800000 ELSE until END, CASE WHEN recovers THEN 0 ELSE losses END, CASE WHEN recovers THEN 0 ELSE calm END
+  FROM (SELECT *, NOT halted AND NOT upstream_halt AND calm >= 10 AND NOT starts AND (hit OR was <> 'NORMAL') AS recovers
+        FROM (SELECT *, hit AND until IS NULL AND NOT halted AND NOT upstream_halt AS starts
+              FROM (SELECT *, losses >= 3 OR fall >= 0.03::DOUBLE AS hit
+                    FROM (SELECT s.portfolio, s.rn, s.event_id, s.ts_ms, s.fall, s.halted, s.upstream_halt, b.state AS was, b.until, CASE WHEN s.pnl_u < 0 THEN b.losses + 1 ELSE 0 END AS losses,
+                            CASE WHEN NOT s.halted AND NOT s.upstream_halt AND s.fall < 0.03::DOUBLE AND (b.until IS NULL OR s.ts_ms >= b.until) THEN b.calm + 1 ELSE 0 END AS calm
+                          FROM breaker b JOIN seen s ON s.portfolio = b.portfolio AND s.rn = b.rn + 1)))))
+"""
+
+
+@query("risk_breaker", BREAKER_SQL + "SELECT portfolio, event_id, state AS breaker_state, reason AS breaker_reason FROM breaker WHERE rn > 0")
 def risk_breaker(spark, sf):
     return observed(spark, sf).select("portfolio", "event_id", "breaker_state", "breaker_reason")
 
 
-@query("breaker_transitions")
+@query("breaker_transitions", BREAKER_SQL + """SELECT portfolio, was AS from_value, state AS to_value, count(*) AS n
+FROM (SELECT *, lag(state) OVER (PARTITION BY portfolio ORDER BY rn) AS was FROM breaker WHERE rn > 0) WHERE was <> state GROUP BY ALL""")
 def breaker_transitions(spark, sf):
     return A.transitions(observed(spark, sf).drop("_rn"), "breaker_state", PORTFOLIO)
 
