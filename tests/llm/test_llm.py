@@ -102,10 +102,29 @@ def test_exact_groups(odd, none):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(4000).select(F.xxhash64("id").alias("hash"), F.lit(100).alias("size"))
-    slots, bits = exact.directory(entries, 20_000)
-    load = entries.withColumn("slot", exact._slot(bits)).join(slots, "slot").groupBy("bucket").agg(F.sum("size").alias("s")).collect()
-    assert len(load) >= 20 and all(r["s"] <= 20_000 for r in load)
+    spread = spark.range(4000).select(F.xxhash64("id").alias("hash"), F.lit(100).alias("size"))
+    # hashes that agree in their first 24 bits, one hash that overfills a bucket by itself, and negative ones
+    crowded = spread.union(spark.range(1000).select(F.shiftleft("id", 30), F.lit(100))).union(spark.createDataFrame([(-5, 90_000), (-6, 10)], "hash long, size int"))
+    for entries, limit in ((spread, 20_000), (crowded, 5_000)):
+        slots = exact.directory(entries, limit)
+        load = slots.route(entries).groupBy(*exact.BUCKET).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        assert len(load) >= 20 and all(r["s"] <= limit or r["n"] == 1 for r in load) and sum(r["n"] for r in load) == entries.count()
+
+
+def test_exact_groups_of_every_size(spark):
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("ab \t\n", k=rng.randint(0, 7))) for _ in range(600)] + ["same words", "same  words"] * 300 + [None, "x" * 5000, "x" * 5000 + " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    groups: dict = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append(i)
+    want = {}
+    for norm, ids in groups.items():
+        keep = min(ids, key=lambda i: (-len(texts[i] or ""), i))
+        want.update({i: (keep, len(ids), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i in ids})
+    for sizes in ({}, {"bucket_bytes": 200, "hot_rows": 5}, {"bucket_bytes": 1, "hot_rows": 10**9}):
+        got = exact.exact_duplicates(df, **sizes).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got} == want and len(got) == len(texts)
 
 
 def brute_components(texts: dict) -> dict:
