@@ -107,7 +107,7 @@ def test_directory_splits_overfull_buckets(spark):
     crowded = spread.union(spark.range(1000).select(F.shiftleft("id", 30), F.lit(100))).union(spark.createDataFrame([(-5, 90_000), (-6, 10)], "hash long, size int"))
     for entries, limit in ((spread, 20_000), (crowded, 5_000)):
         slots = exact.directory(entries, limit)
-        load = slots.route(entries).groupBy(*exact.BUCKET).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        load = slots.route(entries).groupBy(exact.BUCKET).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
         assert len(load) >= 20 and all(r["s"] <= limit or r["n"] == 1 for r in load) and sum(r["n"] for r in load) == entries.count()
 
 

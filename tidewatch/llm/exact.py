@@ -33,7 +33,8 @@ from tidewatch.plans.store import broadcast_if_small, materialise
 BUCKET_BYTES = 8 << 20
 #: Rows of one hash that go to its owner without being merged before.
 HOT_ROWS = 1000
-BUCKET = ["depth", "slot"]
+#: A bucket is named by the least hash it can hold. One column, as a constant beside it would cost a second shuffle of the texts.
+BUCKET = "bucket"
 
 
 def normalised(text: Column) -> Column:
@@ -58,12 +59,12 @@ class Directory:
     splits: list[DataFrame]
 
     def route(self, rows: DataFrame) -> DataFrame:
-        """Add ``depth, slot``, the bucket of ``hash``."""
+        """Add ``depth`` and ``bucket`` of ``hash``."""
         rows = rows.withColumn("depth", F.lit(self.first))
         for depth, full in enumerate(self.splits, self.first):
             rows = rows.join(full.select(F.col("slot").alias("_slot")), prefix(depth) == F.col("_slot"), "left")
             rows = rows.withColumn("depth", F.when(F.col("_slot").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("_slot")
-        return rows.withColumn("slot", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftrightunsigned(hash, 64 - depth) END"))
+        return rows.withColumn(BUCKET, F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftleft(shiftrightunsigned(hash, 64 - depth), 64 - depth) END"))
 
 
 def directory(heads: DataFrame, bucket_bytes: int) -> Directory:
@@ -82,7 +83,7 @@ def directory(heads: DataFrame, bucket_bytes: int) -> Directory:
 
 
 def build_index(rows: DataFrame, facts: DataFrame, bucket_bytes: int, hot_rows: int) -> tuple[DataFrame, Directory]:
-    """``(depth, slot, hash, chain, sha, size, keep_id, keep_points, group_size)``, written by the owners of the buckets, and the directory."""
+    """``(bucket, hash, chain, sha, size, keep_id, keep_points, group_size)``, written by the owners of the buckets, and the directory."""
     heads = materialise(facts.groupBy("hash").agg(F.max("size").alias("size"), F.count("*").alias("n")))
     slots = directory(heads, bucket_bytes)
     hot = materialise(heads.where((F.col("n") > hot_rows) | ((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes))).select("hash"))
@@ -92,20 +93,20 @@ def build_index(rows: DataFrame, facts: DataFrame, bucket_bytes: int, hot_rows:
     if not hot.isEmpty():
         listed = broadcast_if_small(hot)
         entries = entries.join(listed, "hash", "left_anti").unionByName(entries.join(listed, "hash", "left_semi").groupBy(*same).agg(*merge))
-    owned = slots.route(entries).repartition(*BUCKET).groupBy(*BUCKET, *same).agg(*merge)
-    told = owned.select(*BUCKET, "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("size"), "points", "id", "n")
+    owned = slots.route(entries).repartition(BUCKET).groupBy(BUCKET, *same).agg(*merge)
+    told = owned.select(BUCKET, "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("size"), "points", "id", "n")
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("unnamed"), F.col("id")))
-    groups = told.groupBy(*BUCKET, "hash", "sha", "size").agg(best.alias("best"), F.sum("n").alias("group_size"))
-    chain = F.row_number().over(Window.partitionBy(*BUCKET, "hash").orderBy("sha", "size"))
-    index = groups.select(*BUCKET, "hash", chain.alias("chain"), "sha", "size", F.col("best.id").alias("keep_id"), (-F.col("best.points")).alias("keep_points"), "group_size")
+    groups = told.groupBy(BUCKET, "hash", "sha", "size").agg(best.alias("best"), F.sum("n").alias("group_size"))
+    chain = F.row_number().over(Window.partitionBy(BUCKET, "hash").orderBy("sha", "size"))
+    index = groups.select(BUCKET, "hash", chain.alias("chain"), "sha", "size", F.col("best.id").alias("keep_id"), (-F.col("best.points")).alias("keep_points"), "group_size")
     return materialise(index), slots
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``id_col, keep_id, group_size, kept, text_sha256, text_hash, depth, slot, chain`` of every row; ``text_hash`` is xxhash64 of the text as it is."""
+    """``id_col, keep_id, group_size, kept, text_sha256, text_hash, depth, bucket, chain`` of every row; ``text_hash`` is xxhash64 of the text as it is."""
     rows = _rows(docs, id_col, text_col)
     facts = materialise(rows.select("id", "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("size"), "points", "text_hash"))
     index, slots = build_index(rows, facts, bucket_bytes, hot_rows)
-    found = slots.route(facts).join(index, [*BUCKET, "hash", "sha", "size"])
+    found = slots.route(facts).join(index, [BUCKET, "hash", "sha", "size"])
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "text_hash", *BUCKET, "chain")
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "text_hash", "depth", BUCKET, "chain")
