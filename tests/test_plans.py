@@ -13,7 +13,7 @@ from tidewatch.plans.frames import moments, range_moments
 from tidewatch.plans.layout import Layout
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.recurrence import Recurrence, horizon, recur
-from tidewatch.plans.scans import Scan, index_rows, over_range, over_rows, previous, running
+from tidewatch.plans.scans import Scan, index_rows, over_range, over_rows, previous, run_starts, running
 
 LAYOUT = Layout(slot_ms=50, chunk_rows=16, fold_rows=16)
 
@@ -262,3 +262,25 @@ def test_range_moments_equal_brute_force(spark, data, reach):
 def test_range_moments_of_no_rows(spark):
     empty = spark.createDataFrame([], "symbol string, ts_ms long, tick_id long, x double")
     assert range_moments(empty, LAYOUT, 50, "x", "m").collect() == []
+
+
+def test_range_moments_move_each_row_twice_and_only_wanted_columns(spark, frame):
+    out = range_moments(frame.withColumn("wide", F.repeat(F.col("tick_id").cast("string"), 50)), LAYOUT, 400, "x", "m")
+    plan = out.select("tick_id", "m.sd")._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Generate explode" in line or "Join" in line or "Window" in line]
+    assert moved and not any("wide" in line for line in plan.splitlines())
+    assert "array(true, false)" in plan or "[true,false]" in plan
+
+
+@pytest.mark.parametrize("slot", [1, 50, 100_000])
+def test_run_starts_equal_a_plain_loop(spark, data, slot):
+    rows = [(k, t, i, flag or t % 700 < 300) for k, t, i, _, flag in data]
+    df = spark.createDataFrame(rows, "symbol string, ts_ms long, tick_id long, holds boolean").repartition(5)
+    got = {r.tick_id: r.since for r in run_starts(df, LAYOUT.with_(slot_ms=slot), "holds", "since").collect()}
+    want = {}
+    for _, group in by_key(rows).items():
+        since = None
+        for _, t, i, holds in group:
+            since = (t if since is None else since) if holds else None
+            want[i] = since
+    assert got == want and any(v is not None for v in got.values())

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.layout import Layout
 
+#: Most slots of one time range. Shorter ones would cost a long range a summary for every few rows.
+SLOTS = 256
+
 
 def moments(df: DataFrame, w: WindowSpec, n: int, *, lagged: bool = False, **values: str) -> DataFrame:
     """Add a struct ``(n, mean, sd)`` per ``out=value`` over the last ``n`` rows, current one included.
@@ -71,26 +74,22 @@ def range_moments(df: DataFrame, layout: Layout, range_ms: int | Column, value:
     Time is cut into blocks as long as the range, so a range is the end of one block and the beginning of the next. A row
     enters its own block at its time and leaves the next block one range later: what entered up to ``t`` and what has yet to
     leave after ``t`` make up the range. Both sums only grow, so nothing cancels, and the work is linear in rows however many
-    a range holds. Slots split a block; one summary row per slot carries the sums across.
+    a range holds. Slots, at most ``SLOTS``, split a block; one summary row per slot carries the sums across.
 
     Rows of the same time see each other. Null values count as absent, and a row without a time sees nothing: ``n`` is 0 and
     the rest null where nothing was seen. ``sd`` is the deviation of the population. ``range_ms`` may be a column that is the same
     in all rows of a key.
     """
     ts, x, keys = F.col(layout.ts), F.col(value).cast("double"), list(layout.keys)
-    rest = [c for c in df.columns if c not in keys]
-    row, none = F.struct(*rest), F.lit(None).cast("double")
     reach = range_ms if isinstance(range_ms, Column) else F.lit(range_ms)
-    block = F.floor(ts / reach).cast("long")
-
-    def event(home: Column, at: Column, side: int) -> Column:
-        return F.struct(
-            home.alias("_block"), at.cast("long").alias("_at"), F.floor(F.pmod(at, reach) / F.lit(layout.slot_ms)).cast("long").alias("_slot"), F.lit(side).alias("_side"), (x if side == 1 else none).alias("_in"),
-            (x if side == 0 else none).alias("_off"), (row if side == 2 else F.when(F.lit(False), row)).alias("_row"))
-
-    read = event(block, ts, 2)
-    moves = F.array(event(block, ts, 1), event(block + 1, ts + reach, 0), read)
-    events = df.select(*keys, F.explode(F.when(x.isNotNull() & ts.isNotNull(), moves).otherwise(F.array(read))).alias("_e")).select(*keys, "_e.*")
+    enters, known = F.col("_enters"), x.isNotNull() & ts.isNotNull()
+    # A row is sent once as it enters, with its columns, and once more, as a bare value, as it leaves.
+    events = df.select("*", F.explode(F.when(known, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("_enters"))
+    at = ts + F.when(enters, F.lit(0)).otherwise(reach)
+    events = events.select(
+        *[F.col(c) if c in keys else F.when(enters, F.col(c)).alias(c) for c in df.columns], "_enters",
+        (F.floor(ts / reach).cast("long") + F.when(enters, F.lit(0)).otherwise(F.lit(1))).alias("_block"), at.cast("long").alias("_at"),
+        F.floor(F.pmod(at, reach) / F.greatest(F.lit(layout.slot_ms), reach / F.lit(SLOTS))).cast("long").alias("_slot"), F.when(enters & known, x).alias("_in"), F.when(~enters, x).alias("_off"))
 
     home = [*keys, "_block"]
     totals = events.groupBy(*home, "_slot").agg(*[
@@ -108,19 +107,30 @@ def range_moments(df: DataFrame, layout: Layout, range_ms: int | Column, value:
             ("n", F.col(f"n{c}")), ("t", F.col(f"t{c}")), ("s", F.col(f"n{c}") * (F.col(f"m{c}") - F.col("_mid"))),
             ("q", F.col(f"n{c}") * (F.col(f"v{c}") + F.pow(F.col(f"m{c}") - F.col("_mid"), 2))))])
 
-    rows = events.join(carried, [*home, "_slot"], "left")
+    # Inside a slot sums are taken about the slot's own mean and moved to the block's afterwards: the scans come before the join,
+    # which then finds its rows sorted and no longer has those that leave.
     cell = Window.partitionBy(*home, "_slot")
-    upto = cell.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    later = cell.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-
-    def seen(name: str, part) -> Column:
-        return sum((F.coalesce(F.sum(part(F.col(c))).over(frame), F.lit(0)) + F.coalesce(f"_{name}{c}", F.lit(0)) for c, frame in (("_in", upto), ("_off", later))), F.lit(0))
-
-    rows = rows.select(
-        *keys, "_row", "_side", "_mid", seen("n", lambda v: v.isNotNull().cast("long")).alias("_n"), seen("t", lambda v: v).alias("_t"),
-        seen("s", lambda v: v - F.col("_mid")).alias("_s"), seen("q", lambda v: F.pow(v - F.col("_mid"), 2)).alias("_q"))
-    n, some = F.col("_n"), F.col("_n") > 0
+    by_time = cell.orderBy("_at")
+    upto = by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = cell.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("_own", F.avg(F.coalesce("_in", "_off")).over(by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    parts = (("n", lambda v: v.isNotNull().cast("long")), ("t", lambda v: v), ("s", lambda v: v - F.col("_own")), ("q", lambda v: F.pow(v - F.col("_own"), 2)))
+    rows = events.select(
+        *df.columns, "_enters", *home[len(keys):], "_slot", "_own",
+        *[F.sum(part(F.col(c))).over(frame).alias(f"_here_{name}{c}") for c, frame in (("_in", upto), ("_off", later)) for name, part in parts])
+    rows = rows.where("_enters").join(carried, [*home, "_slot"], "left")
+
+    def seen(name: str) -> Column:
+        return sum((F.coalesce(f"_here_{name}{c}", F.lit(0)) + F.coalesce(f"_{name}{c}", F.lit(0)) for c in ("_in", "_off")), F.lit(0))
+
+    def here(name: str) -> Column:
+        return F.coalesce(f"_here_{name}_in", F.lit(0)) + F.coalesce(f"_here_{name}_off", F.lit(0))
+
+    moved = F.coalesce(F.col("_own") - F.col("_mid"), F.lit(0.0))
+    n, some = seen("n"), seen("n") > 0
+    first = (seen("s") + here("n") * moved) / n
+    second = (seen("q") + 2 * moved * here("s") + here("n") * moved * moved) / n
     result = F.struct(
-        n.alias("n"), F.when(some, F.col("_t")).alias("total"), F.when(some, F.col("_mid") + F.col("_s") / n).alias("mean"),
-        F.when(some, F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / n - F.pow(F.col("_s") / n, 2)))).alias("sd"))
-    return rows.where(F.col("_side") == 2).select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], result.alias(out))
+        n.alias("n"), F.when(some, seen("t")).alias("total"), F.when(some, F.col("_mid") + first).alias("mean"),
+        F.when(some, F.sqrt(F.greatest(F.lit(0.0), second - F.pow(first, 2)))).alias("sd"))
+    return rows.select(*df.columns, result.alias(out))
