@@ -429,3 +429,14 @@ def test_rules_are_compiled_into_series(spark):
     assert value("slow", "s=a") == [None, 15.0]
     assert metrics.alert_rules(df.limit(0), metrics.rule_table(spark, rules), layout).count() == 0
     assert len({r.alert for r in metrics.RULES}) == 22
+
+
+def test_rows_of_rules_move_without_text(spark):
+    rows = [("c_total", {"x": str(i % 2)}, 10 * i, float(i)) for i in range(40)] + [("up", {"job": "layer1"}, 10 * i, 0.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "metric string, labels map<string, string>, ts_ms long, value double")
+    rules = [metrics.Rule("gauge", "up", "==", 0.0, 20, "high"), metrics.Rule("grown", "c_total", ">", 4.0, 0, "high", over="increase", range_ms=30)]
+    out = metrics.alert_rules(df, metrics.rule_table(spark, rules), metrics.SERIES.with_(slot_ms=15))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan
+    assert not any(text in line for line in plan.splitlines() if "Exchange hashpartitioning" in line for text in ("series", "alert", "role"))
+    assert out.count() == 49

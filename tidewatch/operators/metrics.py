@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.frames import range_moments
 from tidewatch.plans.layout import Layout
-from tidewatch.plans.scans import Scan, previous, running
+from tidewatch.plans.scans import previous, run_starts
 from tidewatch.plans.store import broadcast_if_small, materialise
 
 SERIES = Layout(keys=("metric", "series"), order=("ts_ms",))
@@ -163,34 +163,53 @@ def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def rule_series(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
-    """The value of every rule's series at each of its sample times: ``(alert, series, ts_ms, value)``.
-
-    All rules are compiled into one plan: samples meet their rules by metric and label pattern and are stored in that narrow
-    form; counters pass one scan for resets and one for ranges, each with the range of its rule; a last grouping brings together
-    the two metrics of a ratio and the buckets of a histogram, which need samples at the same time. Samples of one series at one
-    time count as their maximum. A ratio is null without its divisor and for 0/0, infinite for a divisor of 0.
-    """
+def _rule_points(samples: DataFrame, rules: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """``(points, pairs)``: the value of every rule's series by the number of its pair, and the alert and series of each number."""
     le, ts = F.try_element_at("labels", F.lit("le")), layout.ts
     wanted = F.col("matches").isNull() | F.regexp_like(F.coalesce(F.try_element_at("labels", F.col("label")), F.lit("")), F.concat(F.lit("^(?:"), F.col("matches"), F.lit(")$")))
     joined = samples.join(broadcast_if_small(rules.select("metric", "alert", "role", "over", "range_ms", "label", "matches")), "metric").where(wanted)
     joined = materialise(joined.select(
         "alert", "role", "over", "range_ms", series_id(F.map_filter("labels", lambda k, _: k != "le")).alias("series"),
         F.coalesce(le, F.lit("")).alias("le"), ts, "value"))
-    inner = layout.with_(keys=("alert", "role", "series", "le"))
-    grown = range_moments(counter_steps(joined.where("over <> 'value'"), inner), inner, F.col("range_ms"), "step", "_range")
-    increase = F.coalesce("_range.total", F.lit(0.0))
-    grown = grown.withColumn("value", F.when(F.col("over") == "rate", increase / (F.col("range_ms") / 1000.0)).otherwise(increase)).select(joined.columns)
+    named = ["alert", "role", "over", "range_ms", "series", "le"]
+    curves = joined.select(*named).distinct()
+    pairs = materialise(curves.select("alert", "series").distinct().withColumn("_pair", F.monotonically_increasing_id()))
+    same = lambda left, right, names: [left[c].eqNullSafe(right[c]) for c in names]
+    curves = materialise(curves.join(pairs, same(curves, pairs, ["alert", "series"])).select(*[curves[c] for c in named], "_pair").withColumn("_curve", F.monotonically_increasing_id()))
+    curves = broadcast_if_small(curves)
+    coded = joined.join(curves, same(joined, curves, named)).select("_curve", joined["over"], joined["range_ms"], ts, "value")
+
+    inner = layout.with_(keys=("_curve",))
+    steps = materialise(counter_steps(coded.where("over <> 'value'").drop("over"), inner).drop("value"))
+    grown = range_moments(steps, inner, F.col("range_ms"), "step", "_range").select("_curve", ts, F.coalesce("_range.total", F.lit(0.0)).alias("value"))
+    rows = coded.where("over = 'value'").select("_curve", ts, "value").unionByName(grown).join(curves, "_curve")
+    value = F.when(F.col("over") == "rate", F.col("value") / (F.col("range_ms") / 1000.0)).otherwise(F.col("value"))
     main = F.col("role") == "main"
-    cell = F.struct(F.col("le").try_cast("double").alias("le"), F.col("value").alias("n"))
-    points = joined.where("over = 'value'").unionByName(grown).groupBy("alert", "series", ts).agg(
-        F.max(F.when(main, F.col("value"))).alias("_main"), F.max(F.when(~main, F.col("value"))).alias("_other"),
-        F.sort_array(F.collect_list(F.when(main & (F.col("le") != ""), cell))).alias("_cells"))
-    points = points.join(broadcast_if_small(rules.where("role = 'main'").select("alert", "other", "quantile")), "alert")
+    rows = rows.select(
+        "_pair", layout.slot().alias("_slot"), ts, F.when(main, value).alias("_main"), F.when(~main, value).alias("_other"),
+        F.when(main & (F.col("le") != ""), F.col("le").try_cast("double")).alias("_le"), (main & (F.col("le") != "")).alias("_is_cell"))
+    cell = F.struct(F.col("_le").alias("le"), F.col("_main").alias("n"))
+    points = rows.repartition("_pair", "_slot").groupBy("_pair", "_slot", ts).agg(
+        F.max("_main").alias("_main"), F.max("_other").alias("_other"), F.sort_array(F.collect_list(F.when(F.col("_is_cell"), cell))).alias("_cells"))
+    kinds = pairs.join(broadcast_if_small(rules.where("role = 'main'").select("alert", "other", "quantile")), "alert").select("_pair", "other", "quantile")
+    points = points.join(broadcast_if_small(kinds), "_pair")
     points = bucket_quantile(points.withColumn("_cells", F.when(F.size("_cells") > 0, F.col("_cells"))), "_cells", F.col("quantile"), "_quantile")
     ratio = F.when(F.col("_other") != 0, F.try_divide("_main", "_other")).when((F.col("_other") == 0) & (F.col("_main") > 0), float("inf"))
     value = F.when(F.col("quantile").isNotNull(), F.col("_quantile")).when(F.col("other").isNotNull(), ratio).otherwise(F.col("_main"))
-    return points.select("alert", "series", ts, value.alias("value"))
+    return points.select("_pair", ts, value.alias("value")), pairs
+
+
+def rule_series(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
+    """The value of every rule's series at each of its sample times: ``(alert, series, ts_ms, value)``.
+
+    All rules are compiled into one plan: samples meet their rules by metric and label pattern and are stored in that narrow
+    form; series get numbers, so that rows on the move hold no text. Counters pass one scan for resets and one for ranges, each
+    with the range of its rule; a last grouping brings together the two metrics of a ratio and the buckets of a histogram, which
+    need samples at the same time. Samples of one series at one time count as their maximum. A ratio is null without its divisor
+    and for 0/0, infinite for a divisor of 0.
+    """
+    points, pairs = _rule_points(samples, rules, layout)
+    return points.join(broadcast_if_small(pairs), "_pair").select("alert", "series", layout.ts, "value")
 
 
 def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
@@ -201,15 +220,13 @@ def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -
     """
     v, t = F.col("value"), F.col("threshold")
     held = F.when(F.col("op") == ">", v > t).when(F.col("op") == "<", v < t).otherwise(v == t)
-    per_rule = layout.with_(keys=("alert", "series"))
+    points, pairs = _rule_points(samples, rules, layout)
     conditions = rules.where("role = 'main'").select("alert", "op", "threshold", "hold_ms", "severity")
-    rows = rule_series(samples, rules, layout).join(broadcast_if_small(conditions), "alert").withColumn("holds", F.coalesce(held, F.lit(False)))
-    rows = previous(rows, per_rule, _held="holds")
-    begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
-    rows = running(rows, per_rule, active_since_ms=Scan("last", F.when(begins, F.col(layout.ts))))
-    since = F.when(F.col("holds"), F.col("active_since_ms"))
-    return rows.withColumn("active_since_ms", since).withColumn(
-        "firing", F.col("holds") & (F.col(layout.ts) - F.col("active_since_ms") >= F.col("hold_ms"))).drop("_held")
+    pairs = broadcast_if_small(materialise(pairs.join(broadcast_if_small(conditions), "alert")))
+    rows = points.join(pairs.select("_pair", "op", "threshold"), "_pair").select("_pair", layout.ts, "value", F.coalesce(held, F.lit(False)).alias("holds"))
+    rows = run_starts(materialise(rows), layout.with_(keys=("_pair",)), "holds", "active_since_ms")
+    firing = F.col("holds") & (F.col(layout.ts) - F.col("active_since_ms") >= F.col("hold_ms"))
+    return rows.join(pairs, "_pair").select("alert", "series", layout.ts, "value", "op", "threshold", "hold_ms", "severity", "holds", "active_since_ms", firing.alias("firing"))
 
 
 def metrics_text_parse(lines: DataFrame, column: str = "value") -> DataFrame:
