@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.plans import anchors
 from tidewatch.plans.asof import asof_join
 from tidewatch.plans.fold import keyed_fold
 from tidewatch.plans.frames import moments, range_moments
@@ -284,3 +285,30 @@ def test_run_starts_equal_a_plain_loop(spark, data, slot):
             since = (t if since is None else since) if holds else None
             want[i] = since
     assert got == want and any(v is not None for v in got.values())
+
+
+@pytest.mark.parametrize("window, size, fan", [(0, 3, 2), (40, 1, 3), (40, 16, 2), (700, 2, 4), (10_000, 5, 100)])
+def test_anchored_windows_equal_a_plain_loop(spark, data, monkeypatch, window, size, fan):
+    monkeypatch.setattr(anchors, "FAN", fan)
+    df = spark.createDataFrame([r[:3] for r in data], "symbol string, ts_ms long, tick_id long").repartition(5)
+    out = anchors.anchor_fold(df, LAYOUT.with_(fold_rows=size), window, opened="opened", closes="closes")
+    got = {r.tick_id: (r.opened, r.closes) for r in out.collect()}
+    want = {}
+    for group in by_key(data).values():
+        start = None
+        for _, t, i, *_ in group:
+            start = t if start is None else start
+            want[i] = (start, t - start >= window)
+            start = None if want[i][1] else start
+    assert got == want
+
+
+def test_anchored_windows_never_wait_for_their_start(spark, monkeypatch):
+    """Chunks far shorter than a window and ticks without a gap: the number of tables written does not grow with the chunks."""
+    written = []
+    monkeypatch.setattr(anchors, "materialise", lambda df, real=anchors.materialise: written.append(1) or real(df))
+    for rows in (40, 400):
+        written.clear()
+        df = spark.createDataFrame([("a", 10 * i, i) for i in range(rows)], "symbol string, ts_ms long, tick_id long")
+        out = anchors.anchor_fold(df, LAYOUT.with_(fold_rows=4), 1_005, opened="opened", closes="closes")
+        assert out.where("closes").count() == rows // 102 and len(written) == 3

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.plans.anchors import anchor_fold
 from tidewatch.plans.asof import asof_join
-from tidewatch.plans.fold import keyed_fold
 from tidewatch.plans.layout import TICKS, Layout
 from tidewatch.plans.scans import Scan, running
 from tidewatch.plans.store import materialise
@@ -39,22 +39,10 @@ def align_anchored(ticks: DataFrame, layout: Layout = TICKS, *, window_ms: int =
     """Add ``window_open_ms`` and ``closes`` per tick.
 
     A window opens at the first tick after the previous one closed and closes with the first tick at least ``window_ms``
-    later, which still belongs to it. Where it ends depends on where it began, so this is a fold; chunks agree as soon as
-    one boundary coincides.
+    later, which still belongs to it. Where it ends depends on where it began, so chunks are composed as maps
+    (:mod:`tidewatch.plans.anchors`): no chunk runs on a guess.
     """
-
-    def fold(cols: dict[str, list], state: str) -> tuple[dict[str, list], str]:
-        start = int(state) if state else None
-        opened, closes = [], []
-        for ts in cols[layout.ts]:
-            start = ts if start is None else start
-            done = ts - start >= window_ms
-            opened.append(start)
-            closes.append(done)
-            start = None if done else start
-        return {"window_open_ms": opened, "closes": closes}, "" if start is None else str(start)
-
-    return keyed_fold(ticks, layout, fold, "", [layout.ts], "window_open_ms long, closes boolean")
+    return anchor_fold(ticks, layout, window_ms, opened="window_open_ms", closes="closes")
 
 
 def anchored_windows(marked: DataFrame) -> DataFrame:
