@@ -2,13 +2,19 @@
 
 import json
 import random
+import warnings
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import chain
 from tidewatch.plans.layout import Layout
 from tidewatch.streaming import operators as O
+from tidewatch.streaming import held
 from tidewatch.streaming.runs import drain_batches, file_stream
+from tidewatch.streaming.scoring import _moving_stats, _window_stats
 
 
 def messages(spark, ids):
@@ -71,3 +77,72 @@ def test_late_counts_are_what_the_watermark_drops(spark, tmp_path):
         query.awaitTermination()
         dropped += sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in json.loads(progress.json)["stateOperators"])
     assert dropped == sum(want.values())
+
+
+class _Handle:
+    """The state of one key, which counts the rows that move in and out of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.moved = [], [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+        self.moved += 1
+
+    def get(self):
+        self.moved += len(self.rows)
+        return iter(list(self.rows))
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+@pytest.mark.parametrize("size", [7, 1_000])
+def test_rows_wait_in_batches(monkeypatch, size):
+    monkeypatch.setattr(held, "PASS", size)
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(0, 1_000), i + 2**53, None if i % 9 == 0 else float(i)) for i in range(500)]
+    handle, got = _Handle(), []
+    waiting = held.HeldRows(handle, ("x",))
+    for at, mark in ((0, 300), (250, 900), (500, 2_000)):
+        waiting.add(iter([pd.DataFrame(rows[at:at + 250], columns=["ts_ms", "tick_id", "x"])] if at < 500 else []))
+        due = sorted(r for r in rows[:at + 250] if r[0] < mark and r not in got)
+        out = [(int(t), int(i), None if np.isnan(x) else x) for table in waiting.passed(mark) for t, i, x in table.itertuples(index=False)]
+        assert [r[:2] for r in out] == [r[:2] for r in due] and {r[1]: r[2] for r in out} == {r[1]: r[2] for r in due}
+        got += due
+    assert len(got) == 500 and handle.rows == [] and list(waiting.passed(10_000)) == []
+    assert handle.moved <= (10 if size == 1_000 else 200)
+
+
+def test_moving_statistics_equal_separate_windows():
+    rnd = np.random.default_rng(1)
+    with warnings.catch_warnings(), np.errstate(all="ignore"):
+        warnings.simplefilter("ignore")
+        for case in range(200):
+            n = int(rnd.integers(5, 400))
+            size = int(rnd.integers(1, min(n, 60) + 1))
+            x = rnd.normal(size=n) * 10.0 ** int(rnd.integers(-3, 6)) + 10.0 ** int(rnd.integers(0, 5))
+            if case % 3 == 0:
+                x[rnd.integers(0, n, n // 3)] = np.nan
+            if case % 4 == 0:
+                x[n // 4:n // 2] = 7.0
+            if case % 5 == 0:
+                x[n // 2] = 1e13
+            if case % 11 == 0:
+                x[0] = np.inf
+            mean, sd = _moving_stats(x.copy(), size)
+            want, spread = _window_stats(np.lib.stride_tricks.sliding_window_view(x, size))
+            some, far = np.isfinite(want), spread > 1e-9 * np.abs(want)
+            np.testing.assert_allclose(sd[some & far], spread[some & far], rtol=1e-7)
+            off = np.abs(mean - want)[some]
+            assert (off <= 1e-9 * np.nan_to_num(spread)[some] + 1e-9 * np.abs(want[some]).clip(1e-3)).all() or case % 5 == 0
+            assert (sd[some & (spread == 0)] == 0).all()

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.operators import anomaly as A
 from tidewatch.plans.scans import INDEX
+from tidewatch.streaming.held import HeldRows
 from tidewatch.streaming.operators import with_event_time
 
 _INPUT = "ts_ms long, tick_id long, mid double, trust_score double, volume_24h double, spread double"
@@ -35,6 +36,37 @@ def _window_stats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, sd
 
 
+def _moving_stats(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_window_stats` of every window of ``size`` values at a cost that does not grow with it.
+
+    Windows are differences of growing sums about the mean. Where a window's squares are too small a part of the sum to keep their
+    digits, the window is summed on its own; windows of equal values deviate by exactly 0.
+    """
+    known = ~np.isnan(x)
+    frames, at = np.lib.stride_tricks.sliding_window_view(x, size), np.arange(len(x) - size + 1)
+    if not np.isfinite(x[known]).all():
+        return _window_stats(frames)
+    centre = x[known].mean() if known.any() else 0.0
+    off = np.where(known, x - centre, 0.0)
+    grow = lambda v: np.r_[0, np.cumsum(v)]
+    counts, sums, squares = grow(known), grow(off), grow(off * off)
+    n, s1, s2 = counts[at + size] - counts[at], sums[at + size] - sums[at], squares[at + size] - squares[at]
+    place = np.where(known, np.arange(len(x)), -1)
+    before = np.r_[-1, np.maximum.accumulate(place)[:-1]]  # the last value before this one
+    changes = grow(known & (before >= 0) & (x != x[np.maximum(before, 0)]))
+    first = np.minimum.accumulate(np.where(known, np.arange(len(x)), len(x))[::-1])[::-1][at]  # the first value of the window
+    flat = changes[at + size] == changes[np.minimum(first + 1, at + size)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        left = np.maximum(0.0, s2 - s1 * s1 / n)
+        mean, sd = centre + s1 / n, np.where(n > 1, np.where(flat, 0.0, np.sqrt(left / (n - 1))), np.nan)
+    weak = ~flat & (left < 1e-5 * squares[at + size])
+    for i in range(0, len(at), SLICE):
+        some = np.flatnonzero(weak[i:i + SLICE]) + i
+        if len(some):
+            mean[some], sd[some] = _window_stats(frames[some])
+    return mean, sd
+
+
 def _median(x: np.ndarray) -> np.ndarray:
     """Median of each row, leaving out NaN (which sort last); every row holds a number."""
     x, n = np.sort(x, axis=1), (~np.isnan(x)).sum(axis=1)
@@ -51,38 +83,31 @@ class FeatureProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _INPUT)
+        self.held = HeldRows(handle, tuple(c.split()[0] for c in _INPUT.split(", "))[2:])
         self.memory = handle.getValueState("memory", "body string")
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
-        for pdf in rows:
-            pdf = pdf[["ts_ms", "tick_id", "mid", "trust_score", "volume_24h", "spread"]]
-            first = int(pdf["ts_ms"].min()) if first is None else min(first, int(pdf["ts_ms"].min()))
-            self.held.appendList([tuple(v.item() if hasattr(v, "item") else v for v in row) for row in pdf.itertuples(index=False)])
-        if first is not None:
-            self.handle.registerTimer(first)
+        self.held.add(rows)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-        passed = [r for r in held if r[0] < mark]
-        if not passed:
-            return
-        rest = held[len(passed):]
-        self.held.clear()
-        if rest:
-            self.held.put(rest)
-            self.handle.registerTimer(rest[0][0])
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else {"n": 0, "mid": None, "rows": [], "times": [], "squares": [], "rv": [], "up": 0.0, "down": 0.0, "price": None, "spread": None}
-        table = pd.DataFrame(passed, columns=[c.split()[0] for c in _INPUT.split(", ")])
-        out = self.features(table, memory)
-        self.memory.update((json.dumps(memory),))
-        out.insert(0, "symbol", key[0])
-        yield out
+        memory = None
+        for table in self.held.passed(timerValues.getCurrentWatermarkInMs()):
+            if memory is None:
+                memory = json.loads(self.memory.get()[0]) if self.memory.exists() else {"n": 0, "mid": None, "rows": [], "times": [], "squares": [], "rv": [], "up": 0.0, "down": 0.0, "price": None, "spread": None}
+            out = self.advance(table, memory)
+            out.insert(0, "symbol", key[0])
+            yield out
+        if memory is not None:
+            self.memory.update((json.dumps(memory, default=np.ndarray.tolist),))
 
     def features(self, t: pd.DataFrame, m: dict) -> pd.DataFrame:
+        """:meth:`advance` with a memory of plain lists."""
+        out = self.advance(t, m)
+        m.update({k: v.tolist() for k, v in m.items() if isinstance(v, np.ndarray)})
+        return out
+
+    def advance(self, t: pd.DataFrame, m: dict) -> pd.DataFrame:
         """Windows over the remembered rows and the new ones; updates the memory."""
         cfg, n = self.cfg, len(t)
         mid, volume = t["mid"].to_numpy(float), t["volume_24h"].fillna(0.0).to_numpy(float)
@@ -102,7 +127,7 @@ class FeatureProcessor(StatefulProcessor):
         sums, own = np.r_[0.0, np.cumsum(squares)], times[len(times) - n:]
         lo, hi = np.searchsorted(times, own - cfg.rv_window_ms, "left"), np.searchsorted(times, own, "right")
         t["rv"] = np.sqrt(np.maximum(0.0, sums[hi] - sums[lo]))
-        levels = [*m["rv"], *t["rv"]]
+        levels = np.r_[np.array(m["rv"], float), t["rv"].to_numpy(float)]
         t["_recent"] = [levels[max(0, i + 1 - cfg.regime.window):i + 1] for i in range(len(m["rv"]), len(levels))]
 
         parts = [self.windows(rows[i:i + self.reach + SLICE], t["_rn"].to_numpy()[i:i + SLICE]) for i in range(0, n, SLICE)]
@@ -110,8 +135,7 @@ class FeatureProcessor(StatefulProcessor):
             t[name] = np.concatenate([p[name] for p in parts])
         self.accumulate(t, m)
         keep = int(np.searchsorted(times, own[-1] - cfg.rv_window_ms, "left"))
-        m.update(n=m["n"] + n, mid=float(mid[-1]), rows=np.vstack([old, new])[-self.reach:].tolist(), times=times[keep:].tolist(), squares=squares[keep:].tolist(),
-                 rv=levels[-(cfg.regime.window - 1):])
+        m.update(n=m["n"] + n, mid=float(mid[-1]), rows=np.vstack([old, new])[-self.reach:], times=times[keep:], squares=squares[keep:], rv=levels[-(cfg.regime.window - 1):] if cfg.regime.window > 1 else levels[:0])
         return t[[c.split()[0] for c in _FEATURES.replace("array<double>", "array").split(", ")[1:]]]
 
     def windows(self, rows: np.ndarray, rn: np.ndarray) -> dict[str, np.ndarray]:
@@ -122,20 +146,24 @@ class FeatureProcessor(StatefulProcessor):
             at = self.reach - size + 1 - lag
             return np.lib.stride_tricks.sliding_window_view(rows[:, column], size)[at:at + n]
 
+        def stats(column: int, size: int, lag: int = 0) -> tuple[np.ndarray, np.ndarray]:
+            at = self.reach - size + 1 - lag
+            return _moving_stats(rows[at:at + n + size - 1, column], size)
+
         rets = ending(0, cfg.mad.window)
         med = _median(rets)
-        out = {"_vol": _window_stats(ending(3, cfg.absolute.volume_window, 1))[0], "_rets": np.minimum(rn, cfg.mad.window).astype(np.int32), "_med": med, "_mad": _median(np.abs(rets - med[:, None]))}
+        out = {"_vol": stats(3, cfg.absolute.volume_window, 1)[0], "_rets": np.minimum(rn, cfg.mad.window).astype(np.int32), "_med": med, "_mad": _median(np.abs(rets - med[:, None]))}
         for name, size in (("_short", cfg.vol_ratio.short_window), ("_long", cfg.vol_ratio.long_window)):
             square = ending(0, size) ** 2
             out[name] = np.sqrt(np.nansum(square, axis=1) / ((~np.isnan(square)).sum(axis=1) if cfg.vol_ratio.normalize else 1.0))
         own = rows[self.reach:]
         z = np.zeros(n)
         for weight, k in ((cfg.cusum.w_price, 1), (cfg.cusum.w_spread, 2), (cfg.cusum.w_volume, 3)):
-            mean, sd = _window_stats(ending(k, cfg.cusum.history, 1))
+            mean, sd = stats(k, cfg.cusum.history, 1)
             z += weight * np.where((rn - 1 >= A.WARMUP) & (sd >= 1e-9), (own[:, k] - mean) / np.where(sd >= 1e-9, sd, 1.0), 0.0)
         out["_z"] = z
         for name, k in (("_zp", 1), ("_zs", 2)):
-            mean, sd = _window_stats(ending(k, cfg.ewma.history))
+            mean, sd = stats(k, cfg.ewma.history)
             out[name] = (own[:, k] - mean) / np.where(sd < 1e-9, 1.0, sd)
         return out
 
@@ -173,16 +201,20 @@ class MemoryGateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         recent, now = json.loads(self.memory.get()[0]) if self.memory.exists() else ([], [0, -1, 0])
-        pdf, gate = pd.concat(list(rows)).sort_values("row_number"), self.cfg.gate
-        out = []
-        for fused, trust, regime in zip(pdf["fused_score"], pdf["trust_score"], pdf["regime"]):
-            recent = [*recent, float(fused)][-self.cfg.memory:]
-            odd = max(recent) >= gate.anomaly + (-gate.regime_shift if regime == 0 else gate.regime_shift)
-            base = (1 if odd else 0) if trust >= gate.trust else (3 if odd else 2)
-            now = A.gate_step(*now, base, gate.streak)
-            out.append((max(recent), A.SEVERITY[base], A.SEVERITY[now[0]]))
+        pdf, gate, size = pd.concat(list(rows)).sort_values("row_number"), self.cfg.gate, self.cfg.memory
+        seen = np.r_[np.full(size - 1 - len(recent[-(size - 1):]) if size > 1 else 0, -np.inf), recent[-(size - 1):] if size > 1 else [], pdf["fused_score"].to_numpy(float)]
+        top = np.fmax.reduce(np.lib.stride_tricks.sliding_window_view(seen, size), axis=1)
+        shift = np.where(pdf["regime"].to_numpy() == 0, -gate.regime_shift, gate.regime_shift)
+        odd, trusted = top >= gate.anomaly + shift, pdf["trust_score"].to_numpy(float) >= gate.trust
+        base = np.where(trusted, np.where(odd, 1, 0), np.where(odd, 3, 2)).tolist()
+        states = []
+        for wish in base:
+            now = A.gate_step(*now, wish, gate.streak)
+            states.append(A.SEVERITY[now[0]])
+        recent = [x for x in seen[-size:].tolist() if x != -np.inf]
+        out = {"anomaly_score": top, "base_state": np.array(A.SEVERITY, object)[base], "system_state": states}
         self.memory.update((json.dumps([recent, list(now)]),))
-        made = pd.DataFrame(out, columns=["anomaly_score", "base_state", "system_state"], index=pdf.index)
+        made = pd.DataFrame(out, index=pdf.index)
         yield pd.concat([pdf, made], axis=1)[[c.split()[0] for c in _SCORED.split(", ")]]
 
     def close(self) -> None:
