@@ -440,3 +440,26 @@ def test_rows_of_rules_move_without_text(spark):
     assert "Exchange hashpartitioning" in plan
     assert not any(text in line for line in plan.splitlines() if "Exchange hashpartitioning" in line for text in ("series", "alert", "role"))
     assert out.count() == 49
+
+
+def test_regimes_are_decoded_without_an_object_per_row():
+    """Lists of growing length against a decoder of single lists; the decoder takes and gives Arrow arrays."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    model = anomaly.RegimeModel(window=5)
+    decode = anomaly._last_state(model).func
+    values = np.random.default_rng(2).uniform(0.0005, 0.004, 40).tolist()
+    lists = [values[max(0, i - 4):i + 1] for i in range(40)]
+    out = decode(pa.array(lists, pa.list_(pa.float64()))).to_pylist()
+    density = lambda x, k: -math.log(model.sds[k]) - 0.5 * math.log(2 * math.pi) - ((x - model.means[k]) / model.sds[k]) ** 2 / 2
+    stay = [[model.stay[0], 1 - model.stay[0]], [1 - model.stay[1], model.stay[1]]]
+    for xs, got in zip(lists, out):
+        f = [model.start[k] * math.exp(density(xs[0], k)) for k in (0, 1)]
+        best = list(f)
+        for x in xs[1:]:
+            f = [math.exp(density(x, k)) * sum(f[j] * stay[j][k] for j in (0, 1)) for k in (0, 1)]
+            best = [math.exp(density(x, k)) * max(best[j] * stay[j][k] for j in (0, 1)) for k in (0, 1)]
+        assert got["regime"] == int(best[1] > best[0]) and got["high"] == pytest.approx(f[1] / (f[0] + f[1]), abs=1e-9)

@@ -312,3 +312,38 @@ def test_anchored_windows_never_wait_for_their_start(spark, monkeypatch):
         df = spark.createDataFrame([("a", 10 * i, i) for i in range(rows)], "symbol string, ts_ms long, tick_id long")
         out = anchors.anchor_fold(df, LAYOUT.with_(fold_rows=4), 1_005, opened="opened", closes="closes")
         assert out.where("closes").count() == rows // 102 and len(written) == 3
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from tidewatch.plans import memory
+
+    calls = []
+    monkeypatch.setattr(memory, "hand_back", lambda: calls.append(1))
+    monkeypatch.setattr(memory, "HAND_BACK", 1_000)
+    monkeypatch.setattr(memory, "_seen", [0])
+    run = memory.frugal(lambda rows: rows.slice(0, 1))
+    rows = pa.table({"x": pa.array(range(50), pa.int64())})
+    assert all(run(rows).num_rows == 1 for _ in range(10))
+    assert len(calls) == 10 * rows.nbytes // 1_200
+
+
+def test_groups_hand_memory_back(spark, frame, monkeypatch):
+    """Every grouped function of the plans is wrapped."""
+    from tidewatch.plans import fold, machine, recurrence
+
+    for module in (fold, machine, recurrence, anchors):
+        wrapped = []
+        monkeypatch.setattr(module, "frugal", lambda run, real=module.frugal: wrapped.append(run) or real(run))
+        monkeypatch.setattr(module, "materialise", lambda df: df, raising=False)
+        if module is recurrence:
+            recur(frame, LAYOUT, y=Recurrence("x", 0.5))
+        elif module is machine:
+            made = module.Machine.of(0, range(2), lambda s, x: (s + x) % 3, str)
+            module.machine_fold(frame.withColumn("s", F.col("flag").cast("int")), LAYOUT, made, "s", "shown")
+        elif module is anchors:
+            anchors.anchor_fold(frame, LAYOUT, 40, opened="o", closes="c")
+        else:
+            keyed_fold(frame.limit(0), LAYOUT, lambda cols, state: ({"y": cols["x"]}, state), "", ["x"], "y double")
+        assert len(wrapped) >= 1

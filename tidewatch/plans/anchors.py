@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.plans.layout import Layout
+from tidewatch.plans.memory import frugal
 from tidewatch.plans.scans import INDEX, index_rows
 from tidewatch.plans.store import materialise, nullable
 
@@ -141,9 +142,9 @@ def anchor_fold(df: DataFrame, layout: Layout, window_ms: int, *, opened: str, c
         began, done = _run(rows[ts].to_numpy(), window_ms, rows["_start"][0].as_py())
         return rows.select(kept).append_column(opened, pa.array(began, pa.int64())).append_column(closes, pa.array(done, pa.bool_())).cast(to_arrow_schema(target))
 
-    maps = base.select(*chunk, ts).groupBy(*chunk).applyInArrow(one_map, table(*chunk, _map=T.BinaryType()))
+    maps = base.select(*chunk, ts).groupBy(*chunk).applyInArrow(frugal(one_map), table(*chunk, _map=T.BinaryType()))
     maps = materialise(maps.withColumn("_group", F.floor(F.col("_chunk") / FAN).cast("long")))
-    grouped = maps.groupBy(*keys, "_group").applyInArrow(compose, table(*keys, _group=T.LongType(), _map=T.BinaryType()))
-    from_ = grouped.groupBy(*keys).applyInArrow(group_starts, table(*keys, _group=T.LongType(), _start=T.LongType()))
-    entered = materialise(maps.join(from_, [*keys, "_group"]).groupBy(*keys, "_group").applyInArrow(chunk_starts, table(*chunk, _start=T.LongType())))
-    return base.join(entered, chunk).groupBy(*chunk).applyInArrow(emit, target)
+    grouped = maps.groupBy(*keys, "_group").applyInArrow(frugal(compose), table(*keys, _group=T.LongType(), _map=T.BinaryType()))
+    from_ = grouped.groupBy(*keys).applyInArrow(frugal(group_starts), table(*keys, _group=T.LongType(), _start=T.LongType()))
+    entered = materialise(maps.join(from_, [*keys, "_group"]).groupBy(*keys, "_group").applyInArrow(frugal(chunk_starts), table(*chunk, _start=T.LongType())))
+    return base.join(entered, chunk).groupBy(*chunk).applyInArrow(frugal(emit), target)

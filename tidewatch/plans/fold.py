@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.plans.layout import Layout
+from tidewatch.plans.memory import frugal
 from tidewatch.plans.scans import INDEX, index_rows
 from tidewatch.plans.store import materialise, nullable
 
@@ -64,7 +65,7 @@ def keyed_fold(
 
     narrow = base.select(*dict.fromkeys([*group, INDEX, *needs]))
     starts = base.select(*group).distinct().withColumn("_from", F.lit(initial))
-    runs = materialise(narrow.join(starts, group).groupBy(*group).applyInArrow(end_state, summary))
+    runs = materialise(narrow.join(starts, group).groupBy(*group).applyInArrow(frugal(end_state), summary))
     while True:
         wanted = runs.withColumn("_want", F.coalesce(F.lag("_to").over(by_chunk), F.lit(initial)))
         stale = materialise(
@@ -72,6 +73,6 @@ def keyed_fold(
         )
         if stale.isEmpty():
             break
-        again = narrow.join(stale, group).groupBy(*group).applyInArrow(end_state, summary)
+        again = narrow.join(stale, group).groupBy(*group).applyInArrow(frugal(end_state), summary)
         runs = materialise(runs.join(stale.select(*group), group, "left_anti").unionByName(again))
-    return base.join(runs.select(*group, "_from"), group).groupBy(*group).applyInArrow(emit, schema)
+    return base.join(runs.select(*group, "_from"), group).groupBy(*group).applyInArrow(frugal(emit), schema)

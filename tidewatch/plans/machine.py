@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.plans.layout import Layout
+from tidewatch.plans.memory import frugal
 from tidewatch.plans.scans import INDEX, index_rows
 from tidewatch.plans.store import materialise, nullable
 
@@ -126,9 +127,9 @@ def machine_fold(df: DataFrame, layout: Layout, machine: Machine, symbol: str, o
         shown = machine.run(rows["_start"][0].as_py(), rows[symbol].to_pylist())
         return rows.select(kept).append_column(out, pa.array(shown, pa.string())).cast(to_arrow_schema(target))
 
-    maps = base.select(*chunk, INDEX, symbol).groupBy(*chunk).applyInArrow(one_map, map_schema)
+    maps = base.select(*chunk, INDEX, symbol).groupBy(*chunk).applyInArrow(frugal(one_map), map_schema)
     maps = materialise(maps.withColumn("_group", F.floor(F.col("_chunk") / FAN).cast("long")))
-    grouped = maps.groupBy(*keys, "_group").applyInArrow(compose, group_schema)
-    from_ = grouped.groupBy(*keys).applyInArrow(group_starts, group_start)
-    entered = maps.join(from_, [*keys, "_group"]).groupBy(*keys, "_group").applyInArrow(chunk_starts, chunk_start)
-    return base.join(entered, chunk).groupBy(*chunk).applyInArrow(emit, target)
+    grouped = maps.groupBy(*keys, "_group").applyInArrow(frugal(compose), group_schema)
+    from_ = grouped.groupBy(*keys).applyInArrow(frugal(group_starts), group_start)
+    entered = maps.join(from_, [*keys, "_group"]).groupBy(*keys, "_group").applyInArrow(frugal(chunk_starts), chunk_start)
+    return base.join(entered, chunk).groupBy(*chunk).applyInArrow(frugal(emit), target)
