@@ -463,3 +463,19 @@ def test_regimes_are_decoded_without_an_object_per_row():
             f = [math.exp(density(x, k)) * sum(f[j] * stay[j][k] for j in (0, 1)) for k in (0, 1)]
             best = [math.exp(density(x, k)) * max(best[j] * stay[j][k] for j in (0, 1)) for k in (0, 1)]
         assert got["regime"] == int(best[1] > best[0]) and got["high"] == pytest.approx(f[1] / (f[0] + f[1]), abs=1e-9)
+
+
+def test_regime_decoder_hands_memory_back(spark, monkeypatch):
+    """A worker that decodes batch after batch gives freed memory back as it goes, not at its end."""
+    import pyarrow as pa
+
+    from tidewatch.plans import memory
+
+    batch = pa.array([[0.002] * 5] * 40, pa.list_(pa.float64()))
+    calls = []
+    monkeypatch.setattr(memory, "hand_back", lambda: calls.append(1))
+    monkeypatch.setattr(memory, "HAND_BACK", 3 * batch.nbytes)
+    monkeypatch.setattr(memory, "_seen", [0])
+    decode = anomaly._last_state(anomaly.RegimeModel(window=5)).func
+    assert all(len(decode(batch)) == 40 for _ in range(12))
+    assert len(calls) == 4
