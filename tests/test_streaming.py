@@ -123,6 +123,88 @@ def test_rows_wait_in_batches(monkeypatch, size):
     assert handle.moved <= (10 if size == 1_000 else 200)
 
 
+class _Store(_Handle):
+    """The state of one key by name and user key; ``largest`` is the most bytes that ever lay under one of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.entries, self.largest, self.reads = {}, 0, 0
+
+    def getListState(self, name, schema):
+        return _Cell(self, name)
+
+    getValueState = getListState
+
+    def getMapState(self, name, key_schema, schema):
+        return _Cell(self, name)
+
+    def put(self, key, value):
+        self.entries[key] = value
+        self.largest = max(self.largest, sum(len(x) for row in value for x in row if isinstance(x, bytes)))
+
+
+class _Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        return (self.name, None) in self.store.entries
+
+    def get(self):
+        rows = self.store.entries[self.name, None]
+        return rows[0] if self.name not in ("held", "pieces") else iter(rows)
+
+    def appendValue(self, row):
+        self.store.put((self.name, None), [*self.store.entries.get((self.name, None), []), row])
+
+    def update(self, row):
+        self.store.put((self.name, None), [row])
+
+    def clear(self):
+        self.store.entries.pop((self.name, None), None)
+
+    def keys(self):
+        return iter([k for name, k in self.store.entries if name == self.name and k is not None])
+
+    def getValue(self, key):
+        self.store.reads += 1
+        return self.store.entries[self.name, key][0]
+
+    def updateValue(self, key, row):
+        self.store.put((self.name, key), [row])
+
+    def removeKey(self, key):
+        del self.store.entries[self.name, key]
+
+
+def test_a_busy_key_is_no_single_state_value(monkeypatch):
+    """Ticks of one symbol lie in state as small entries, in whatever order they come, and those that wait longer are not read."""
+    from tidewatch.operators.anomaly import GateConfig
+    from tidewatch.streaming import signals
+
+    for name, value in (("PASS", 300), ("RUN", 1_000), ("PIECE", 100)):
+        monkeypatch.setattr(held, name, value, raising=False)
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(10_000), i, 100.0 + rnd.random(), None if i % 7 == 0 else 2.0, 0.9, 0.1, 0) for i in range(6_000)]
+    store = _Store()
+    flow = signals.FlowProcessor(5, GateConfig())
+    flow.init(store)
+    got, due = [], lambda mark: sorted(r for r in rows if r[0] < mark)
+    for at, mark in ((0, 3_000), (3_000, 3_001), (6_000, 20_000)):
+        if at < 6_000:
+            flow.held.add(pd.DataFrame(rows[i:i + 250], columns=signals._TICK_NAMES) for i in range(at, at + 3_000, 250))
+        tables = list(flow.held.passed(mark))
+        assert all(len(t) <= 300 for t in tables)
+        passed = [(int(t), int(i)) for table in tables for t, i in table[["ts_ms", "tick_id"]].itertuples(index=False)]
+        assert passed == sorted(passed)
+        got += passed
+        assert sorted(got) == [r[:2] for r in due(mark) if r[1] < at + 3_000]
+        if at == 0:
+            assert store.reads < 20 and store.timers[-1] == min(r[0] for r in rows[:3_000] if r[0] >= mark)
+    assert store.largest <= 100 * 7 * 8 and len(got) == 6_000
+    assert not list(flow.held.state.keys())
+
+
 def test_moving_statistics_equal_separate_windows():
     rnd = np.random.default_rng(1)
     with warnings.catch_warnings(), np.errstate(all="ignore"):
