@@ -442,6 +442,106 @@ def test_rows_of_rules_move_without_text(spark):
     assert out.count() == 49
 
 
+@pytest.mark.parametrize("rows_of_chunk", [4, 40, 100_000])
+def test_rules_over_chunks_equal_a_plain_reading(spark, monkeypatch, rows_of_chunk):
+    """Ranges, resets, missing values, equal times, gaps, runs and label sets without a value, whatever the length of the chunks; no window over samples."""
+    import math
+    import random
+
+    from tidewatch.operators import alerting
+
+    monkeypatch.setattr(alerting, "CHUNK_ROWS", rows_of_chunk)
+    rnd = random.Random(rows_of_chunk)
+    rules = [
+        metrics.Rule("grown", "c_total", ">", 6.0, 40, "high", over="increase", range_ms=64),
+        metrics.Rule("speed", "c_total", ">", 100.0, 0, "high", over="rate", range_ms=20),
+        metrics.Rule("share", "used", ">", 0.5, 30, "high", over="increase", range_ms=32, other="limit"),
+        metrics.Rule("gauge", "up", "==", 0.0, 25, "high"),
+        metrics.Rule("strict", "up", "==", 0.0, 90, "low"),
+        metrics.Rule("slow", "ms_bucket", ">", 12.0, 0, "high", over="increase", range_ms=128, quantile=0.5),
+    ]
+    rows, n = [], {}
+    for t in sorted({rnd.randrange(600) for _ in range(170)} | {1_500, 1_501, 4_000}):
+        for x in "12":
+            n[x] = 0 if rnd.random() < 0.1 else n.get(x, 0) + rnd.randrange(4)
+            rows += [("c_total", {"x": x}, t, None if rnd.random() < 0.05 else float(n[x]))]
+            if rnd.random() < 0.8:
+                rows += [("used", {"x": x}, t, float(n[x] // 2)), ("limit", {"x": x}, t, float(n[x]))]
+        rows += [("up", {"job": "a"}, t, None if t % 31 == 0 else float(t // 60 % 3 == 0)), ("up", {"a": None, "b": "1"}, t, 1.0), ("up", {"a": "1", "b": None}, t, 0.0)]
+        rows += [("up", {"job": "a"}, t, 0.0)] * (t % 13 == 0)
+        rows += [("ms_bucket", {"le": le, "s": "a"}, t, float(k * t)) for k, le in ((1, "10"), (3, "20"), (4, "+Inf"))]
+    rows += [("up", {"job": "a"}, None, 0.0), ("c_total", {"x": "1"}, None, 3.0)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "metric string, labels map<string, string>, ts_ms long, value double").repartition(3)
+    out = metrics.alert_rules(df, metrics.rule_table(spark, rules), metrics.SERIES.with_(slot_ms=8))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+    def grown(curve, reach):
+        """Growth by time of one curve of (time, value)."""
+        curve, steps = sorted(curve, key=lambda p: (p[0], math.inf if p[1] is None else p[1])), []
+        for (_, was), (t, v) in zip(curve, curve[1:]):
+            steps.append((t, 0.0 if v is None or was is None else v if v < was else v - was))
+        return {t: sum(s for at, s in steps if t - reach < at <= t) for t, _ in curve}
+
+    def curves(metric, drop=()):
+        found = {}
+        for m, labels, t, v in rows:
+            if m == metric:
+                key = tuple(sorted((k, x) for k, x in labels.items() if k not in drop and x is not None)) if not drop else labels["le"]
+                found.setdefault(key, []).append((t, v))
+        return found
+
+    want = {}
+    for rule in rules:
+        series = {}
+        if rule.alert == "slow":
+            cells = {float(le.replace("+Inf", "inf")): grown(c, rule.range_ms) for le, c in curves(rule.metric, ("le",)).items()}
+            points = {}
+            for t in cells[10.0]:
+                total = cells[math.inf][t]
+                le, low, before = next((le, low, b) for le, low, b in ((10.0, 0.0, None), (20.0, 10.0, 10.0), (math.inf, 20.0, 20.0)) if cells[le][t] >= total / 2)
+                inside = cells[le][t] - (cells[before][t] if before else 0.0)
+                points[t] = (20.0 if le == math.inf else low + (le - low) * (total / 2 - (cells[before][t] if before else 0.0)) / inside) if total else None
+            series["s=a"] = points
+        else:
+            other = curves(rule.other) if rule.other else {}
+            for key, curve in curves(rule.metric).items():
+                timed = [p for p in curve if p[0] is not None]
+                if rule.over == "value":
+                    points = {t: max((v for at, v in curve if at == t and v is not None), default=None) for t, _ in curve}
+                else:
+                    points = grown(timed, rule.range_ms) | {t: 0.0 for t, _ in curve if t is None}
+                if rule.over == "rate":
+                    points = {t: v / (rule.range_ms / 1000.0) for t, v in points.items()}
+                if rule.other:
+                    below = grown(other[key], rule.range_ms)
+                    points = {t: v / below[t] if below[t] else math.inf if v > 0 else None for t, v in points.items()}
+                series[",".join(f"{k}={x}" for k, x in key)] = points
+        for name, points in series.items():
+            since = None
+            for t in sorted(points, key=lambda t: math.inf if t is None else t):
+                v = points[t]
+                holds = v is not None and (v > rule.threshold if rule.op == ">" else v == rule.threshold)
+                if t is not None:
+                    since = (t if since is None else since) if holds else None
+                want[rule.alert, name, t] = (v, holds, since if t is not None else None, None if holds and t is None else holds and t - since >= rule.hold_ms)
+    got = {(r.alert, r.series, r.ts_ms): (r.value, r.holds, r.active_since_ms, r.firing) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for key, row in got.items():
+        assert row[1:] == want[key][1:] and row[0] == (want[key][0] if want[key][0] is None else pytest.approx(want[key][0], rel=1e-12)), (key, row, want[key])
+    assert sum(w[3] is True for w in want.values()) > 50
+    points = metrics.rule_series(df, metrics.rule_table(spark, rules), metrics.SERIES.with_(slot_ms=8))
+    assert {(r.alert, r.series, r.ts_ms): r.value for r in points.collect()} == {key: row[0] for key, row in got.items()}
+
+
+def test_label_sets_of_the_platform_are_built_once(spark):
+    from tidewatch.workload import reporting
+
+    df = reporting.platform_samples(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map(exchange,") <= 10 and df.count() == len(reporting.PLATFORM) * 1_000
+
+
 def test_regimes_are_decoded_without_an_object_per_row():
     """Lists of growing length against a decoder of single lists; the decoder takes and gives Arrow arrays."""
     import math

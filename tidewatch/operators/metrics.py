@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import astuple, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from tidewatch.operators import alerting as A
 from tidewatch.plans.frames import range_moments
 from tidewatch.plans.layout import Layout
-from tidewatch.plans.scans import previous, run_starts
+from tidewatch.plans.scans import previous
 from tidewatch.plans.store import broadcast_if_small, materialise
 
 SERIES = Layout(keys=("metric", "series"), order=("ts_ms",))
@@ -163,70 +167,136 @@ def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def _rule_points(samples: DataFrame, rules: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """``(points, pairs)``: the value of every rule's series by the number of its pair, and the alert and series of each number."""
-    le, ts = F.try_element_at("labels", F.lit("le")), layout.ts
-    wanted = F.col("matches").isNull() | F.regexp_like(F.coalesce(F.try_element_at("labels", F.col("label")), F.lit("")), F.concat(F.lit("^(?:"), F.col("matches"), F.lit(")$")))
-    joined = samples.join(broadcast_if_small(rules.select("metric", "alert", "role", "over", "range_ms", "label", "matches")), "metric").where(wanted)
-    joined = materialise(joined.select(
-        "alert", "role", "over", "range_ms", series_id(F.map_filter("labels", lambda k, _: k != "le")).alias("series"),
-        F.coalesce(le, F.lit("")).alias("le"), ts, "value"))
-    named = ["alert", "role", "over", "range_ms", "series", "le"]
-    curves = joined.select(*named).distinct()
-    pairs = materialise(curves.select("alert", "series").distinct().withColumn("_pair", F.monotonically_increasing_id()))
-    same = lambda left, right, names: [left[c].eqNullSafe(right[c]) for c in names]
-    curves = materialise(curves.join(pairs, same(curves, pairs, ["alert", "series"])).select(*[curves[c] for c in named], "_pair").withColumn("_curve", F.monotonically_increasing_id()))
-    curves = broadcast_if_small(curves)
-    coded = joined.join(curves, same(joined, curves, named)).select("_curve", joined["over"], joined["range_ms"], ts, "value")
-
-    inner = layout.with_(keys=("_curve",))
-    steps = materialise(counter_steps(coded.where("over <> 'value'").drop("over"), inner).drop("value"))
-    grown = range_moments(steps, inner, F.col("range_ms"), "step", "_range").select("_curve", ts, F.coalesce("_range.total", F.lit(0.0)).alias("value"))
-    rows = coded.where("over = 'value'").select("_curve", ts, "value").unionByName(grown).join(curves, "_curve")
-    value = F.when(F.col("over") == "rate", F.col("value") / (F.col("range_ms") / 1000.0)).otherwise(F.col("value"))
-    main = F.col("role") == "main"
-    rows = rows.select(
-        "_pair", layout.slot().alias("_slot"), ts, F.when(main, value).alias("_main"), F.when(~main, value).alias("_other"),
-        F.when(main & (F.col("le") != ""), F.col("le").try_cast("double")).alias("_le"), (main & (F.col("le") != "")).alias("_is_cell"))
-    cell = F.struct(F.col("_le").alias("le"), F.col("_main").alias("n"))
-    points = rows.repartition("_pair", "_slot").groupBy("_pair", "_slot", ts).agg(
-        F.max("_main").alias("_main"), F.max("_other").alias("_other"), F.sort_array(F.collect_list(F.when(F.col("_is_cell"), cell))).alias("_cells"))
-    kinds = pairs.join(broadcast_if_small(rules.where("role = 'main'").select("alert", "other", "quantile")), "alert").select("_pair", "other", "quantile")
-    points = points.join(broadcast_if_small(kinds), "_pair")
-    points = bucket_quantile(points.withColumn("_cells", F.when(F.size("_cells") > 0, F.col("_cells"))), "_cells", F.col("quantile"), "_quantile")
-    ratio = F.when(F.col("_other") != 0, F.try_divide("_main", "_other")).when((F.col("_other") == 0) & (F.col("_main") > 0), float("inf"))
-    value = F.when(F.col("quantile").isNotNull(), F.col("_quantile")).when(F.col("other").isNotNull(), ratio).otherwise(F.col("_main"))
-    return points.select("_pair", ts, value.alias("value")), pairs
+def _label_hash() -> Column:
+    return F.xxhash64("metric", F.col("_names").isNull(), "_names", "_values")
+
+
+def _pairs(samples: DataFrame, rules: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame, list[A.Kind], list, bool]:
+    """``(entries, pairs, kinds, conditions, apart)``: the label sets that rules read, by the numbers of their pairs, curves and kinds; rule,
+    series and curves of every pair; how pairs are cut; the main rows of the rules; and whether a hash tells all label sets of their metrics apart.
+
+    A pair is a rule and a series, a curve one metric of a ratio or one bound of a histogram. Text is worked on once per label set here.
+    The length of a pair's chunks follows its number of samples: a slot or a range, doubled or halved, but no less than a slot.
+    """
+    ts = F.col(layout.ts)
+    read = rules.select("metric", "alert", "role", "over", "range_ms", "label", "matches")
+    sets = materialise(samples.join(broadcast_if_small(read.select("metric").distinct()), "metric", "left_semi").groupBy(
+        "metric", F.map_keys("labels").alias("_names"), F.map_values("labels").alias("_values")).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi")))
+    apart = sets.count() == sets.select(_label_hash()).distinct().count()
+    label = F.coalesce(F.try_element_at("labels", F.col("label")), F.lit(""))
+    wanted = F.col("matches").isNull() | F.regexp_like(label, F.concat(F.lit("^(?:"), F.col("matches"), F.lit(")$")))
+    sets = materialise(sets.withColumn("labels", F.map_from_arrays("_names", "_values")).join(broadcast_if_small(read), "metric").where(wanted).select(
+        "metric", "_names", "_values", "_n", "_lo", "_hi", "alert", "role", "over", "range_ms", series_id(F.map_filter("labels", lambda k, _: k != "le")).alias("series"),
+        F.coalesce(F.try_element_at("labels", F.lit("le")), F.lit("")).alias("le")).distinct())
+
+    named = ["alert", "over", "range_ms", "series"]
+    curves = sets.groupBy(*named, "role", "le").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    curve = F.struct("role", "le")
+    pairs = curves.groupBy(*named).agg(F.sort_array(F.collect_list(curve)).alias("_curves"), F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    slot, reach = F.lit(layout.slot_ms), F.when(F.col("over") != "value", F.col("range_ms")).otherwise(F.lit(0))
+    aim = F.coalesce(F.lit(float(A.CHUNK_ROWS)) * (F.col("_hi") - F.col("_lo") + 1) / F.col("_n"), F.lit(1.0))
+    unit = F.when(F.col("_reach") > 0, F.col("_reach")).otherwise(slot)
+    doubled = F.greatest(F.lit(0), F.floor(F.log2(F.col("_aim") / unit)))
+    halved = F.greatest(F.lit(0), F.least(
+        F.ceil(F.log2(unit / F.col("_aim"))), F.floor(F.log2(unit / slot)), F.round(F.log2(unit.bitwiseAND(-unit)))))
+    span = F.when(F.col("_aim") >= unit, unit * F.pow(F.lit(2.0), doubled)).otherwise(unit / F.pow(F.lit(2.0), halved)).cast("long")
+    pairs = materialise(pairs.withColumns({"_reach": reach.cast("long"), "_aim": aim}).withColumn("_span", span).withColumns(
+        {"_rate": F.col("over") == "rate", "_pair": F.monotonically_increasing_id()}).drop("_aim"))
+    cuts = [tuple(row) for row in pairs.select("_reach", "_span", "_rate").distinct().collect()]
+    main = rules.where("role = 'main'").select("alert", "over", "range_ms", "op", "threshold", "hold_ms", "severity", F.col("other").isNotNull().alias("other"), "quantile").distinct().collect()
+    if len(cuts) > 2**16 or pairs.where(F.size("_curves") > 2**16).limit(1).count():
+        raise ValueError("more than 65,536 kinds of chunks or curves of a pair")
+
+    spark, same = samples.sparkSession, lambda left, right, names: [left[c].eqNullSafe(right[c]) for c in names]
+    kind = spark.createDataFrame([(*cut, i) for i, cut in enumerate(cuts)], "_reach long, _span long, _rate boolean, _kind int")
+    of = spark.createDataFrame([(*row[:3], i) for i, row in enumerate(main)], "alert string, over string, range_ms long, _condition int")
+    of = of.groupBy("alert", "over", "range_ms").agg(F.sort_array(F.collect_list("_condition")).alias("conditions"))
+    pairs = materialise(pairs.join(F.broadcast(kind), ["_reach", "_span", "_rate"]).join(F.broadcast(of), same(pairs, of, ["alert", "over", "range_ms"])).select(
+        "_pair", "_kind", "_reach", "_span", "_n", pairs["alert"], pairs["over"], pairs["range_ms"], "series", "_curves", "conditions"))
+    numbered = pairs.select(*named, "_pair", "_kind", "_reach", "_span", F.posexplode("_curves").alias("_i", "_c")).select(
+        *named, F.col("_c.role").alias("role"), F.col("_c.le").alias("le"), "_pair", "_reach", "_span", (F.shiftleft(F.col("_i").cast("long"), 16) + F.col("_kind")).alias("_code"))
+    keys = [*named, "role", "le"]
+    entries = materialise(sets.join(numbered, same(sets, numbered, keys)).select(
+        "metric", "_names", "_values", "_pair", "_reach", "_span", "_code"))
+    return entries, pairs, [A.Kind(*cut) for cut in cuts], main, apart
+
+
+def _schema(ddl: str):
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _judged(samples: DataFrame, rules: DataFrame, layout: Layout, value_only: bool = False) -> tuple[DataFrame, DataFrame, list]:
+    """``(points, pairs, conditions)``: value, condition and start of its run for every pair, condition number and time."""
+    entries, pairs, kinds, main, apart = _pairs(samples, rules, layout)
+    if value_only:
+        conditions = [A.Condition(None, None, row["other"], row["quantile"]) for row in main]
+    else:
+        conditions = [A.Condition(row["op"], row["threshold"], row["other"], row["quantile"]) for row in main]
+    ts = F.col(layout.ts).cast("long")
+    read = samples.join(broadcast_if_small(rules.select("metric").distinct()), "metric", "left_semi")
+    labels = read.select("metric", F.map_keys("labels").alias("_names"), F.map_values("labels").alias("_values"), ts.alias("_ts"), F.col("value").cast("double").alias("_x"))
+    entries = broadcast_if_small(entries)
+    if apart:
+        rows = labels.select(_label_hash().alias("_hash"), "_ts", "_x").join(entries.withColumn("_hash", _label_hash()), "_hash")
+    else:
+        rows = labels.join(entries, [labels[c].eqNullSafe(entries[c]) for c in ("metric", "_names", "_values")])
+    rows = rows.select("_pair", "_code", "_ts", "_x", "_reach", "_span")
+    own = F.col("_ts") - F.pmod("_ts", "_span")
+    # What a later chunk still sees of this one is sent there too.
+    seen = (F.col("_reach") > 0) & ((F.col("_span") < F.col("_reach")) | (F.pmod("_ts", "_span") > F.col("_span") - F.col("_reach")))
+    homes = F.explode(F.when(seen, F.array(own, own + F.greatest("_span", "_reach"))).otherwise(F.array(own)))
+    none = F.lit(A.NO_TIME).cast("long")
+    rows = rows.select("_pair", "_code", homes.alias("_start"), "_ts", "_x").select(
+        "_pair", "_code", F.coalesce("_start", none).alias("_start"), F.coalesce("_ts", none).alias("_ts"), "_x")
+    spark = samples.sparkSession
+    size = pairs.agg(F.sum("_n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.5 * size / A.TASK_ROWS))
+    chunks = rows.repartition(parts, "_pair", "_start").mapInArrow(A.pack(kinds, _schema(A.PACKED)), A.PACKED)
+    # Few chunks at a time when they are read again: one may hold megabytes.
+    packed = materialise(chunks, compression="zstd", **{"parquet.block.row.count.limit": "16"})
+
+    few = packed.select("_pair").count() <= 1_000_000
+    near = F.broadcast if few else lambda df: df
+    narrow = packed.select("_pair", "_start", "_kind", "curves", "first_ts", "first_x", "last_x", "total", "tail", "tail_step")
+    carried = materialise(narrow.groupBy("_pair").applyInArrow(A.carry(kinds, _schema(A.CARRIED)), A.CARRIED))
+    bound = lambda f: F.transform("_curves", f)
+    of = pairs.select(
+        "_pair", "conditions", bound(lambda c: c["role"] == "main").alias("mains"), bound(lambda c: (c["role"] == "main") & (c["le"] != "")).alias("cells"),
+        bound(lambda c: F.when(c["le"] != "", c["le"].try_cast("double"))).alias("les"))
+    whole = packed.drop("first_x", "last_x", "total", "tail", "tail_step").join(near(carried.join(of, "_pair")), ["_pair", "_start"])
+    ends = whole.mapInArrow(A.judge(kinds, conditions, _schema(A.RUNS), True), A.RUNS)
+    opened = ends.groupBy("_pair").applyInArrow(A.open_runs(_schema(A.OPEN)), A.OPEN)
+    points = f"_pair long, _condition int, {layout.ts} long, value double, holds boolean, active_since_ms long"
+    out = whole.join(near(opened), ["_pair", "_start"]).mapInArrow(A.judge(kinds, conditions, _schema(points), False), points)
+    return out, pairs, main
 
 
 def rule_series(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
     """The value of every rule's series at each of its sample times: ``(alert, series, ts_ms, value)``.
 
-    All rules are compiled into one plan: samples meet their rules by metric and label pattern and are stored in that narrow
-    form; series get numbers, so that rows on the move hold no text. Counters pass one scan for resets and one for ranges, each
-    with the range of its rule; a last grouping brings together the two metrics of a ratio and the buckets of a histogram, which
-    need samples at the same time. Samples of one series at one time count as their maximum. A ratio is null without its divisor
-    and for 0/0, infinite for a divisor of 0.
+    All rules are compiled into one plan. The label sets of the samples meet the rules by metric and pattern once, and from then on a sample
+    is five numbers. Samples move once, to their chunk of a series and to the one that still sees them, and are packed there into arrays:
+    growth and sums over ranges inside the chunk, and for each chunk the few numbers that reach into the next ones. A last pass brings together
+    the two metrics of a ratio and the buckets of a histogram, which need samples at the same time. Samples of one series at one time count
+    as their maximum. A ratio is null without its divisor and for 0/0, infinite for a divisor of 0.
     """
-    points, pairs = _rule_points(samples, rules, layout)
-    return points.join(broadcast_if_small(pairs), "_pair").select("alert", "series", layout.ts, "value")
+    points, pairs, _ = _judged(samples, rules, layout, value_only=True)
+    return points.join(broadcast_if_small(pairs.select("_pair", "alert", "series")), "_pair").select("alert", "series", layout.ts, "value")
 
 
 def alert_rules(samples: DataFrame, rules: DataFrame, layout: Layout = SERIES) -> DataFrame:
     """Evaluate every rule on all its series (:func:`rule_series`); a rule fires once its condition has held for its hold time.
 
-    ``rules`` is configuration. The start of the current run of true samples is a running value, so one busy
-    series spreads over time slots. A null value is no condition met.
+    ``rules`` is configuration. Of the run of true samples a chunk ends with, only its start goes on to the next chunk, so one busy
+    series spreads over chunks. A null value is no condition met.
     """
-    v, t = F.col("value"), F.col("threshold")
-    held = F.when(F.col("op") == ">", v > t).when(F.col("op") == "<", v < t).otherwise(v == t)
-    points, pairs = _rule_points(samples, rules, layout)
-    conditions = rules.where("role = 'main'").select("alert", "op", "threshold", "hold_ms", "severity")
-    pairs = broadcast_if_small(materialise(pairs.join(broadcast_if_small(conditions), "alert")))
-    rows = points.join(pairs.select("_pair", "op", "threshold"), "_pair").select("_pair", layout.ts, "value", F.coalesce(held, F.lit(False)).alias("holds"))
-    rows = run_starts(materialise(rows), layout.with_(keys=("_pair",)), "holds", "active_since_ms")
+    points, pairs, main = _judged(samples, rules, layout)
+    conditions = samples.sparkSession.createDataFrame(
+        [(i, row["op"], row["threshold"], row["hold_ms"], row["severity"]) for i, row in enumerate(main)], "_condition int, op string, threshold double, hold_ms long, severity string")
+    pairs = pairs.select("_pair", "alert", "series", F.explode("conditions").alias("_condition")).join(F.broadcast(conditions), "_condition")
     firing = F.col("holds") & (F.col(layout.ts) - F.col("active_since_ms") >= F.col("hold_ms"))
-    return rows.join(pairs, "_pair").select("alert", "series", layout.ts, "value", "op", "threshold", "hold_ms", "severity", "holds", "active_since_ms", firing.alias("firing"))
+    return points.join(broadcast_if_small(pairs), ["_pair", "_condition"]).select(
+        "alert", "series", layout.ts, "value", "op", "threshold", "hold_ms", "severity", "holds", "active_since_ms", firing.alias("firing"))
 
 
 def metrics_text_parse(lines: DataFrame, column: str = "value") -> DataFrame:
