@@ -530,7 +530,9 @@ def test_rules_over_chunks_equal_a_plain_reading(spark, monkeypatch, rows_of_chu
     for key, row in got.items():
         assert row[1:] == want[key][1:] and row[0] == (want[key][0] if want[key][0] is None else pytest.approx(want[key][0], rel=1e-12)), (key, row, want[key])
     assert sum(w[3] is True for w in want.values()) > 50
+    rules.append(metrics.Rule("gauge", "up", "==", 1.0, 0, "low"))
     points = metrics.rule_series(df, metrics.rule_table(spark, rules), metrics.SERIES.with_(slot_ms=8))
+    assert points.count() == len(got)
     assert {(r.alert, r.series, r.ts_ms): r.value for r in points.collect()} == {key: row[0] for key, row in got.items()}
 
 

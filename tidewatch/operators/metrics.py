@@ -230,6 +230,9 @@ def _judged(samples: DataFrame, rules: DataFrame, layout: Layout, value_only: bo
     entries, pairs, kinds, main, apart = _pairs(samples, rules, layout)
     if value_only:
         conditions = [A.Condition(None, None, row["other"], row["quantile"]) for row in main]
+        # Rules that differ in their condition only have one value.
+        first = {tuple(row[c] for c in ("alert", "over", "range_ms", "other", "quantile")): i for i, row in reversed(list(enumerate(main)))}
+        pairs = pairs.withColumn("conditions", F.array_intersect("conditions", F.array(*[F.lit(i) for i in first.values()]).cast("array<int>")))
     else:
         conditions = [A.Condition(row["op"], row["threshold"], row["other"], row["quantile"]) for row in main]
     ts = F.col(layout.ts).cast("long")
